@@ -1,0 +1 @@
+"""Placeholder for the first relational queries."""
