@@ -68,6 +68,24 @@ class Words:
     def hashes(self, lower: bool = False) -> np.ndarray:
         if not len(self.starts):
             return np.zeros(0, np.uint64)
+        values, lengths = self._terms(lower)
+        return mix(np.add.reduceat(values, self.starts - self.starts[0]) + lengths.astype(np.uint64))
+
+    def prefix_hashes(self, sizes: tuple[int, ...], lower: bool = False) -> list[np.ndarray]:
+        """For each size the hashes of the words' first so many bytes; a word that is no longer has its own."""
+        if not len(self.starts):
+            return [np.zeros(0, np.uint64) for _ in sizes]
+        values, lengths = self._terms(lower)
+        total = np.append(np.uint64(0), np.cumsum(values))
+        begin = self.starts - self.starts[0]
+        out = []
+        for size in sizes:
+            cut = np.minimum(lengths, size)
+            out.append(mix(total[begin + cut] - total[begin] + cut.astype(np.uint64)))
+        return out
+
+    def _terms(self, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+        """What each byte from the first word on adds to its word's sum; the words' lengths."""
         values = (_LOWER if lower else _CODES)[self.data]
         values[~self.inside] = 0
         lengths = self.ends - self.starts
@@ -75,9 +93,7 @@ class Words:
         local = np.arange(self.starts[0], len(self.data)) - np.repeat(self.starts, spans)
         power = _powers(1 << max(6, int(lengths.max()).bit_length()))
         local = np.minimum(local, len(power) - 1)
-        values = values[self.starts[0] :] * power[local]
-        sums = np.add.reduceat(values, self.starts - self.starts[0])
-        return mix(sums + lengths.astype(np.uint64))
+        return values[self.starts[0] :] * power[local], lengths
 
     def word(self, i: int) -> bytes:
         return self.data[self.starts[i] : self.ends[i]].tobytes()
