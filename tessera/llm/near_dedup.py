@@ -17,8 +17,8 @@ linked if their Jaccard similarity is at least 0.75.
    no bucket with a probability of (1 - 0.75**ROWS)**BANDS = 7e-6.
 4. Classes that buckets connect form a candidate group. The sets of the classes
    in groups of two or more are compared pair by pair, on full sets, inside a
-   task. A group of more than BLOCK classes is taken apart by bucket, a larger
-   bucket into blocks, every two of which meet in some task. Only a spanning
+   task. A group of more than BLOCK classes is cut into blocks, every two of
+   which meet in some task; a very large one is first taken apart by bucket. Only a spanning
    forest of the links leaves a task, so neither a group of copies nor a large
    group of near copies turns into all its pairs.
 
@@ -43,7 +43,7 @@ from .words import Words, grams, mix, slices
 WIDTH = 5
 BANDS, ROWS = 44, 5
 BINS = BANDS * ROWS
-BLOCK = 256
+BLOCK = 512
 NUMERATOR, DENOMINATOR = 3, 4
 
 
@@ -128,9 +128,11 @@ def _forest(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray]) -> list[
     n = len(ids)
     sizes = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets)
-    _, code = np.unique(flat, return_inverse=True)
-    width = int(code.max()) + 1
-    owner = np.repeat(np.arange(n), sizes)
+    _, code, often = np.unique(flat, return_inverse=True, return_counts=True)
+    common = often[code] > 1  # an element of one class is shared with none
+    code = (np.cumsum(often > 1) - 1)[code[common]]
+    width = int((often > 1).sum())
+    owner = np.repeat(np.arange(n), sizes)[common]
     shared = np.zeros((n, n), np.float32)
     step = max(1, (8 << 20) // (4 * n))
     order = np.argsort(code, kind="stable")
@@ -196,17 +198,17 @@ def links(docs: DataFrame, signed: DataFrame, scratch: Scratch, id_col: str, tex
     groups = connected_components(full.select(F.col("rep").alias("a"), F.col("hub").alias("b")), scratch)
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
     groups = scratch.cut(groups.join(sizes, "root"), "groups")
-    small = groups.where(F.col("n") <= BLOCK).select(F.lit(-1).alias("kind"), F.col("root").alias("task"), F.lit(0).alias("pair"), F.lit(0).alias("part"), F.col("id").alias("rep"))
-    # Larger groups: by bucket; buckets of more than BLOCK/2 classes in blocks of half that size, each two of which meet.
-    large = groups.where(F.col("n") > BLOCK).select(F.col("id").alias("rep"))
-    held = full.join(large, "rep").withColumn("blocks", F.ceil(F.col("n") / F.lit(BLOCK // 2)).cast("int"))
-    block = F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int")
-    held = held.withColumn("part", F.when(F.col("n") <= BLOCK, 0).otherwise(block)).withColumn("blocks", F.when(F.col("n") <= BLOCK, 1).otherwise(F.col("blocks")))
+    # A group that fits is one task. One of up to BANDS half-size blocks is cut into those, each two of which
+    # meet. A larger one is taken apart by bucket, buckets that don't fit again into blocks: a class then goes
+    # to the tasks of at most BANDS buckets, and pairs that share no bucket are left alone.
+    half = F.lit(BLOCK // 2)
+    by_group = groups.where(F.col("n") <= BANDS * half).select(F.lit(-1).alias("kind"), F.col("root").alias("task"), F.col("id").alias("rep"), "n")
+    by_bucket = full.join(groups.where(F.col("n") > BANDS * half).select(F.col("id").alias("rep")), "rep").select(F.col("band").alias("kind"), F.col("bucket").alias("task"), "rep", "n")
+    held = by_group.unionByName(by_bucket).withColumn("blocks", F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(F.col("n") / half)).cast("int"))
+    held = held.withColumn("part", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
     met = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pair = F.least("part", "other") * F.col("blocks") + F.greatest("part", "other")
-    apart = met.select(F.col("band").alias("kind"), F.col("bucket").alias("task"), pair.alias("pair"), "part", "rep")
-    # Buckets of a large group that hold the same two blocks repeat in several bands; a class goes to each once.
-    tasks = scratch.cut(small.unionByName(apart), "tasks")
+    tasks = scratch.cut(met.select("kind", "task", pair.alias("pair"), "part", "rep"), "tasks")
     wanted = tasks.select(F.col("rep").alias("_rep")).distinct()
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(wanted, F.col("doc_id") == F.col("_rep"), "left_semi")
     sets = text.mapInArrow(_sets, "doc_id long, elements binary")
