@@ -10,7 +10,8 @@ the input as it is.
    the same place. Equal windows have that place at the same distance, so they
    meet under the same prefix; unequal ones mostly don't.
 2. Texts with equal keys are one text with a count; all their windows repeat.
-   Prefixes that only one run has can't hold a repeat and end here.
+   Prefixes that only one run has can't hold a repeat and end here. Runs of equal
+   words are one leaf: all their windows repeat, and one of them stands for all.
 3. The words of the remaining runs go to the task of their prefix. Up to GROUP
    runs of a prefix make one subtree: all suffixes of the runs are ranked by
    prefix doubling, which sorts them as the leaves of a suffix tree; leaves that
@@ -28,6 +29,7 @@ text are two places. Columns besides the id and the text are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -41,7 +43,7 @@ from .common import Scratch, ship
 from .words import Words, grams, mix, slices
 
 LENGTH, PREFIX = 35, 8
-GROUP = 8192
+GROUP = 16384
 CODE_BYTES = 5
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -56,9 +58,21 @@ def sequence_keys(words: Words, h: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def runs(words: Words, h: np.ndarray, length: int = LENGTH, prefix: int = PREFIX) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(document, first window, number of windows, prefix hash) of the runs, in order; windows count from the text's start."""
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+@functools.lru_cache(maxsize=2)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of an odd number, and of its inverse modulo 2**64."""
+    base = 0xA0761D6478BD642F
+    both = []
+    for b in (base, pow(base, -1, 1 << 64)):
+        out = np.full(n, np.uint64(b))
+        out[0] = 1
+        both.append(np.multiply.accumulate(out))
+    return both[0], both[1]
+
+
+def runs(words: Words, h: np.ndarray, length: int = LENGTH, prefix: int = PREFIX) -> tuple[np.ndarray, ...]:
+    """(document, first window, number of windows, prefix hash, hash of all words) of the runs, in order; windows count from the text's start."""
+    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
     if len(h) < length:
         return none
     value = grams(h, prefix, seed=31)
@@ -78,7 +92,11 @@ def runs(words: Words, h: np.ndarray, length: int = LENGTH, prefix: int = PREFIX
     new = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (words.doc[start[1:]] != words.doc[start[:-1]])))
     count = np.diff(np.append(new, len(start)))
     doc = words.doc[start[new]]
-    return doc, start[new] - words.first[doc], count, value[new]
+    up, down = _powers(1 << len(h).bit_length())
+    total = np.append(np.uint64(0), np.cumsum(mix(h, 17) * up[: len(h)]))
+    first = start[new]
+    content = mix((total[first + count + length - 1] - total[first]) * down[first] + count.astype(np.uint64), 19)
+    return doc, first - words.first[doc], count, value[new], content
 
 
 def normalised(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +109,7 @@ def normalised(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return data, np.append(0, np.cumsum(keep))[words.bounds]
 
 
-SIGNED = "doc_id long, n_words long, key_a long, key_b long, sha256 string, starts array<int>, counts array<int>, prefixes array<long>"
+SIGNED = "doc_id long, n_words long, key_a long, key_b long, sha256 string, starts array<int>, counts array<int>, prefixes array<long>, contents array<long>"
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -101,10 +119,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data, at = normalised(words)
             view = memoryview(data)
             sha = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-            doc, start, count, value = runs(words, h)
+            doc, start, count, value, content = runs(words, h)
             offsets = pa.array(np.append(0, np.cumsum(np.bincount(doc, minlength=j - i))).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (start.astype(np.int32), count.astype(np.int32), value.view(np.int64))]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(words.counts), *map(pa.array, sequence_keys(words, h)), pa.array(sha), *lists], ["doc_id", "n_words", "key_a", "key_b", "sha256", "starts", "counts", "prefixes"])
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (start.astype(np.int32), count.astype(np.int32), value.view(np.int64), content.view(np.int64))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(words.counts), *map(pa.array, sequence_keys(words, h)), pa.array(sha), *lists], ["doc_id", "n_words", "key_a", "key_b", "sha256", "starts", "counts", "prefixes", "contents"])
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,14 +261,27 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> tup
     signed = scratch.cut(text.mapInArrow(_signed, SIGNED), "signed")
     long_ = signed.where(F.col("n_words") >= LENGTH)
     copies = long_.groupBy("key_a", "key_b").agg(F.count(F.lit(1)).alias("copies"))
-    once = long_.groupBy("key_a", "key_b").agg(F.first(F.arrays_zip("starts", "counts", "prefixes")).alias("runs"))
-    found = scratch.cut(once.select("key_a", "key_b", F.explode("runs").alias("r")).select("key_a", "key_b", F.col("r.starts").alias("start"), F.col("r.counts").alias("count"), F.col("r.prefixes").alias("prefix")), "runs")
-    frequent = found.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    wanted = found.join(frequent, "prefix").groupBy("key_a", "key_b").agg(F.collect_list(F.struct("start", "count", "prefix", (F.col("n") > GROUP).alias("large"))).alias("runs"))
+    once = long_.groupBy("key_a", "key_b").agg(F.first(F.arrays_zip("starts", "counts", "prefixes", "contents")).alias("runs"))
+    r = lambda c: F.col(f"r.{c}")
+    found = once.select("key_a", "key_b", F.explode("runs").alias("r")).select("key_a", "key_b", r("starts").alias("start"), r("counts").alias("count"), r("prefixes").alias("prefix"), r("contents").alias("content"))
+    found = scratch.cut(found, "runs")
+    frequent = found.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("prefix")
+    shared = scratch.cut(found.join(frequent, "prefix"), "shared")
+    scratch.drop(found)
+    # Runs of equal words are one leaf of the tree; all windows of a run that isn't alone repeat.
+    distinct = shared.groupBy("prefix", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key_a", "key_b", "start", "count")).alias("one"))
+    distinct = scratch.cut(distinct, "distinct")
+    whole_bits = F.expr("shiftleft(1L, count) - 1L")
+    equal = scratch.cut(shared.join(distinct.where("n > 1").select("prefix", "content"), ["prefix", "content"]).select("key_a", "key_b", "start", whole_bits.alias("bits")), "equal")
+    scratch.drop(shared)
+    branches = distinct.groupBy("prefix").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    leaves = distinct.join(branches, "prefix").select("one.key_a", "one.key_b", F.struct(F.col("one.start").alias("start"), F.col("one.count").alias("count"), "prefix", (F.col("k") > GROUP).alias("large")).alias("run"))
+    none = equal.select("key_a", "key_b", F.lit(None).cast(leaves.schema["run"].dataType).alias("run"))
+    wanted = leaves.unionByName(none).groupBy("key_a", "key_b").agg(F.collect_list("run").alias("runs"))
     # One of the texts with a key is enough: it comes with its words, for the trees and for what is left.
     packed = text.select("text").mapInArrow(_packed, "key_a long, key_b long, words binary").groupBy("key_a", "key_b").agg(F.first("words").alias("words"))
     held = scratch.cut(packed.join(wanted, ["key_a", "key_b"]).select("key_a", "key_b", "words", "runs"), "held")
-    scratch.drop(found)
+    scratch.drop(distinct)
     spread = held.mapInArrow(_runs, RUNS)
     spread = scratch.cut(spread, "spread")
     trees = spread.where("prefix is not null").select("prefix", "key_a", "key_b", "start", "count", "codes")
@@ -258,7 +289,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> tup
     windows = spread.where("prefix is null").select("window_a", "window_b", "key_a", "key_b", "start")
     again = windows.groupBy("window_a", "window_b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window_a", "window_b")
     whole = windows.join(again, ["window_a", "window_b"]).select("key_a", "key_b", "start", F.lit(1).cast("long").alias("bits"))
-    spans = trees.unionByName(whole).groupBy("key_a", "key_b").agg(F.collect_list(F.struct("start", "bits")).alias("repeats"))
+    spans = trees.unionByName(whole).unionByName(equal).groupBy("key_a", "key_b").agg(F.collect_list(F.struct("start", "bits")).alias("repeats"))
     spans = scratch.cut(spans, "spans")
     scratch.drop(spread)
     # All words of a text with copies go, so only the others need their words again.
@@ -270,9 +301,13 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> tup
     return signed.join(copies, ["key_a", "key_b"], "left"), scratch.cut(stripped, "stripped")
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256`` for each row of ``docs``."""
-    rows, stripped = repeats(docs, id_col, text_col, with_text=False)
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` for each row of ``docs``.
+
+    with_text adds ``kept_text``: the words that are left, with one space between,
+    for rows that lose some; null for the others, whose text stays as it is.
+    """
+    rows, stripped = repeats(docs, id_col, text_col, with_text)
     all_gone = F.coalesce(F.col("copies") > 1, F.lit(False))
     out = rows.join(stripped, ["key_a", "key_b"], "left")
     return out.select(
@@ -280,4 +315,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "n_words",
         F.when(all_gone, F.col("n_words")).otherwise(F.coalesce("removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(all_gone, F.lit(hashlib.sha256(b"").hexdigest())).otherwise(F.coalesce("left_sha256", "sha256")).alias("kept_sha256"),
+        *([F.when(all_gone, F.lit("")).otherwise(F.col("left_text")).alias("kept_text")] if with_text else []),
     )
