@@ -194,21 +194,47 @@ def _leaks(shared):
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each passage of ``docs`` that leaks an item of ``benchmark`` (item_id, text).
+def _clean(shared, column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(shared.value)
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            for i, _, tokens in alnum_slices(batch.column(column)):
+                for doc, *_ in _search(index, tokens):
+                    keep[i + doc] = False
+            yield batch.filter(pa.array(keep))
 
-    ``doc_id, item_id, edits, item_tokens, start, end, passage``; start and end are code points of the text.
-    """
+    return run
+
+
+def item_blocks(docs: DataFrame, benchmark: DataFrame) -> list:
+    """Broadcast variables that hold the items, each of bounded size."""
     spark = docs.sparkSession
     ship(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // (BLOCK_ITEMS // 2)), -(-size // (BLOCK_BYTES // 2)))
+    parts = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) for block in range(blocks))
+    return [spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.collect()]) for part in parts]
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row for each passage of ``docs`` that leaks an item of ``benchmark`` (item_id, text).
+
+    ``doc_id, item_id, edits, item_tokens, start, end, passage``; start and end are code points of the text.
+    """
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
-    for block in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block)
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.collect()])
+    for shared in item_blocks(docs, benchmark):
         found = text.mapInArrow(_leaks(shared), LEAKS)
         out = found if out is None else out.unionByName(found)
     return out
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that leak no item, with all their columns, without a shuffle."""
+    at = docs.columns.index(text_col)
+    out = docs
+    for shared in item_blocks(docs, benchmark):
+        out = out.mapInArrow(_clean(shared, at), docs.schema)
+    return out

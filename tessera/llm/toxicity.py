@@ -292,3 +292,21 @@ def toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
         raise ValueError(f"{len(model.tokens)} tokens are more than the {MAX_TOKENS} that may go to every executor")
     shared = spark.sparkContext.broadcast(model)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scored(shared), SCORED)
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, with all their columns, without a shuffle."""
+    spark = docs.sparkSession
+    ship(spark)
+    if len(model.tokens) > MAX_TOKENS:
+        raise ValueError(f"{len(model.tokens)} tokens are more than the {MAX_TOKENS} that may go to every executor")
+    shared, at = spark.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _scored(shared)
+        for batch in batches:
+            pair = pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), batch.column(at)], ["doc_id", "text"])
+            chances = [c for out in score(iter([pair])) for c in out.column(1).to_pylist()]
+            yield batch.filter(pa.array([c < threshold for c in chances], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
