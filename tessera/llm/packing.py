@@ -27,6 +27,7 @@ named are not read. An empty table gives no pieces.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,17 +40,58 @@ from .words import Words, slices
 
 SEQUENCE = 2048
 END_ID = 1
-CACHE_WORDS = 300_000
+CACHE_UNITS = 600_000
 SLICE = 4 << 20
 _TOKENIZERS: dict[str, tuple] = {}
 
 
-class WordEncoder:
-    """Ids of whole texts from a cache of words.
+#: The split of lower-case texts that ``Units`` knows: contractions, letters, single digits, other signs.
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_LETTER, _DIGIT, _SIGN, _WHOLE = 1, 2, 3, 4
+_KIND = np.full(256, _SIGN, np.uint8)
+_KIND[65:91] = _KIND[97:123] = _KIND[128:] = _LETTER
+_KIND[48:58] = _DIGIT
 
-    Right for tokenizers that drop white space and never join what stands on two
-    sides of it, which ``check`` tests on a text. The cache only saves time: it is
-    emptied when it is full.
+
+class Units(Words):
+    """Runs of letters, single digits and runs of other signs, as PATTERN cuts them.
+
+    Words that hold anything but ASCII and the letters U+00C0 to U+024F, or an
+    apostrophe before a letter, or ``<``, are one unit each: their own text decides.
+    """
+
+    def __init__(self, words: Words):
+        data = words.data
+        odd = (data == 60) | (data == 0xC2) | (data >= 0xCA)
+        if len(data) > 1:
+            a, b = data[:-1], data[1:]
+            odd[:-1] |= (a == 39) & (_KIND[b] == _LETTER)
+            odd[:-1] |= ((a == 0xC3) & ((b == 0x97) | (b == 0xB7))) | ((a == 0xC4) & (b == 0xB0)) | ((a == 0xC9) & (b > 0x8F))
+        kind = np.where(words.inside, _KIND[data], np.uint8(0))
+        count = np.append(0, np.cumsum(odd))
+        whole = np.flatnonzero(count[words.ends] > count[words.starts])
+        if len(whole):
+            mark = np.zeros(len(data) + 1, np.int32)
+            mark[words.starts[whole]] += 1
+            mark[words.ends[whole]] -= 1
+            kind[np.cumsum(mark[:-1]) > 0] = _WHOLE
+        edge = np.zeros(len(data) + 1, bool)
+        edge[words.bounds] = True
+        change = np.append(True, (kind[1:] != kind[:-1]) | (kind[1:] == _DIGIT))[: len(data)] | edge[:-1]
+        self.data, self.bounds, self.inside = data, words.bounds, words.inside
+        self.starts = np.flatnonzero(change & words.inside)
+        stop = np.append(change[1:] | edge[1:-1], True)[: len(data)]
+        self.ends = np.flatnonzero(stop & words.inside) + 1
+        self.first = np.searchsorted(self.starts, self.bounds, "left")
+        self.counts = np.diff(self.first)
+
+
+class Encoder:
+    """Ids of whole texts.
+
+    For tokenizers that lower-case texts and cut them by PATTERN, from a cache of
+    units; the cache only saves time, and is emptied when it is full. For others,
+    text by text.
     """
 
     def __init__(self, definition: str):
@@ -57,58 +99,65 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        special = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values() if not t.normalized)
-        self.mark = special[0] if special else None
-        self.mark_id = self.tokenizer.token_to_id(self.mark) if special else None
+        known = json.loads(definition)
+        normalizers = [n["type"] for n in (known.get("normalizer") or {}).get("normalizers", [])]
+        splits = [p["pattern"].get("Regex") for p in (known.get("pre_tokenizer") or {}).get("pretokenizers", []) if p["type"] == "Split"]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.special and not (t.normalized or t.lstrip or t.rstrip)]
+        self.by_unit = normalizers == ["NFC", "Replace", "Lowercase"] and splits == [PATTERN] and bool(special) and all("<" in t for t in special)
+        self.mark = special[0] if special else ""
+        self.mark_id = self.tokenizer.token_to_id(self.mark)
         self.cache: dict[bytes, bytes] = {}
 
-    def _encode(self, words: list[bytes]) -> list[bytes]:
-        """Ids of each word; one call encodes many, with a special token between them."""
-        out: list[bytes] = [b""] * len(words)
-        texts = [w.decode() for w in words]
-        joined = [k for k, t in enumerate(texts) if self.mark and "<" not in t]
+    def _units(self, units: list[bytes]) -> list[bytes]:
+        """Ids of each unit; one call encodes many, with a special token between them."""
+        out: list[bytes] = [b""] * len(units)
+        texts = [u.decode() for u in units]
+        joined = [k for k, t in enumerate(texts) if "<" not in t]
         if joined:
             ids = np.array(self.tokenizer.encode(f" {self.mark} ".join(texts[k] for k in joined), add_special_tokens=False).ids, np.int64)
-            cuts = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
-            if len(cuts) != len(joined):
-                joined = []
-            begin = 0
-            ids = ids.astype(self.dtype)
-            for k, end in zip(joined, cuts.tolist(), strict=bool(joined)):
+            cuts = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
+            ids, begin = ids.astype(self.dtype), 0
+            for k, end in zip(joined, cuts, strict=True):
                 out[k] = ids[begin:end].tobytes()
                 begin = end + 1
-        rest = sorted(set(range(len(words))) - set(joined))
+        rest = [k for k, t in enumerate(texts) if "<" in t]
         for k, e in zip(rest, self.tokenizer.encode_batch([texts[k] for k in rest], add_special_tokens=False), strict=True):
             out[k] = np.array(e.ids, self.dtype).tobytes()
         return out
 
     def encode(self, words: Words, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and where each text's begin (one more entry at the end)."""
-        _, where, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        distinct = [words.word(i) for i in where.tolist()]
-        if len(self.cache) > CACHE_WORDS:
+        if not self.by_unit:
+            texts = [words.data[a:b].tobytes().decode() for a, b in zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist(), strict=True)]
+            each = [[*e.ids, end_id] for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+            return np.concatenate([np.array(e, self.dtype) for e in each]), np.append(0, np.cumsum([len(e) for e in each]))
+        units = Units(words)
+        _, where, inverse = np.unique(units.hashes(lower=True), return_index=True, return_inverse=True)
+        data = units.data.tobytes()
+        distinct = [data[a:b].lower() for a, b in zip(units.starts[where].tolist(), units.ends[where].tolist(), strict=True)]
+        if len(self.cache) > CACHE_UNITS:
             self.cache.clear()
-        new = [w for w in distinct if w not in self.cache]
+        new = [u for u in distinct if u not in self.cache]
         for k in range(0, len(new), 4096):
-            self.cache.update(zip(new[k : k + 4096], self._encode(new[k : k + 4096]), strict=True))
-        found = [self.cache[w] for w in distinct]
+            self.cache.update(zip(new[k : k + 4096], self._units(new[k : k + 4096]), strict=True))
+        found = [self.cache[u] for u in distinct]
         found.append(np.array([end_id], self.dtype).tobytes())
         flat = np.frombuffer(b"".join(found), self.dtype)
         size = np.array([len(f) for f in found], np.int64) // flat.itemsize
         begin = np.cumsum(size) - size
-        order = np.insert(inverse, words.first[1:], len(found) - 1)
+        order = np.insert(inverse, units.first[1:], len(found) - 1)
         each = size[order]
         total = np.append(0, np.cumsum(each))
         ids = flat[np.arange(total[-1]) - np.repeat(total[:-1] - begin[order], each)]
-        return ids, total[np.append(0, words.first[1:] + np.arange(1, len(words.first)))]
+        return ids, total[np.append(0, units.first[1:] + np.arange(1, len(units.first)))]
 
 
-def _encoder(definition: str) -> WordEncoder:
+def _encoder(definition: str) -> Encoder:
     """One for each worker process."""
     key = hashlib.sha1(definition.encode()).hexdigest()
     if key not in _TOKENIZERS:
         _TOKENIZERS.clear()
-        _TOKENIZERS[key] = WordEncoder(definition)
+        _TOKENIZERS[key] = Encoder(definition)
     return _TOKENIZERS[key]
 
 
