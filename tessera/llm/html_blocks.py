@@ -111,8 +111,6 @@ def blocks(page: str) -> list[Block]:
                 inner = " ".join(html.unescape(page[at : end.start() if end else len(page)]).split())
                 if inner:
                     out.append(Block(inner, (*path, (name, names_of(m[3]))), 0))
-            else:
-                held.append(" ")
             at = end.end() if end else len(page)
             continue
         if name in INLINE:
