@@ -40,19 +40,19 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that with the least id, of each component of near duplicates."""
-    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept"), "left_semi")
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("__kept_id")).distinct()
+    named = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("__kept_id"), "left_semi")
     rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    one = named.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("_row"))
-    one = one.select("doc_id", *[F.col(f"_row.`{c}`").alias(c) for c in ("text", *rest)]).select(*docs.columns)
+    one = named.groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("__row"))
+    one = one.select("doc_id", *[F.col(f"__row.`{c}`").alias(c) for c in ("text", *rest)]).select(*docs.columns)
     return one.unionByName(docs.where("doc_id is null"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without their repeated passages; those of which nothing is left go."""
-    cut = substring_dedup(docs, with_text=True).where("n_removed > 0 and doc_id is not null").select(F.col("doc_id").alias("_cut"), F.col("kept_text").alias("_left"))
-    out = docs.join(cut, F.col("doc_id") == F.col("_cut"), "left").where("_left is null or _left <> ''")
-    changed = {"text": F.coalesce("_left", "text"), "n_chars": F.when(F.col("_left").isNull(), F.col("n_chars")).otherwise(F.length("_left").cast("long"))}
+    cut = substring_dedup(docs, with_text=True).where("n_removed > 0 and doc_id is not null").select(F.col("doc_id").alias("__cut_id"), F.col("kept_text").alias("__left_text"))
+    out = docs.join(cut, F.col("doc_id") == F.col("__cut_id"), "left").where("__left_text is null or __left_text <> ''")
+    changed = {"text": F.coalesce("__left_text", "text"), "n_chars": F.when(F.col("__left_text").isNull(), F.col("n_chars")).otherwise(F.length("__left_text").cast("long"))}
     return out.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 
