@@ -80,3 +80,10 @@ def field_values(tagged: DataFrame, versions: DataFrame) -> DataFrame:
 def current_fields(events: DataFrame, values: DataFrame, fields: DataFrame) -> DataFrame:
     """The view of events and their current values; the field table is small and fixed."""
     return values.join(F.broadcast(fields.select(F.col("field").alias("field_name"), "field_group", "source_class")), "field_name").join(events.select("event_id", "primary_entity", "event_type"), "event_id")
+
+
+def notification_drafts(current: DataFrame) -> DataFrame:
+    """One JSON payload an event: its current fields by name."""
+    fields = F.map_from_entries(F.array_sort(F.collect_list(F.struct("field_name", "value_text"))))
+    one = current.groupBy("event_id").agg(F.max("event_type").alias("event_type"), fields.alias("fields"))
+    return one.select("event_id", F.to_json(F.struct("event_id", "event_type", "fields"), {"ignoreNullFields": "false"}).alias("payload"))

@@ -82,3 +82,8 @@ def choose_documents(hits: DataFrame, per_month: int | None = None) -> DataFrame
     if per_month is not None:
         one = top_per_key(one.withColumn("__month", F.trunc("filing_date", "MM")), ["__month"], per_month, F.desc("score"), F.col("accession")).drop("__month")
     return one.drop("__rank")
+
+
+def needs_refresh(sample: DataFrame, least_forms: int = 4, least_rows: int = 20) -> DataFrame:
+    """One row: whether a cached sample has too few forms or rows."""
+    return sample.agg(((F.count_distinct("form") < least_forms) | (F.count(F.lit(1)) < least_rows)).alias("needs_refresh"))
