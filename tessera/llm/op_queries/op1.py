@@ -18,6 +18,8 @@ def _bound(rule) -> str:
     return " AND ".join(parts)
 
 
+_STOPS = ", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS.split())))
+
 SQL = rf"""
 WITH base AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
 ), split AS (
@@ -31,7 +33,7 @@ WITH base AS (SELECT doc_id, coalesce(text, '') AS t FROM documents
   SELECT doc_id, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
     len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(lines) AS n_lines,
-    len(list_filter(w, lambda x: list_contains(string_split('{STOP_WORDS}', ' '), x))) AS n_stop_words
+    len(list_filter(w, lambda x: x IN ({_STOPS}))) AS n_stop_words
   FROM split LEFT JOIN repeated USING (doc_id)
 ), judged AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, {", ".join(f"({_bound(r)}) AS rule_{r.name}" for r in RULES)} FROM counts
