@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_OWN_ROOTS: dict[str, str] = {}
 
 
 def ship(spark: SparkSession) -> None:
@@ -34,12 +35,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder that the session names; a temporary one only where none is named, as in tests."""
+    app = spark.sparkContext.applicationId
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = Path(tempfile.mkdtemp(prefix="tessera-scratch-")).as_uri()
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/tessera/{spark.sparkContext.applicationId}"
+        base = _OWN_ROOTS.setdefault(app, "") or Path(tempfile.mkdtemp(prefix="tessera-scratch-")).as_uri()
+        _OWN_ROOTS[app] = base
+    return f"{base.rstrip('/')}/tessera/{app}"
 
 
 class Scratch:
@@ -55,16 +57,22 @@ class Scratch:
         self.count += 1
         path = f"{self.base}/{self.count:03d}-{label}"
         df.write.option("compression", "zstd").parquet(path)
+        if self.count == 1:  # what is left goes when the application ends
+            at, files = self._at(self.base)
+            files.deleteOnExit(at)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no later read needs."""
-        jvm = self.spark._jvm
         for table in tables:
-            path = jvm.org.apache.hadoop.fs.Path(table._scratch_path)
-            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            at, files = self._at(table._scratch_path)
+            files.delete(at, True)
+
+    def _at(self, path: str):
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
