@@ -233,6 +233,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"))
     first = rows.where(F.octet_length("html") >= min_revisit_bytes).groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and response is not null")
+    first = Scratch(spark, "warc-copies").cut(first, "first")  # so that Spark can split a digest with very many rows in the join
     keyed = rows.join(first, F.col("digest") == F.col("of"), "left")
     ident = lambda c: F.concat(F.lit(ID_PREFIX), F.coalesce(c.cast("string"), F.lit("none")))
     revisits = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
