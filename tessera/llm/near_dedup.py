@@ -192,7 +192,8 @@ def links(docs: DataFrame, signed: DataFrame, scratch: Scratch, id_col: str, tex
     """Edges ``(a, b)`` that connect exactly the linked classes of ``signed``, a table of _signatures()."""
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     rows = scratch.cut(classes.select("rep", F.posexplode("bands").alias("band", "bucket")), "bands")
-    hubs = rows.groupBy("band", "bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written before they are joined, so that Spark can split the join's large buckets, which it can't below an aggregate.
+    hubs = scratch.cut(rows.groupBy("band", "bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
     full = scratch.cut(rows.join(hubs, ["band", "bucket"]), "buckets")
     scratch.drop(rows)
     groups = connected_components(full.select(F.col("rep").alias("a"), F.col("hub").alias("b")), scratch)
@@ -226,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = scratch.cut(text.mapInArrow(_signatures, SIGNED), "signed")
     found = links(docs, signed, scratch, id_col, text_col)
     keyed = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", "key_a", "key_b")
-    reps = keyed.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"))
+    reps = scratch.cut(keyed.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep")), "reps")
     same = keyed.join(reps, ["key_a", "key_b"]).select("doc_id", "rep")
     components = connected_components(found, scratch)
     member = same.join(components, F.col("rep") == F.col("id"), "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "rep")).alias("component"))
