@@ -260,12 +260,13 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> tup
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     signed = scratch.cut(text.mapInArrow(_signed, SIGNED), "signed")
     long_ = signed.where(F.col("n_words") >= LENGTH)
-    copies = long_.groupBy("key_a", "key_b").agg(F.count(F.lit(1)).alias("copies"))
+    # Counts are written before they are joined: Spark can then split the join's large keys, which it can't below an aggregate.
+    copies = scratch.cut(long_.groupBy("key_a", "key_b").agg(F.count(F.lit(1)).alias("copies")), "copies")
     once = long_.groupBy("key_a", "key_b").agg(F.first(F.arrays_zip("starts", "counts", "prefixes", "contents")).alias("runs"))
     r = lambda c: F.col(f"r.{c}")
     found = once.select("key_a", "key_b", F.explode("runs").alias("r")).select("key_a", "key_b", r("starts").alias("start"), r("counts").alias("count"), r("prefixes").alias("prefix"), r("contents").alias("content"))
     found = scratch.cut(found, "runs")
-    frequent = found.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("prefix")
+    frequent = scratch.cut(found.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("prefix"), "frequent")
     shared = scratch.cut(found.join(frequent, "prefix"), "shared")
     scratch.drop(found)
     # Runs of equal words are one leaf of the tree; all windows of a run that isn't alone repeat.
@@ -274,7 +275,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> tup
     whole_bits = F.expr("shiftleft(1L, count) - 1L")
     equal = scratch.cut(shared.join(distinct.where("n > 1").select("prefix", "content"), ["prefix", "content"]).select("key_a", "key_b", "start", whole_bits.alias("bits")), "equal")
     scratch.drop(shared)
-    branches = distinct.groupBy("prefix").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    branches = scratch.cut(distinct.groupBy("prefix").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "branches")
     leaves = distinct.join(branches, "prefix").select("one.key_a", "one.key_b", F.struct(F.col("one.start").alias("start"), F.col("one.count").alias("count"), "prefix", (F.col("k") > GROUP).alias("large")).alias("run"))
     none = equal.select("key_a", "key_b", F.lit(None).cast(leaves.schema["run"].dataType).alias("run"))
     wanted = leaves.unionByName(none).groupBy("key_a", "key_b").agg(F.collect_list("run").alias("runs"))
@@ -288,6 +289,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> tup
     trees = trees.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees, "key_a long, key_b long, start int, bits long")
     windows = spread.where("prefix is null").select("window_a", "window_b", "key_a", "key_b", "start")
     again = windows.groupBy("window_a", "window_b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window_a", "window_b")
+    again = scratch.cut(again, "again")
     whole = windows.join(again, ["window_a", "window_b"]).select("key_a", "key_b", "start", F.lit(1).cast("long").alias("bits"))
     spans = trees.unionByName(whole).unionByName(equal).groupBy("key_a", "key_b").agg(F.collect_list(F.struct("start", "bits")).alias("repeats"))
     spans = scratch.cut(spans, "spans")
