@@ -45,7 +45,7 @@ MAX_TRAIN = 20_000
 PREFIXES = (8, 7, 6, 5)
 PRIOR = 200.0
 FLOOR = 0.5
-LEAST_Z = 3.0
+LEAST_Z = 4.0
 LEAST_COUNT = 3
 MAX_TOKENS = 1 << 20
 SIGNIFICANT = 0.05
