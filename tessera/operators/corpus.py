@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import AMENDMENT_FORMS, FORM_FAMILIES, FORMATS
-from ..functions.frames import describe, latest_per_key, sorted_set, sorted_union, value_counts
+from ..functions.frames import describe, latest_per_key, sorted_union, value_counts
 from ..functions.text import display_name_parts, filename_of_hit, first_or_null
 
 NO_NUMBER = "NO_FILE_NUM:"
@@ -74,30 +74,49 @@ def document_table(records: DataFrame) -> DataFrame:
 
 
 def event_table(documents: DataFrame) -> DataFrame:
-    """One row an event, in one aggregation: counts, sets, first entity, dates and span.
+    """One row an event: counts, sets, first entity, dates and span.
 
-    Names keep the order of (file date, accession, sequence, hit). Sets are
-    collected as sets, so an event with thousands of documents carries only its
-    distinct values through the shuffle.
+    Filings are aggregated first, then events: filings are then counted as rows, so
+    no distinct count multiplies the documents. Sets are collected as sets, so an
+    event with thousands of documents carries only its distinct values through the
+    shuffle. The first entity is that of the least (file date, accession, sequence,
+    hit).
     """
-    families, names = sorted_set(F.col("form_family")), F.collect_set("entity_name")
     amended = F.coalesce(F.col("is_amendment"), F.lit(False))
-    order = F.struct(F.col("file_date").isNull(), "file_date", "accession", "sequence", "hit_id")
-    out = documents.groupBy("event_id").agg(
-        F.count(F.lit(1)).alias("n_documents"),
-        F.count_distinct("accession").alias("n_filings"),
-        F.count_distinct(F.when(amended, F.col("accession"))).alias("n_amendment_filings"),
-        F.count_distinct(F.when(~amended, F.col("accession"))).alias("n_initial_filings"),
-        sorted_set(F.col("form")).alias("forms"),
-        families.alias("form_families"),
-        F.array_sort(names).alias("entity_names"),
-        F.min_by(F.col("entity_name"), F.when(F.coalesce(F.col("entity_name"), F.lit("")) != "", order)).alias("primary_entity"),
-        sorted_union(F.col("ciks")).alias("ciks"),
-        sorted_union(F.col("tickers")).alias("tickers"),
-        F.min("file_date").alias("first_file_date"),
-        F.max("file_date").alias("last_file_date"),
-        F.count_if(F.coalesce("is_exhibit", F.lit(False))).alias("n_exhibits"),
-        F.count_if(F.coalesce("is_primary_form_doc", F.lit(False))).alias("n_primary_docs"),
+    order = F.struct(F.col("file_date").isNull().alias("n"), F.col("file_date").alias("d"), F.col("accession").alias("a"), F.col("sequence").alias("s"), F.col("hit_id").alias("h"))
+    named = F.when(F.coalesce("entity_name", F.lit("")) != "", order)
+    filings = documents.groupBy("event_id", "accession").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.bool_or(amended).alias("amended"),
+        F.bool_or(~amended).alias("initial"),
+        F.collect_set("form").alias("forms"),
+        F.collect_set("form_family").alias("families"),
+        F.collect_set("entity_name").alias("names"),
+        F.min(F.when(named.isNotNull(), F.struct(order.alias("o"), F.col("entity_name").alias("e")))).alias("first"),
+        F.collect_set("ciks").alias("ciks"),
+        F.collect_set("tickers").alias("tickers"),
+        F.min("file_date").alias("low"),
+        F.max("file_date").alias("high"),
+        F.count_if(F.coalesce("is_exhibit", F.lit(False))).alias("exhibits"),
+        F.count_if(F.coalesce("is_primary_form_doc", F.lit(False))).alias("primary"),
+    )
+    there = F.col("accession").isNotNull()
+    nested = lambda c: sorted_union(F.flatten(c))
+    out = filings.groupBy("event_id").agg(
+        F.sum("n").alias("n_documents"),
+        F.count("accession").alias("n_filings"),
+        F.count_if(F.col("amended") & there).alias("n_amendment_filings"),
+        F.count_if(F.col("initial") & there).alias("n_initial_filings"),
+        sorted_union(F.col("forms")).alias("forms"),
+        sorted_union(F.col("families")).alias("form_families"),
+        sorted_union(F.col("names")).alias("entity_names"),
+        F.min("first").getField("e").alias("primary_entity"),
+        nested("ciks").alias("ciks"),
+        nested("tickers").alias("tickers"),
+        F.min("low").alias("first_file_date"),
+        F.max("high").alias("last_file_date"),
+        F.sum("exhibits").alias("n_exhibits"),
+        F.sum("primary").alias("n_primary_docs"),
     )
     single = F.when(F.size("form_families") == 1, first_or_null(F.col("form_families"))).when(F.size("form_families") > 1, "mixed")
     return out.select(
