@@ -22,8 +22,8 @@ BLOCK_ITEMS items and BLOCK_BYTES bytes, each block against all documents. Every
 document is searched in full, in the task that reads it; nothing is shuffled.
 
 Null and empty texts leak nothing, null and empty items (or of no token) are
-leaked by none. Rows with equal or null ids are searched one by one. Items that
-repeat are reported each. Columns besides ids and texts are not read.
+leaked by none. Rows with equal or null ids are searched one by one. Equal rows of
+items are one item. Columns besides ids and texts are not read.
 """
 
 from __future__ import annotations
@@ -208,13 +208,25 @@ def _clean(shared, column: int):
 
 
 def item_blocks(docs: DataFrame, benchmark: DataFrame) -> list:
-    """Broadcast variables that hold the items, each of bounded size."""
+    """Broadcast variables that hold the items, each of bounded size.
+
+    A block is as wide as its longest item, so where the items together are too
+    large, those of like length share blocks.
+    """
     spark = docs.sparkSession
     ship(spark)
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    blocks = max(1, -(-n // (BLOCK_ITEMS // 2)), -(-size // (BLOCK_BYTES // 2)))
-    parts = (items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) for block in range(blocks))
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    items = items.withColumn("size", F.ceil(F.log2(F.octet_length("text") + 2)).cast("int"))
+    sizes = {r["size"]: r["n"] for r in items.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, longest = sum(sizes.values()), 2 ** max(sizes, default=0)
+    if total <= BLOCK_ITEMS and total * longest <= BLOCK_BYTES:
+        parts = [items]
+    else:
+        parts = []
+        for size, n in sorted(sizes.items()):
+            blocks = max(-(-n // (BLOCK_ITEMS // 2)), -(-n * 2**size // (BLOCK_BYTES // 2)))
+            of = F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks))
+            parts += [items.where((F.col("size") == size) & (of == block)) for block in range(blocks)]
     return [spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.collect()]) for part in parts]
 
 
