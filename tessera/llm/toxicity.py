@@ -4,24 +4,38 @@ Tokens are lower-cased runs of letters. Words and their beginnings (of PREFIXES
 bytes, for languages that inflect) are the units that the labelled texts score:
 each gets the log-odds of the toxic against the other class, counted once for each
 text that holds it (or texts that say one word thousands of times would decide),
-under a Dirichlet prior of PRIOR pseudo-counts shared as both classes together
-share theirs, and FLOOR for each unit. Units whose odds don't differ by LEAST_Z
+under a Dirichlet prior of ``prior`` pseudo-counts shared as both classes together
+share theirs, and FLOOR for each unit. Units whose odds don't differ by ``least_z``
 standard deviations are left out. A token has the score of its longest known
-unit; one without, or one that repeats the token before it, scores slightly below
-zero. In a text, the scan of Ruzzo and Tompa
+unit; one without, or one that repeats the token before it, scores ``rest``, which
+is below zero. In a text, the scan of Ruzzo and Tompa
 finds all maximal-scoring segments in linear time. Scores of maximal segments of
-clean text follow an extreme-value law; its parameters (Karlin and Altschul's
-lambda and K) come from the clean training texts. The segments that the law
-finds significant are the passages; a text's statistic is the -log of the chance
-that clean text of its length has its passages, and a logistic curve, fitted on
-the training texts, turns it into a score between 0 and 1.
+clean text follow an extreme-value law (Karlin and Altschul's lambda and K). The
+segments that the law finds significant are the passages; a text's statistic is
+the -log of the chance that clean text of its length has its passages, and a
+logistic curve turns it into a score between 0 and 1.
+
+Everything that is fitted or chosen comes from the labelled rows that the caller
+hands to ``fit``, and from no other:
+
+* The rows are dealt by a hash of their id into FOLDS folds. For each fold the odds
+  are learnt from the other folds, so the segments of every row come from odds
+  that don't know it.
+* Half of each fold (by another hash) gives the law, its clean rows; the other half
+  gives the curve. No row serves both.
+* ``prior``, ``least_z`` and ``rest`` are the triple of GRID with the least log loss of
+  the curve, itself cross-validated over the curve's rows, on at most MAX_TUNE
+  rows; of triples within a thousandth of the least loss, the first of GRID.
+* The final odds are those of all rows; law and curve stay those of the folds.
 
 The fit reads at most ``max_train`` labelled texts (those whose id has the least
 hash), so the model is bounded: its token table goes to the executors, with its
-size checked. Scoring covers every text in full, in the task that reads it.
+size checked. To the driver come counted units and two numbers a training row,
+never segments. Scoring covers every text in full, in the task that reads it.
 
 A null or empty text has no tokens, hence no passage, and the score of a text
-without any. Texts with a null id are scored, never trained on. Without usable
+without any. Texts with a null id are scored, never trained on; rows that repeat an
+id are all trained on, in one fold. Without usable
 labels of both classes every text gets the share of toxic labels (0 without
 labels). Rows that repeat are scored alike. Columns besides the id and the text
 are not read.
@@ -35,7 +49,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, ship
@@ -43,9 +57,12 @@ from .words import Words, mix, slices
 
 MAX_TRAIN = 20_000
 PREFIXES = (8, 7, 6, 5)
-PRIOR = 200.0
+PRIORS, LEAST_Z, RESTS = (100.0, 800.0), (5.0, 4.5, 4.0, 3.5, 3.0, 2.0), (-0.2, -0.05)
+#: What ``fit`` chooses among, by cross-validation within its rows: prior, least z, score of an unknown token.
+GRID = tuple((p, z, r) for p in PRIORS for z in LEAST_Z for r in RESTS)
+FOLDS = 3
+MAX_TUNE = 3000
 FLOOR = 0.5
-LEAST_Z = 4.0
 LEAST_COUNT = 3
 MAX_TOKENS = 1 << 20
 SIGNIFICANT = 0.05
@@ -55,7 +72,7 @@ _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
 
 @dataclass
 class Model:
-    """tokens: sorted hashes; scores: of each; rest: score of any other token; lam, k: of the extreme-value law; a, b: of the logistic curve."""
+    """tokens: sorted hashes; scores: of each (those below zero count as ``rest`` at most); rest: score of any other token; lam, k: of the extreme-value law; a, b: of the logistic curve."""
 
     tokens: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     scores: np.ndarray = field(default_factory=lambda: np.zeros(0))
@@ -106,19 +123,26 @@ def unit_hashes(tokens: Tokens) -> list[np.ndarray]:
     return [tokens.hashes(lower=True), *tokens.prefix_hashes(PREFIXES, lower=True)]
 
 
+def grid_scores(models: list[Model], tokens: Tokens) -> Iterator[np.ndarray]:
+    """The tokens' scores in each model; hashes are made once."""
+    units = unit_hashes(tokens)
+    said = np.append(False, (units[0][1:] == units[0][:-1]) & (tokens.doc[1:] == tokens.doc[:-1]))[: len(units[0])]
+    for model in models:
+        out = np.full(len(tokens.starts), model.rest)
+        if len(model.tokens):
+            open_ = np.ones(len(out), bool)
+            for h in units:
+                at = np.minimum(np.searchsorted(model.tokens, h), len(model.tokens) - 1)
+                known = open_ & (model.tokens[at] == h)
+                own = model.scores[at[known]]
+                out[known] = np.where(own > 0, own, np.minimum(own, model.rest))
+                open_ &= ~known
+            out[said] = np.minimum(out[said], model.rest)
+        yield out
+
+
 def token_scores(model: Model, tokens: Tokens) -> np.ndarray:
-    out = np.full(len(tokens.starts), model.rest)
-    if len(model.tokens):
-        open_ = np.ones(len(out), bool)
-        for h in unit_hashes(tokens):
-            at = np.minimum(np.searchsorted(model.tokens, h), len(model.tokens) - 1)
-            known = open_ & (model.tokens[at] == h)
-            out[known] = model.scores[at[known]]
-            open_ &= ~known
-        h = tokens.hashes(lower=True)
-        said = np.append(False, (h[1:] == h[:-1]) & (tokens.doc[1:] == tokens.doc[:-1]))[: len(h)]
-        out[said] = np.minimum(out[said], model.rest)
-    return out
+    return next(grid_scores([model], tokens))
 
 
 def segments_of(model: Model, own: np.ndarray) -> list[tuple[int, int, float]]:
@@ -152,10 +176,11 @@ def _score(model: Model, statistic: float) -> float:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, n0, n1): texts of either class that hold the token, summed by slice."""
+    """(fold, token, n0, n1): texts of either class that hold the token, summed by slice."""
     for batch in batches:
+        fold = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         toxic = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-        for i, j, tokens in token_slices(batch.column(1)):
+        for i, j, tokens in token_slices(batch.column(0)):
             units = unit_hashes(tokens)
             fresh = [np.ones(len(units[0]), bool), *(tokens.ends - tokens.starts > size for size in PREFIXES)]
             h = np.concatenate([u[f] for u, f in zip(units, fresh, strict=True)])
@@ -163,28 +188,49 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             order = np.lexsort((h, doc))
             h, doc = h[order], doc[order]
             once = np.append(True, (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]))[: len(h)]
-            value, at = np.unique(h[once], return_inverse=True)
-            of = toxic[i:j][doc[once]]
-            n1 = np.bincount(at, weights=of, minlength=len(value)).astype(np.int64)
-            n0 = np.bincount(at, weights=1 - of, minlength=len(value)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n0), pa.array(n1)], ["token", "n0", "n1"])
+            of, where = toxic[i:j][doc[once]], fold[i:j][doc[once]]
+            for f in range(FOLDS):
+                here = where == f
+                value, at = np.unique(h[once][here], return_inverse=True)
+                n1 = np.bincount(at, weights=of[here], minlength=len(value)).astype(np.int64)
+                n0 = np.bincount(at, weights=1 - of[here], minlength=len(value)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(value), f, np.int32)), pa.array(value.view(np.int64)), pa.array(n0), pa.array(n1)], ["fold", "token", "n0", "n1"])
+
+
+ROLES = {"law": 0, "curve": 1}
 
 
-def _training_segments(model: Model):
+def _by_row(models: list[list[Model]], value):
+    """(toxic, n, values): ``value(model, segments, n)`` of a training row in each of its fold's models."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = batch.column(2).to_pylist()
-            out = []
-            for i, j, tokens in token_slices(batch.column(1)):
-                scored = token_scores(model, tokens)
-                for d in range(j - i):
-                    own = scored[tokens.first[d] : tokens.first[d + 1]]
-                    out.append((toxic[i + d], len(own), sorted((s for _, _, s in segments_of(model, own)), reverse=True)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int32()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.list_(pa.float64()))], ["toxic", "n", "scores"])
+            fold = batch.column(1).to_numpy(zero_copy_only=False)
+            values, sizes = np.zeros((len(batch), len(models[0]))), np.zeros(len(batch), np.int64)
+            for i, j, tokens in token_slices(batch.column(0)):
+                sizes[i:j] = tokens.counts
+                for f in np.unique(fold[i:j]).tolist():
+                    mine = fold[i:j] == f
+                    for m, scored in enumerate(grid_scores(models[f], tokens)):
+                        model = models[f][m]
+                        values[i:j, m][mine] = value(model, [], 0)
+                        live = np.unique(tokens.doc[scored > 0])  # the other rows have no segment
+                        for d in live[mine[live]].tolist():
+                            own = scored[tokens.first[d] : tokens.first[d + 1]]
+                            values[i + d, m] = value(model, segments_of(model, own), len(own))
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(sizes), pa.array(values.tolist(), pa.list_(pa.float64()))], ["toxic", "n", "found"])
 
     return run
 
 
+def _best(model: Model, found: list, n: int) -> float:
+    return max((score for _, _, score in found), default=0.0)
+
+
+def _strength(model: Model, found: list, n: int) -> float:
+    return _statistic(model, found, n)[0]
+
+
 def _law(n: np.ndarray, best: np.ndarray) -> tuple[float, float]:
     """lambda and K of the best segment's law P(S >= x) = 1 - exp(-K n exp(-lambda x)), by the tail above the median of clean texts."""
     live = best > 0
@@ -215,41 +261,97 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def log_loss(x: np.ndarray, y: np.ndarray, part: np.ndarray) -> float:
+    """The curve's mean log loss on each part, fitted on the others."""
+    total = 0.0
+    for p in np.unique(part):
+        test = part == p
+        a, b = _logistic(x[~test], y[~test])
+        chance = np.clip(1 / (1 + np.exp(-np.clip(a * x[test] + b, -500, 500))), 1e-6, 1 - 1e-6)
+        total -= float(np.sum(y[test] * np.log(chance) + (1 - y[test]) * np.log(1 - chance)))
+    return total / max(len(x), 1)
+
+
+def _odds(n0: Column, n1: Column, all0: int, all1: int, prior: float) -> tuple[Column, Column]:
+    """The log-odds of a unit that n0 and n1 texts hold, and their number of standard deviations."""
+    alpha = F.lit(FLOOR) + F.lit(prior) * (n0 + n1) / F.lit(float(all0 + all1))
+    odds = lambda n, of: F.log((n + alpha) / (F.lit(float(of)) + F.lit(prior) - n - alpha))
+    delta = odds(n1, all1) - odds(n0, all0)
+    return delta, delta / F.sqrt(F.lit(1.0) / (n1 + alpha) + F.lit(1.0) / (n0 + alpha))
+
+
+def _models(counts: DataFrame, sets: list[int], grid: list[tuple[float, float, float]]) -> list[list[Model]]:
+    """For each of ``sets`` a model without law and curve for each triple of ``grid``, from counted units (token, and n0_, n1_ of each set)."""
+    totals = counts.agg(*[F.coalesce(F.sum(f"n{c}_{s}"), F.lit(0)).alias(f"n{c}_{s}") for s in sets for c in (0, 1)]).first()
+    columns, strong = [], F.lit(0.0)
+    for s in sets:
+        n0, n1 = F.col(f"n0_{s}"), F.col(f"n1_{s}")
+        for p, prior in enumerate(dict.fromkeys(g[0] for g in grid)):
+            delta, z = _odds(n0, n1, totals[f"n0_{s}"], totals[f"n1_{s}"], prior) if totals[f"n0_{s}"] and totals[f"n1_{s}"] else (F.lit(0.0), F.lit(0.0))
+            z = F.when(n0 + n1 >= LEAST_COUNT, F.abs(z)).otherwise(0.0)
+            columns += [delta.alias(f"d_{s}_{p}"), z.alias(f"z_{s}_{p}")]
+            strong = F.greatest(strong, z)
+    table = counts.select("token", *columns, strong.alias("strong")).where(F.col("strong") >= min(g[1] for g in grid))
+    table = table.orderBy(F.desc("strong"), "token").limit(MAX_TOKENS).toPandas()
+    token = table["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(token)
+    out = []
+    for s in sets:
+        kept = {}  # models that differ in ``rest`` alone share their arrays
+        for p, prior in enumerate(dict.fromkeys(g[0] for g in grid)):
+            delta, z = (table[f"{c}_{s}_{p}"].to_numpy(np.float64)[order] for c in "dz")
+            for least in {g[1] for g in grid}:
+                kept[prior, least] = token[order][z >= least], np.clip(delta, -4, 8)[z >= least]
+        out.append([Model(*kept[prior, least], rest=rest) for prior, least, rest in grid])
+    return out
+
+
+def _calibrated(rows: DataFrame, models: list[list[Model]]) -> tuple[np.ndarray, np.ndarray]:
+    """Give each fold's models their law, from the law's rows of all folds; the curve's rows (statistics by model, toxic)."""
+    of = lambda role, value: rows.where(F.col("role") == ROLES[role]).select("text", "fold", "toxic").mapInArrow(_by_row(models, value), "toxic int, n long, found array<double>")
+    seen = of("law", _best).where("toxic = 0").toPandas()
+    best, n = np.array(seen["found"].tolist(), np.float64).reshape(len(seen), -1), seen["n"].to_numpy(np.float64)
+    for m in range(len(models[0])):
+        lam, k = _law(n, best[:, m]) if len(seen) else (1.0, 0.1)
+        for fold in models:
+            fold[m].lam, fold[m].k = lam, k
+    held = of("curve", _strength).toPandas()
+    x = np.array(held["found"].tolist(), np.float64).reshape(len(held), len(models[0]))
+    y = held["toxic"].to_numpy(np.float64)
+    order = np.lexsort((*x.T, y))  # rows come in any order; the fit must not depend on it
+    return x[order], y[order]
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """The model of the labelled rows ``labels`` (doc_id, toxic) of ``docs``. At most ``max_train`` ids are read."""
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "toxicity")
     marked = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id is not null and _toxic in (0, 1)").groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     marked = marked.orderBy(F.xxhash64("_id"), "_id").limit(max_train)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marked), F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("_toxic").alias("toxic"))
-    rows = scratch.cut(rows, "train")
+    fold, role = F.pmod(F.xxhash64("_id", F.lit("fold")), F.lit(FOLDS)).cast("int"), F.pmod(F.xxhash64("_id", F.lit("role")), F.lit(len(ROLES))).cast("int")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(marked), F.col("doc_id") == F.col("_id"))
+    rows = scratch.cut(rows.select("text", fold.alias("fold"), role.alias("role"), F.col("_toxic").alias("toxic"), F.xxhash64("_id", F.lit("tune")).alias("turn")), "train")
     classes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(classes) < 2:
         return Model(constant=float(next(iter(classes), 0)))
-    counts = rows.mapInArrow(_counts, "token long, n0 long, n1 long").groupBy("token").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    counts = scratch.cut(counts, "counts")
-    all0, all1 = counts.agg(F.sum("n0"), F.sum("n1")).first()
-    if not all0 or not all1:
-        return Model(constant=classes[1] / (classes[0] + classes[1]))
-    both = F.col("n0") + F.col("n1")
-    alpha = F.lit(FLOOR) + F.lit(PRIOR) * both / F.lit(float(all0 + all1))
-    odds = lambda n, of: F.log((n + alpha) / (F.lit(float(of)) + F.lit(PRIOR) - n - alpha))
-    delta = odds(F.col("n1"), all1) - odds(F.col("n0"), all0)
-    z = delta / F.sqrt(F.lit(1.0) / (F.col("n1") + alpha) + F.lit(1.0) / (F.col("n0") + alpha))
-    table = counts.select("token", delta.alias("delta"), z.alias("z"), both.alias("n")).where((F.col("n") >= LEAST_COUNT) & (F.abs("z") >= LEAST_Z))
-    table = table.orderBy(F.desc(F.abs("z")), "token").limit(MAX_TOKENS).select("token", "delta").toPandas()
-    token = table["token"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(token)
-    model = Model(tokens=token[order], scores=np.clip(table["delta"].to_numpy(np.float64)[order], -4, 8))
-    positive = model.scores > 0
-    model.rest = -0.15
-    model.scores[~positive] = np.minimum(model.scores[~positive], model.rest)
-    seen = rows.mapInArrow(_training_segments(model), "toxic int, n long, scores array<double>").toPandas()
-    best = seen["scores"].map(lambda s: s[0] if len(s) else 0.0).to_numpy(np.float64)
-    n, y = seen["n"].to_numpy(np.float64), seen["toxic"].to_numpy(np.float64)
-    model.lam, model.k = _law(n[y == 0], best[y == 0])
-    x = np.array([_statistic(model, [(0, 0, v) for v in s], int(m))[0] for s, m in zip(seen["scores"], n, strict=True)])
-    model.a, model.b = _logistic(x, y)
+    counts = rows.select("text", "fold", "toxic").mapInArrow(_counts, "fold int, token long, n0 long, n1 long")
+    of = lambda c, f: F.sum(F.when(F.col("fold") != f, F.col(c)).otherwise(0)).alias(f"{c}_{f}")
+    counts = scratch.cut(counts.groupBy("token").agg(*[of(c, f) for f in range(FOLDS + 1) for c in ("n0", "n1")]), "counts")  # the last set is all rows
+    share = MAX_TUNE / sum(classes.values())
+    tune = rows if share >= 1 else rows.where(F.pmod("turn", F.lit(1 << 20)) < int(share * (1 << 20)))
+    x, y = _calibrated(tune, _models(counts, list(range(FOLDS)), list(GRID)))
+    chosen = GRID[len(GRID) // 2]
+    part = np.arange(len(y)) % 5  # rows are ordered by class, so each part has both
+    if len(y) >= 20 and 0 < y.sum() < len(y):
+        losses = np.array([log_loss(x[:, m], y, part) for m in range(len(GRID))])
+        chosen = GRID[int(np.argmax(losses <= losses.min() + 1e-3))]
+    *folds, (model,) = _models(counts, list(range(FOLDS + 1)), [chosen])
+    x, y = _calibrated(rows, folds)
+    model.lam, model.k = folds[0][0].lam, folds[0][0].k
+    if len(y) and 0 < y.sum() < len(y):
+        model.a, model.b = _logistic(x[:, 0], y)
+    else:
+        model.constant = classes[1] / (classes[0] + classes[1])
     scratch.drop(rows, counts)
     return model
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -77,6 +79,73 @@ def test_toxicity_on_held_out_documents(spark):
     assert {r.doc_id for r in kept.select("doc_id").collect()} == {i for i, r in got.items() if r.score < 0.7}
 
 
+def unit_hash(unit: bytes) -> int:
+    return int(toxicity.Tokens(np.frombuffer(unit, np.uint8), np.array([0, len(unit)])).hashes(lower=True)[0])
+
+
+def plain_units(text: str | None) -> list[list[bytes]]:
+    """Of each token the whole and its beginnings, the longest first."""
+    found = re.findall(rb"[a-zA-Z\x80-\xff]+", (text or "").encode())
+    return [[t.lower(), *(t.lower()[:k] for k in toxicity.PREFIXES if len(t) > k)] for t in found]
+
+
+def plain_score(model, text: str | None) -> float:
+    known = {int(t): float(v) for t, v in zip(model.tokens, model.scores, strict=True)}
+    tokens, own = plain_units(text), []
+    for k, units in enumerate(tokens):
+        value = next((known[unit_hash(u)] for u in units if unit_hash(u) in known), model.rest)
+        value = value if value > 0 else min(value, model.rest)
+        own.append(min(value, model.rest) if k and units[0] == tokens[k - 1][0] else value)
+    total = [0.0, *itertools.accumulate(own)]
+
+    def split(low, high):
+        best = max(((total[b] - total[a], a, b) for a in range(low, high) for b in range(a + 1, high + 1)), key=lambda x: (round(x[0], 9), x[1] - x[2]), default=(0, 0, 0))
+        return split(low, best[1]) + [best[0]] + split(best[2], high) if best[0] > 1e-12 else []
+
+    chances = [-math.expm1(-model.k * max(len(own), 1) * math.exp(-model.lam * v)) for v in split(0, len(own))]
+    strong = [c for c in chances if c <= toxicity.SIGNIFICANT] or ([min(chances)] if chances else [])
+    statistic = min(30.0, sum(-math.log10(max(c, 1e-300)) for c in strong))
+    return 1 / (1 + math.exp(-(model.a * statistic + model.b)))
+
+
+def test_whole_fit_and_score_equal_a_plain_version(spark):
+    rows, labels = toxic_corpus(240)
+    rows = [(i, t + " Élan,ELAN x2y") for i, t in rows] + [(800, None), (801, ""), (802, "foul foul foul"), (rows[0])]
+    docs = documents(spark, rows)
+    model = fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    toxic = {i: t for i, _, t in labels}
+    count: dict[bytes, list[int]] = {}
+    for i, t in rows:  # the texts that hold each unit, by class; the repeated row counts twice
+        for u in {u for units in plain_units(t) for u in units} if i in toxic else ():
+            count.setdefault(u, [0, 0])[toxic[i]] += 1
+    all_ = [sum(c[k] for c in count.values()) for k in (0, 1)]
+
+    def table(prior, least):
+        out = {}
+        for u, n in count.items():
+            alpha = toxicity.FLOOR + prior * sum(n) / sum(all_)
+            delta = math.log((n[1] + alpha) / (all_[1] + prior - n[1] - alpha)) - math.log((n[0] + alpha) / (all_[0] + prior - n[0] - alpha))
+            if sum(n) >= toxicity.LEAST_COUNT and abs(delta) / math.sqrt(1 / (n[1] + alpha) + 1 / (n[0] + alpha)) >= least:
+                out[unit_hash(u)] = round(max(-4.0, min(8.0, delta)), 9)
+        return out
+
+    got = {int(t): round(float(v), 9) for t, v in zip(model.tokens, model.scores, strict=True)}
+    assert any(got == table(prior, least) and model.rest == rest for prior, least, rest in toxicity.GRID)
+    scores = {}
+    for r in toxicity.toxicity(docs, model).collect():
+        scores[r.doc_id] = r.score
+    assert all(abs(scores[i] - plain_score(model, t)) < 1e-9 for i, t in rows)
+
+
+def test_fit_sees_only_its_labels(spark):
+    """Other rows, their labels and their order change nothing."""
+    rows, labels = toxic_corpus(150)
+    marked = spark.createDataFrame([x for x in labels if x[0] % 3], "doc_id long, quality int, toxic int")
+    one = fit(documents(spark, rows), marked)
+    other = fit(documents(spark, [(i, t if i % 3 else "vile " * 9) for i, t in reversed(rows)]), marked)
+    assert (one.tokens == other.tokens).all() and np.allclose(one.scores, other.scores) and np.allclose([one.lam, one.k, one.a, one.b], [other.lam, other.k, other.a, other.b])
+
+
 @pytest.mark.parametrize("labels", [[], [(0, 1, 1)], [(0, 1, 0), (None, 1, 1), (3, None, None)]])
 def test_toxicity_without_two_classes(spark, labels):
     docs = documents(spark, corpus(n=12))
