@@ -293,6 +293,33 @@ def test_leaks_equal_brute_force(spark):
     assert {x.doc_id for x in kept.select("doc_id").collect()} == {i for i, _ in rows} - {f.doc_id for f in found}
 
 
+@pytest.mark.parametrize("length", [5, 8, 12, 20, 30, 50, 120])
+def test_bit_sampling_passes_leaks_and_little_else(length):
+    """Windows at the edit bound pass with at least 0.95, unrelated ones (of a skewed vocabulary) with less than 0.01, or 0.02 if they have five tokens."""
+    r, n = random.Random(length), 400
+    words = [int(x) for x in np.random.default_rng(length).integers(1, 1 << 62, 3000)]
+    often = [1 / (k + 2) for k in range(len(words))]  # the most frequent is one word in 22, as in English
+    draw = lambda: r.choices(words, often)[0]
+    items = np.array([[draw() for _ in range(length)] for _ in range(n)], np.uint64)
+    tables = decontamination.Length(length, np.arange(n), items)
+
+    def share(rows, sizes):
+        row, item = tables.candidates(rows, sizes)
+        return len({a for a, b in zip(row.tolist(), item.tolist(), strict=True) if a == b}) / n
+
+    near, sizes = np.zeros((n, length), np.uint64), np.zeros(n, np.int64)
+    for k, item in enumerate(items.tolist()):
+        for _ in range(int(length * decontamination.EDIT_RATE + 1e-9)):
+            at = r.randrange(len(item))
+            item[at : at + r.randint(0, 1)] = r.choice([[], [r.choice(words)]])
+        sizes[k] = min(len(item), length)
+        near[k, : sizes[k]] = item[: sizes[k]]
+    other = np.array([[draw() for _ in range(length)] for _ in range(n)], np.uint64)
+    assert share(items, np.full(n, length)) == 1
+    assert share(near, sizes) >= 0.95
+    assert share(other, np.full(n, length)) < (0.01 if length > 5 else 0.02)
+
+
 def test_best_run():
     item = np.array([1, 2, 3, 4], np.uint64)
     assert best_run(item, np.array([9, 1, 2, 3, 4, 9], np.uint64)) == (0, 1, 5)
