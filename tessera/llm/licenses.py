@@ -7,8 +7,17 @@ templates' fingerprints make an inverted index; it is a fixed table, so it goes
 to the executors with the code. Fingerprints that a text shares with a template,
 on diagonals no further than BAND from each other, make a candidate. Each is
 aligned token by token, within a band of that width around its diagonal; matches
-score 1, other steps -1. What reaches MIN_COVERAGE of the template's tokens is
-reported with its span. Of overlapping reports the one with more matches stays.
+score 1, other steps -1.
+
+A template marks in braces what tells its license from others: names and
+versions. An alignment counts only if each of these stretches is matched word for
+word, in one piece, with nothing put in; where one ends in a number, the text's
+number must end there too ("2" isn't "2.1", "2.0" is), and where it begins with
+a word that a hyphen ties to the one before it in the text, it isn't that name.
+Coverage is the matched tokens as a share of the template's tokens and of the
+text's tokens in the span that match nothing; it must reach MIN_COVERAGE. Of
+overlapping reports the one with more matches stays, of equals the first
+template's.
 
 Every text is searched in full, in the task that reads it; nothing is shuffled.
 Null and empty texts hold no license. Rows with equal or null ids are searched
@@ -17,6 +26,7 @@ one by one. Columns besides the id and the text are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,50 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import ship
+from .license_templates import TEMPLATES
 from .tokens import AlnumTokens, alnum_hashes, alnum_slices
 from .words import grams
 
-GRAM, GUARANTEE = 3, 4
+GRAM, GUARANTEE = 3, 5
 BAND = 8
 MIN_COVERAGE = 0.8
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
-
-# Notices of public licenses.
-TEMPLATES = {
-    "MIT": (
-        "Released under the MIT License.",
-        "Licensed under the MIT License.",
-        "This project is licensed under the terms of the MIT license.",
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
-    ),
-    "Apache-2.0": (
-        "Licensed under the Apache License, Version 2.0.",
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    ),
-    "GPL-2.0": (
-        "This work is licensed under the GNU General Public License, version 2.",
-        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
-    ),
-    "GPL-3.0": (
-        "This work is licensed under the GNU General Public License, version 3.",
-        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
-    ),
-    "LGPL-3.0": ("This library is licensed under the GNU Lesser General Public License, version 3.",),
-    "AGPL-3.0": ("This work is licensed under the GNU Affero General Public License, version 3.",),
-    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
-    "BSD-3-Clause": (
-        "Licensed under the BSD 3-Clause License.",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
-    ),
-    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
-    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
-    "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC-BY-ND-4.0": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
-    "All-Rights-Reserved": ("All rights reserved. No part of this publication may be reproduced without permission.",),
-}
+_MARK = re.compile(r"[{}]")
 
 
 def winnow(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,16 +72,26 @@ def winnow(h: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return kept, g[kept]
 
 
+def marked_tokens(text: str) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """A template's token hashes, and its marked stretches (first, end)."""
+    parts = _MARK.split(text)  # outside, marked, outside, ...
+    hashes = [alnum_hashes(p) for p in parts]
+    ends = np.cumsum([len(h) for h in hashes]).tolist()
+    stretches = [(ends[k - 1], ends[k]) for k in range(1, len(parts), 2)]
+    return np.concatenate(hashes), stretches
+
+
 class TemplateIndex:
     def __init__(self, templates: dict[str, tuple[str, ...]]):
-        self.names, self.tokens, found = [], [], []
+        self.names, self.tokens, self.stretches, found = [], [], [], []
         for name in templates:
             for text in templates[name]:
-                h = alnum_hashes(text)
+                h, stretches = marked_tokens(text)
                 at, value = winnow(h, np.full(len(h), len(h)))
                 found += [(int(v), len(self.names), int(a)) for a, v in zip(at, value, strict=True)]
                 self.names.append(name)
-                self.tokens.append(h.tolist())
+                self.tokens.append(h)
+                self.stretches.append(stretches)
         found.sort()
         self.value = np.array([f[0] for f in found], np.uint64)
         self.template = np.array([f[1] for f in found], np.int64)
@@ -115,43 +100,84 @@ class TemplateIndex:
         self.table[self.value & np.uint64(0xFFFF)] = True
 
 
-def align(template: list[int], text: list[int], shift: int, band: int) -> tuple[int, int, int]:
-    """(matched tokens, first, end) of the best local alignment in which text place - template place stays within ``band`` of ``shift``."""
-    width, n = 2 * band + 1, len(text)
-    # Of each cell: score, matches, place in the text where the alignment began.
-    blank = (0, 0, -1)
-    above = [blank] * (width + 1)
-    best = (0, 0, -1, -1)
-    for i, token in enumerate(template):
-        row, left = [], blank
-        for b in range(width):
-            j = i + shift - band + b
-            if not 0 <= j < n:
-                cell = blank
-            else:
-                d = above[b]
-                hit = text[j] == token
-                cell = (d[0] + 1, d[1] + 1, d[2] if d[2] >= 0 else j) if hit else (d[0] - 1, d[1], d[2])
-                up = above[b + 1]
-                if up[0] - 1 > cell[0]:
-                    cell = (up[0] - 1, up[1], up[2])
-                if left[0] - 1 > cell[0]:
-                    cell = (left[0] - 1, left[1], left[2])
-                if cell[0] <= 0:
-                    cell = blank
-                elif hit and (cell[0], cell[1]) > best[:2]:
-                    best = (cell[0], cell[1], cell[2], j + 1)
-            row.append(cell)
-            left = cell
-        above = [*row, blank]
-    return best[1:]
+def align(template: np.ndarray, text: np.ndarray, shift: int, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the template, places in the text) of the matches of the best local alignment in which text place - template place stays within ``band`` of ``shift``.
+
+    A row of cells a template token, filled by numpy; cell b of row i is the text
+    token i + shift - band + b. Scores along a row come from a running maximum.
+    """
+    width, n, m = 2 * band + 1, len(text), len(template)
+    column = np.arange(width)
+    place = np.arange(m)[:, None] + (shift - band) + column[None, :]
+    inside = (place >= 0) & (place < n)
+    hit = inside & (text[np.clip(place, 0, max(n - 1, 0))] == template[:, None]) if n else np.zeros((m, width), bool)
+    score = np.zeros((m + 1, width + 1), np.int64)
+    for i in range(m):
+        cell = np.maximum(score[i, :width] + np.where(hit[i], 1, -1), score[i, 1:] - 1)
+        cell = np.where(inside[i], np.maximum(cell, 0), 0)
+        score[i + 1, :width] = np.maximum.accumulate(cell + column) - column
+        score[i + 1, :width][~inside[i]] = 0
+    best = int(np.where(hit, score[1:, :width], 0).argmax()) if m else 0
+    i, b = divmod(best, width)
+    pairs = []
+    while m and i >= 0 and b >= 0 and score[i + 1, b] > 0:
+        value = score[i + 1, b]
+        if hit[i, b] and value == score[i, b] + 1:
+            pairs.append((i, place[i, b]))
+            i -= 1
+        elif value == score[i, b] - 1:
+            i -= 1
+        elif value == score[i, b + 1] - 1:
+            i, b = i - 1, b + 1
+        else:
+            b -= 1
+    pairs.reverse()
+    return np.array([p[0] for p in pairs], np.int64), np.array([p[1] for p in pairs], np.int64)
+
+
+def holds_marks(tokens: AlnumTokens, doc: int, stretches: list[tuple[int, int]], mine: np.ndarray, theirs: np.ndarray) -> bool:
+    """Whether each stretch is matched in one piece, as a name or number of its own. theirs: numbers of the text's tokens."""
+    to = dict(zip(mine.tolist(), theirs.tolist(), strict=True))
+    begin, end = int(tokens.bounds[doc]), int(tokens.bounds[doc + 1])
+    for first, stop in stretches:
+        if any(k not in to or to[k] != to.get(first, -1) + k - first for k in range(first, stop)):
+            return False
+        a, b = int(tokens.starts[to[first]]), int(tokens.ends[to[stop - 1]])
+        if a > begin and tokens.source[a - 1] == 45:  # a hyphen
+            return False
+        rest = tokens.source[b : min(b + 4, end)].tobytes()
+        if re.match(rb"\.[1-9]|\.0[0-9]|-[A-Za-z0-9]", rest):
+            return False
+    return True
 
 
 FOUND = "doc_id long, license string, template long, matched long, template_tokens long, coverage double, start long, end long, passage string"
 
 
-def _search(index: TemplateIndex, tokens: AlnumTokens) -> Iterator[tuple[int, int, int, int, int]]:
-    """(document, template, matched, first token, end token)."""
+def report(index: TemplateIndex, tokens: AlnumTokens, h: np.ndarray, doc: int, t: int, shift: int, low: int, high: int, band: int) -> tuple[int, float, int, int] | None:
+    """(matched, coverage, first token, end token) of template t among the tokens low to high, or None."""
+    mine, theirs = align(index.tokens[t], h[low:high], shift - low, band)
+    matched = len(mine)
+    if not matched:
+        return None
+    first, stop = int(theirs[0]) + low, int(theirs[-1]) + low + 1
+    coverage = matched / (len(index.tokens[t]) + stop - first - matched)
+    if coverage < MIN_COVERAGE or not holds_marks(tokens, doc, index.stretches[t], mine, theirs + low):
+        return None
+    return matched, coverage, first, stop
+
+
+def chosen(index: TemplateIndex, reports: list[tuple[int, float, int, int, int]]) -> list[tuple[int, float, int, int, int]]:
+    """Of overlapping reports (matched, coverage, first, end, template) those with more matches; each once."""
+    out: list[tuple[int, float, int, int, int]] = []
+    for r in sorted(reports, key=lambda r: (-r[0], -r[1], r[4], r[2])):
+        if not any(a < r[3] and r[2] < b for _, _, a, b, _ in out):
+            out.append(r)
+    return out
+
+
+def _search(index: TemplateIndex, tokens: AlnumTokens) -> Iterator[tuple[int, tuple[int, float, int, int, int]]]:
+    """(document, report) of a run of texts."""
     h = tokens.hashes(lower=True)
     if not len(h):
         return
@@ -166,7 +192,7 @@ def _search(index: TemplateIndex, tokens: AlnumTokens) -> Iterator[tuple[int, in
     diagonal = place - index.at[which]
     order = np.lexsort((diagonal, template, doc))
     at = 0
-    reports: dict[int, list[tuple[int, int, int, int]]] = {}
+    reports: dict[int, list[tuple[int, float, int, int, int]]] = {}
     while at < len(order):
         o = order[at]
         d, t, begin = int(doc[o]), int(template[o]), int(diagonal[o])
@@ -177,15 +203,11 @@ def _search(index: TemplateIndex, tokens: AlnumTokens) -> Iterator[tuple[int, in
         at = end
         size = len(index.tokens[t])
         low_, high_ = max(int(tokens.first[d]), shift - BAND), min(int(tokens.first[d + 1]), shift + size + BAND)
-        matched, first, stop = align(index.tokens[t], h[low_:high_].tolist(), shift - low_, BAND)
-        if matched >= MIN_COVERAGE * size:
-            reports.setdefault(d, []).append((matched, t, first + low_, stop + low_))
+        if (found := report(index, tokens, h, d, t, shift, low_, high_, BAND)) is not None:
+            reports.setdefault(d, []).append((*found, t))
     for d in sorted(reports):
-        taken: list[tuple[int, int]] = []
-        for matched, t, first, stop in sorted(reports[d], key=lambda r: (-r[0], len(index.tokens[r[1]]), r[1], r[2])):
-            if not any(a < stop and first < b for a, b in taken):
-                taken.append((first, stop))
-                yield d, t, matched, first, stop
+        for r in chosen(index, reports[d]):
+            yield d, r
 
 
 def _found(templates: dict[str, tuple[str, ...]]):
@@ -196,9 +218,8 @@ def _found(templates: dict[str, tuple[str, ...]]):
         for batch in batches:
             out = []
             for i, j, tokens in alnum_slices(batch.column(1)):
-                for d, t, matched, first, stop in _search(index, tokens):
-                    size = len(index.tokens[t])
-                    out.append((batch.column(0)[i + d].as_py(), index.names[t], t, matched, size, matched / size, *tokens.span(d, first, stop - 1)))
+                for d, (matched, coverage, first, stop, t) in _search(index, tokens):
+                    out.append((batch.column(0)[i + d].as_py(), index.names[t], t, matched, len(index.tokens[t]), coverage, *tokens.span(d, first, stop - 1)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 

@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tessera.llm import decontamination, toxicity
@@ -16,10 +17,12 @@ from tessera.llm.block_training import accuracy, gradients
 from tessera.llm.decontamination import best_run, leaks
 from tessera.llm.html_blocks import blocks
 from tessera.llm.html_extraction import extract, main_texts
-from tessera.llm.licenses import align, licenses
+from tessera.llm.license_templates import TEMPLATES
+from tessera.llm.licenses import GUARANTEE, TemplateIndex, align, chosen, licenses, report
+from tessera.llm.licenses import _search as license_search
 from tessera.llm.packing import Schedule, pack
 from tessera.llm.tokenizer_files import tokenizer_path
-from tessera.llm.tokens import alnum_hashes
+from tessera.llm.tokens import alnum_hashes, alnum_slices
 from tessera.llm.toxicity import fit, maximal_segments, without_toxic
 
 from .helpers import corpus, documents
@@ -246,10 +249,95 @@ def test_licenses(spark):
 
 
 def test_align_within_its_band():
-    template = list(range(30))
-    text = [900, 901, *range(10), 902, *range(10, 20), *range(21, 30), 903]
-    assert align(template, text, 2, 8) == (29, 2, 32)
-    assert align(template, [5, 5, 5], 0, 8)[0] == 1
+    template = np.arange(30)
+    text = np.array([900, 901, *range(10), 902, *range(10, 20), *range(21, 30), 903])
+    mine, theirs = align(template, text, 2, 8)
+    assert mine.tolist() == [*range(20), *range(21, 30)] and (theirs[0], theirs[-1]) == (2, 31)
+    assert (template[mine] == text[theirs]).all()
+    assert len(align(template, np.array([5, 5, 5]), 0, 8)[0]) == 1
+    assert len(align(template, np.array([], int), 0, 8)[0]) == 0
+
+
+def plain_alignment(a, b):
+    """The best score of a local alignment of a and b, without a band."""
+    score, best = np.zeros((len(a) + 1, len(b) + 1), int), 0
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            score[i + 1, j + 1] = max(0, score[i, j] + (1 if x == y else -1), score[i, j + 1] - 1, score[i + 1, j] - 1)
+            best = max(best, score[i + 1, j + 1])
+    return best
+
+
+def test_align_equals_the_whole_table():
+    r = random.Random(11)
+    for _ in range(150):
+        a = np.array([r.randint(0, 4) for _ in range(r.randint(1, 12))])
+        b = np.array([r.randint(0, 4) for _ in range(r.randint(1, 12))])
+        mine, theirs = align(a, b, 0, 30)
+        gaps = sum(max(x, y) for x, y in zip(np.diff(mine) - 1, np.diff(theirs) - 1, strict=True))
+        assert len(mine) - gaps == plain_alignment(a.tolist(), b.tolist())
+
+
+def test_every_template_is_its_own_license(spark):
+    """Each template alone is reported as its license; so none is taken for another's."""
+    flat = [(name, text.replace("{", "").replace("}", "")) for name, texts in TEMPLATES.items() for text in texts]
+    docs = documents(spark, [(k, f"Some words before. {text} Some words after.") for k, (_, text) in enumerate(flat)])
+    got: dict = {}
+    for r in licenses(docs).collect():
+        got.setdefault(r.doc_id, set()).add((r.license, round(r.coverage, 6)))
+    assert got == {k: {(name, 1.0)} for k, (name, _) in enumerate(flat)}
+
+
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("Licensed under the FooBar License.", None), ("This project is licensed under the terms of the Zlib license.", None), ("Licensed under CC BY-XX 4.0.", None),
+        ("This work is licensed under the GNU General Public License, version 1.", None), ("This work is licensed under the GNU General Public License, version 2.1.", None),
+        ("This work is licensed under the GNU Foo General Public License, version 2.", None), ("Licensed under the MIT-0 License.", None), ("Released under the X-MIT License.", None),
+        ("Licensed under the Apache License, Version 2.0.", "Apache-2.0"), ("Licensed under the Apache License, Version 1.1.", None), ("Licensed under CC BY 3.0.", None),
+        ("This work is licensed under the GNU General Public License, version 3.0!", "GPL-3.0"), ("released\nunder\nthe mit license", "MIT"), ("Licensed under the BSD 3-Clause \"New\" License.", "BSD-3-Clause"),
+        ("MIT License", None), ("Released under the MIT Press License", None),
+    ],
+)
+def test_only_licenses_that_are_there(text, expected):
+    data = pa.array([text])
+    index = TemplateIndex(TEMPLATES)
+    found = [index.names[r[4]] for _, _, tokens in alnum_slices(data) for _, r in license_search(index, tokens)]
+    assert found == ([expected] if expected else [])
+
+
+def test_licenses_equal_brute_force():
+    """The reports are those of all templates at all places, without index and band."""
+    r = random.Random(12)
+    index, texts = TemplateIndex(TEMPLATES), []
+    flat = [text.replace("{", "").replace("}", "").split() for texts_ in TEMPLATES.values() for text in texts_ if len(text) < 900]
+    for _ in range(120):
+        w = list(r.choice(flat))
+        for _ in range(r.choice([0, 0, 1, 1, 2, len(w) // 8])):
+            at = r.randrange(len(w))
+            w[at : at + r.randint(0, 1)] = r.choice([[], ["other"], [r.choice(w)]])
+        texts.append(" ".join([*["lead"] * r.randint(0, 20), *w, *["tail"] * r.randint(0, 20)]))
+    for _, _, tokens in alnum_slices(pa.array(texts)):
+        h = tokens.hashes(lower=True)
+        got: dict = {}
+        for d, x in license_search(index, tokens):
+            got.setdefault(d, []).append(x)
+        for d in range(len(texts)):
+            low, high = int(tokens.first[d]), int(tokens.first[d + 1])
+            whole = [report(index, tokens, h, d, t, low, low, high, high - low + 400) for t in range(len(index.names))]
+            expected = chosen(index, [(*x, t) for t, x in enumerate(whole) if x])
+            assert all(x[4] in [t for t, y in enumerate(whole) if y] for x in got.get(d, []))
+            for x in expected:  # what winnowing can't promise: no GUARANTEE tokens in a row are the template's
+                if x not in got.get(d, []):
+                    template, text = index.tokens[x[4]].tolist(), h[low:high].tolist()
+                    runs = {tuple(template[k : k + GUARANTEE]) for k in range(len(template) - GUARANTEE + 1)}
+                    assert not runs & {tuple(text[k : k + GUARANTEE]) for k in range(len(text) - GUARANTEE + 1)}
+
+
+def test_license_ties_and_repeated_rows(spark):
+    docs = documents(spark, [(1, "Licensed under the X License."), (1, "Licensed under the X License."), (None, "Licensed under the X License.")])
+    got = licenses(docs, {"B": ("Licensed under the {X License}.",), "A": ("Licensed under the {X License}.",)}).collect()
+    assert [r.license for r in got] == ["B"] * 3  # of equals the first template
 
 
 def edits(a, b):
