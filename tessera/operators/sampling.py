@@ -33,45 +33,69 @@ def diverse_per_period(df: DataFrame, period: str, entity: str, n: int, *order:
     return top_per_key(df.withColumn("__turn", turn), [period], n, F.col("__turn"), *order).drop("__turn")
 
 
-def diverse_by_year(df: DataFrame, n: int, year: str, entity: str, order: list[str], per_year: int = 2000) -> DataFrame:
-    """n rows spread evenly over the years, entities that no earlier year used first.
-
-    A choice depends on all before it, so it is made in one task; each year sends
-    only the rows it could need: its first ``per_year`` entities' first rows and as
-    many others.
+class _Quota:
+    """Rows taken in order while a quota lasts, with the entities that they used up."""
+
+    def __init__(self) -> None:
+        self.taken: dict[int, None] = {}
+        self.entities: set[str] = set()
+
+    def fill(self, rows: pd.DataFrame, entity: str, room: int, fresh: bool) -> int:
+        """Take up to ``room`` rows, with ``fresh`` only those of unused or unnamed entities; how much room is left."""
+        for row, who in rows[entity].items():
+            if room <= 0:
+                break
+            if row not in self.taken and not (fresh and who and who in self.entities):
+                self.taken[row] = None
+                self.entities.add(who)
+                room -= 1
+        return room
+
+
+def diverse_by_year(df: DataFrame, n: int, year: str, entity: str, order: list[str], filing: str | None = None) -> DataFrame:
+    """n rows spread evenly over the years (the first years get what is left over), entities that no earlier year used first.
+
+    A year that runs out of new entities takes others; what all years together
+    lack, the earliest rows fill, new entities first. With ``filing`` only the first
+    row of each filing counts. Rows without a year are left out; a null or empty
+    entity is never used up.
+
+    Every choice depends on those before it, so it is made in one task, on rows that
+    are shown to suffice: at most n entities are ever used up, so a year's quota and
+    the fill are met from the first rows of the first 2n entities (and unnamed rows)
+    of a year, of the first 3n of all years, and from the first 2n rows of each. Their
+    number depends on n and the years alone.
     """
-    once = Window.partitionBy(year, entity).orderBy(*order)
-    ranked = df.where(F.col(year).isNotNull()).withColumn("__again", (F.row_number().over(once) > 1).cast("int"))
-    pool = top_per_key(ranked, [year, "__again"], max(per_year, n), *[F.col(c) for c in order]).drop("__again")
+    pool = df.where(F.col(year).isNotNull())
+    by = [F.col(c) for c in order]
+    if filing is not None:
+        pool = top_per_key(pool, [filing], 1, *by)
+    pool = pool.withColumn("__who", F.coalesce(F.col(entity).cast("string"), F.lit("")))
+    named, unnamed = pool.where("__who <> ''"), pool.where("__who = ''")  # unnamed rows are entities of their own here
+    first = lambda rows, *keys: rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(year, *order)).alias("__row")).select("__row.*")
+    of_years = first(named, year, "__who")
+    early = [top_per_key(rows, [year], 2 * n, *by) for rows in (of_years.union(unnamed), pool)]
+    early += [rows.orderBy(year, *by).limit(k) for rows, k in ((first(of_years, "__who").union(unnamed), 3 * n), (pool, 2 * n))]
+    short = early[0]
+    for more in early[1:]:
+        short = short.union(more)
     names = df.columns
 
     def choose(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = pd.concat(list(rows)).sort_values([year, *order]).reset_index(drop=True)
-        years = sorted(whole[year].unique())
-        if not years:
+        whole = pd.concat(list(rows))
+        if whole.empty:
             return
-        base, rest = divmod(n, len(years))
-        picked: list[int] = []
-        used: set = set()
-        for k, y in enumerate(years):
-            want, mine = base + (k < rest), []
-            part = whole.index[whole[year] == y]
-            for row in part:
-                who = whole.at[row, entity]
-                if len(mine) < want and (not who or who not in used):
-                    mine.append(row)
-                    used.add(who)
-            mine += [row for row in part if row not in set(mine)][: want - len(mine)]
-            picked += mine
-        spare = [row for row in whole.index if row not in set(picked)]
-        for row in [*spare]:
-            if len(picked) < n and whole.at[row, entity] not in used:
-                picked.append(row)
-                used.add(whole.at[row, entity])
-        picked += [row for row in spare if row not in set(picked)][: n - len(picked)]
-        yield whole.loc[picked[:n], names]
-
-    return pool.coalesce(1).mapInPandas(choose, df.schema)
+        whole = whole.drop_duplicates(subset=[*order, year, "__who"]).sort_values([year, *order]).reset_index(drop=True)
+        years, quota = sorted(whole[year].unique()), _Quota()
+        for k, of_year in enumerate(years):
+            mine = whole[whole[year] == of_year]
+            room = quota.fill(mine, "__who", n // len(years) + (k < n % len(years)), fresh=True)
+            quota.fill(mine, "__who", room, fresh=False)
+        room = quota.fill(whole, "__who", n - len(quota.taken), fresh=True)
+        quota.fill(whole, "__who", room, fresh=False)
+        yield whole.loc[list(quota.taken), names]
+
+    return short.coalesce(1).mapInPandas(choose, df.schema)
 
 
 def choose_documents(hits: DataFrame, per_month: int | None = None) -> DataFrame:

@@ -100,7 +100,7 @@ def presence_audit(spark, sf_dir):
 def method_comparison(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("$")) & ~F.col("text").rlike("(?i)merger|per share|exchange offer"))
     d = d.select("doc_id", F.concat(F.lit("Under the merger agreement holders have the right to receive $5.50 in cash per share. "), "text", F.lit(" A fee of $7 is due.")).alias("text"))
-    return rp.method_comparison(d, "doc_id", "text", ps.per_text(d, "doc_id", "text", ps.TERMS, ps.merger_terms))
+    return rp.method_comparison(d, "doc_id", "text", ps.merger_terms(d, "doc_id", "text"))
 
 
 @query("export_confirmed", f"WITH {_EVIDENCE}, {_QUEUE} SELECT queue.accession, suggested_priority FROM queue JOIN screened ON queue.accession = screened.accession WHERE queue.accession % 4 = 0")

@@ -11,7 +11,6 @@ from ..operators import coverage as cv
 from ..operators import evaluation as ev
 from ..operators import markup as mk
 from ..operators import mvp
-from ..operators import passages as ps
 from ..operators import spans as sp
 from ..operators import stages as st
 from ..registry import query
@@ -380,49 +379,6 @@ def quality_gates(spark, sf_dir):
     return sp.quality_gates(facts)
 
 
-@query("find_all_offsets")
-def find_all_offsets(spark, sf_dir):
-    return ps.per_text(table(spark, sf_dir, "documents"), "doc_id", "text", ps.MATCHES, ps.find_all({"license": "licen[sc]ed? under [^.\n]{1,60}", "number": r"\b\d{4,}\b"}, 40, 60, veto=r"not\s+$"))
-
-
-@query("sliding_windows")
-def sliding_windows(spark, sf_dir):
-    return ps.windows(table(spark, sf_dir, "documents"), "doc_id", "text", ps.sliding())
-
-
-@query("anchor_windows")
-def anchor_windows(spark, sf_dir):
-    return ps.windows(table(spark, sf_dir, "documents"), "doc_id", "text", ps.anchored())
-
-
-@query("span_pipeline")
-def span_pipeline(spark, sf_dir):
-    return ps.spans(table(spark, sf_dir, "documents"), "doc_id", "text", ps.RuleBackend({"acquirer organization": ((r"\b[A-Z][a-z]{5,}\b", 0.6),), "CUSIP identifier": ((r"\b[0-9A-Z]{9}\b", 0.8),)}))
-
-
-@query("merger_terms")
-def merger_terms(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("Under the merger agreement each share of "), F.substring("text", 1, 30), F.lit(" has the right to receive $"), F.col("n_chars").cast("string"), F.lit(".50 in cash per share. The record date is May 3, 2024. "), "text").alias("text"))
-    return ps.per_text(d, "doc_id", "text", ps.TERMS, ps.merger_terms)
-
-
-@query("merger_conflicts")
-def merger_conflicts(spark, sf_dir):
-    return ps.conflicting_terms(merger_terms(spark, sf_dir).withColumn("doc_id", F.col("doc_id") % 100), "doc_id")
-
-
-@query("meeting_dates")
-def meeting_dates(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit(" The special meeting will be held on March 7, 2024 at noon. A stockholders meeting of April 9, 2025")).alias("text"))
-    return ps.per_text(d, "doc_id", "text", ps.MEETINGS, ps.meeting_dates)
-
-
-@query("merger_evidence")
-def merger_evidence(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("We entered into an agreement and plan of merger. "), "text", F.lit(" They may have completed the merger.")).alias("text"))
-    return ps.merger_evidence(d, "doc_id", "text")
-
-
 @query("html_text")
 def html_text(spark, sf_dir):
     return mk.texts(table(spark, sf_dir, "pages"), "page_id", "html")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import zipfile
 
 import pytest
@@ -172,50 +173,109 @@ def make(how, text):
     return list(how(text))
 
 
-def test_windows():
-    text = "x" * 5000
-    w = make(ps.sliding(), text)
-    assert len(w) >= 2 and w[0]["start"] == 0 and all(len(x["chunk"]) <= 900 for x in w[:-1]) and w[-1]["start"] + len(w[-1]["chunk"]) == 5000 or len(w) == 8
-    spaced = "word " * 500
-    assert all(x["chunk"] == spaced[x["start"] : x["start"] + len(x["chunk"])] for x in make(ps.sliding(), spaced))
-    long = "a " * 2000 + "merger agreement " + "b " * 2000 + "merger agreement" + " c" * 2000
-    starts = [x["start"] for x in make(ps.anchored(), long)]
-    assert starts[0] == 0 and len(starts) == 3 and make(ps.anchored(), "  ") == [] == make(ps.sliding(), " ")
+def of_texts(spark, *texts):
+    return spark.createDataFrame(list(enumerate(texts)), "id int, text string")
 
 
-def terms(text):
-    return [(t["field"], t["value"], t["detection"], t["review_flags"]) for t in ps.merger_terms(text)]
+def plain_sliding(text, size=900, overlap=150, most=8):
+    """The windows by their definition: cut at the last space of the second half, step back by the overlap, then the tail."""
+    out, at = [], 0
+    while text.strip() and at < len(text) and len(out) < most - 1:
+        end = min(at + size, len(text))
+        if end < len(text) and " " in text[at + size // 2 : end]:
+            end = at + size // 2 + text[at + size // 2 : end].rindex(" ")
+        out.append((at, end))
+        at = len(text) if end == len(text) else max(end - overlap, at + 1)
+    tail = max(0, len(text) - size)
+    if out and out[-1][1] < len(text) and min(abs(a - tail) for a, _ in out) >= 50:
+        out.append((tail, len(text)))
+    return out
 
 
-def test_merger_terms():
+def test_windows(spark):
+    words = "word " * 500
+    texts = ["x" * 5000, words, "é\U0001f600 " * 900, "short", "  ", "", None, "a" * 900, "a" * 901, "ab " * 4000]
+    got: dict = {}
+    for r in ps.windows(of_texts(spark, *texts), "id", "text", ps.sliding()).orderBy("id", "window_id").collect():
+        assert r.chunk == texts[r.id][r.start : r.start + len(r.chunk)]
+        got.setdefault(r.id, []).append((r.start, r.start + len(r.chunk)))
+    assert got == {k: plain_sliding(t) for k, t in enumerate(texts) if t and t.strip()}
+    long = "a " * 2000 + "merger agreement " + "b " * 2000 + "Merger Agreement" + " c" * 2000
+    many = " ".join(f"{'z ' * 500}{w}" for w in ("merger agreement", "per share", "exchange ratio", "special meeting", "effective time", "CUSIP") * 3)
+    found = ps.windows(of_texts(spark, long, " ", many), "id", "text", ps.anchored()).orderBy("id", "window_id").collect()
+    assert [r.start for r in found if r.id == 0] == [0, 3820, 7837] and not [r for r in found if r.id == 1]
+    assert [r.start for r in found if r.id == 2][0] == 0 and len([r for r in found if r.id == 2]) == 12
+    assert all((long, " ", many)[r.id][r.start : r.start + 900] == r.chunk for r in found)
+
+
+def test_occurrences_equal_finditer(spark):
+    texts = ["", "ab abab ABx", "x\U0001f600ab\nab", "no", None, "ab" * 300]
+    got = of_texts(spark, *texts).select("id", ps.occurrences(F.coalesce("text", F.lit("")), "(a)(b)", 1, 2).alias("m")).collect()
+    for r in got:
+        expected = [(m.start(), m.end(), 1, m.group(2)) for m in re.finditer("(a)(b)", texts[r.id] or "", re.I)]
+        assert [tuple(x) for x in r.m] == expected
+
+
+def terms(spark, text):
+    return [(t["field"], t["value"], t["detection"], t["review_flags"]) for t in ps.merger_terms(of_texts(spark, text), "id", "text").collect()]
+
+
+def test_merger_terms(spark):
     deal = "Under the merger agreement each share will be converted into the right to receive "
-    assert terms(deal + "$10.50 in cash per share.")[0][:3] == ("cash_amount", "10.50", "merger_candidate")
-    assert terms("The price of a ticket is $10 per share of nothing.") == []
-    assert terms(deal + "common stock, par value $0.01 per share.") == []
-    assert [t[2] for t in terms("An exchange offer for senior notes under the merger agreement. Record date of May 3, 2024.")] == ["review_exchange_offer_overlap"]
-    assert [t[:2] for t in terms("We completed the merger on May 3, 2024.")] == [("effective_date", "May 3, 2024")]
-    assert terms("We expect to complete the merger on May 3, 2024.") == []
-    assert [t[0] for t in terms("The record date for the vote is May 3, 2024.")] == ["record_date"]
-    both = [t[1] for t in terms(deal + "$10.50 in cash per share, or the right to receive $11 in cash per share.")]
+    assert terms(spark, deal + "$10.50 in cash per share.")[0][:3] == ("cash_amount", "10.50", "merger_candidate")
+    assert terms(spark, "The price of a ticket is $10 per share of nothing.") == []
+    assert terms(spark, "Our closing market price was $25.00 per share.") == []
+    assert terms(spark, deal + "common stock, par value $0.01 per share.") == []
+    assert [t[2] for t in terms(spark, "An exchange offer for senior notes under the merger agreement. Record date of May 3, 2024.")] == ["review_exchange_offer_overlap"]
+    assert [t[:2] for t in terms(spark, "We completed the merger on May 3, 2024.")] == [("effective_date", "May 3, 2024")]
+    assert terms(spark, "We expect to complete the merger on May 3, 2024.") == []
+    assert [t[0] for t in terms(spark, "The record date for the vote is May 3, 2024.")] == ["record_date"]
+    both = [t[1] for t in terms(spark, deal + "$10.50 in cash per share, or the right to receive $11 in cash per share.")]
     assert sorted(both) == ["10.50", "11"]
-    for t in ps.merger_terms(text := deal + "$1,010.50 in cash per share."):
+    mixed = terms(spark, "Merger consideration: common stock par value $0.01 per share receives $15.00 in cash per share.")
+    assert "15.00" in [t[1] for t in mixed] and "0.01" not in [t[1] for t in mixed]
+    assert terms(spark, deal + "$9 in cash per share, subject to a valuation.")[0][3] == ["historical_or_valuation", "conditional"]
+    text = "\U0001f600 " + deal + "$1,010.50 in cash per share or the right to receive 0.75 common shares."
+    found = ps.merger_terms(of_texts(spark, text, None), "id", "text").collect()
+    assert sorted((t.field, t.value) for t in found) == [("cash_amount", "1010.50"), ("conversion_ratio", "0.75")]
+    for t in found:
         assert text[t["value_start"] : t["value_end"]].replace(",", "") == t["value"] and text[t["evidence_start"] : t["evidence_end"]] == t["source_quote"]
+    two = ps.merger_terms(of_texts(spark, "Merger consideration is $10.00 per share.\nMerger consideration is $12.00 per share."), "id", "text")
+    assert [(r.field, r["values"]) for r in ps.conflicting_terms(two, "id").collect()] == [("cash_amount", ["10.00", "12.00"])]
 
 
-def test_meetings_and_evidence():
+def test_merger_passages(spark):
+    texts = [
+        "an Agreement and Plan of Merger, dated May 1, by and among A and B", "each outstanding share of stock", "shares of its new common stock", "you may elect to receive cash", "a non-electing holder",
+        "subject to proration", "conditions to the merger", "we expect that it will close", "termination of the merger agreement", "nothing here", None,
+    ]
+    got: dict = {}
+    for r in ps.merger_passages(of_texts(spark, *texts), "id", "text").collect():
+        assert texts[r.id][r.evidence_start : r.evidence_end] == r.source_quote
+        got.setdefault(r.id, []).append(r.field)
+    assert [got[k][0] for k in range(9)] == list(ps.PASSAGE_RULES) and not {9, 10} & set(got)
+
+
+def test_meetings_and_evidence(spark):
     text = "The special meeting will be held on March 7, 2024. Meeting of stockholders. On June 1, 2024 x"
-    found = {m["iso_date"]: m for m in ps.meeting_dates(text)}
+    found = {m["iso_date"]: m for m in ps.meeting_dates(of_texts(spark, text, None, "no date"), "id", "text").collect()}
     assert found["2024-03-07"]["tier"] == "strict" and all(text[m["start"] : m["end"]] == m["value"] for m in found.values())
-    how = ps.find_all(ps.EVIDENCE_PATTERNS, 260, 650, r"\b(?:if|unless|may|could|would|will|shall)\b[^.;]{0,70}$")
-    assert [m["kind"] for m in how("They signed a merger agreement. If they completed the merger.")] == ["merger_agreement_signed"]
+    texts = ["They signed a merger agreement. If they completed the merger.", None]
+    assert [(m.id, m.kind) for m in ps.merger_evidence(of_texts(spark, *texts), "id", "text").collect()] == [(0, "merger_agreement_signed")]
+    review = "The exchange ratio is the quotient of two numbers. " * 5 + "The effective time is unknown."
+    got = ps.term_evidence(of_texts(spark, review), "id", "text").collect()
+    assert [r.kind for r in got] == ["exchange_ratio_context"] * 3 and all(review[r.quote_start :].startswith(r.quote) for r in got)
 
 
-def test_spans_gates():
+def test_spans_gates(spark):
     text = "Buyer Holdings Inc. will acquire Target Works Corp. for $12.00 per share; par value $0.01. Nasdaq: TOOLONGX. CUSIP 12345678A."
-    found = make(ps.extract_spans(ps.RuleBackend(), ps.anchored()), text)
+    found = ps.spans(of_texts(spark, text, "", None), "id", "text").collect()
     assert all(text[s["start"] : s["end"]] == s["value"] and text[s["quote_start"] : s["quote_end"]] == s["source_quote"] for s in found)
     by = {f: [s["value"] for s in found if s["field"] == f] for f in {s["field"] for s in found}}
     assert by["cusip"] == ["12345678A"] and "Buyer Holdings Inc." in by["acquirer"] and len({(s["label"], s["start"], s["end"]) for s in found}) == len(found)
+    long = ("filler words " * 90 + "merger agreement with Buyer Holdings Inc. and its owners ") * 4
+    found = ps.spans(of_texts(spark, long), "id", "text").collect()
+    assert len({(s.label, s.start) for s in found}) == len(found) > 2 and all(long[s.start : s.end] == s.value for s in found)
 
 
 OFFER = """<DOCUMENT><TEXT><html><body><a name="toc"></a><p>Contents</p><a name="sts"></a><b>SUMMARY TERM SHEET</b><p>This is a summary of the offer with enough words in it.</p>
@@ -244,6 +304,32 @@ def test_year_sample(spark):
     assert [r.year for r in got].count(2020) == 3 and len({r.id for r in got}) == 5 and len({r.who for r in got if r.year == 2020}) == 3
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_year_sample_equals_plain_rounds(spark, seed):
+    """The choice made on all rows, quota by quota."""
+    import random
+
+    r = random.Random(seed)
+    rows = [(i, r.choice([2019, 2020, 2021, None]), r.choice(["", None, *"abcdef"]), f"2020-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}-{i}", f"f{r.randint(0, 60)}") for i in range(80)]
+    n = r.choice([5, 8, 30, 100])
+    got = sa.diverse_by_year(spark.createDataFrame(rows, "id int, year int, who string, day string, filing string"), n, "year", "who", ["day"], "filing").collect()
+    first: dict = {}
+    for x in sorted((x for x in rows if x[1]), key=lambda x: x[3]):
+        first.setdefault(x[4], x)
+    pool = sorted(first.values(), key=lambda x: (x[1], x[3]))
+    years = sorted({x[1] for x in pool})
+    picked: list = []
+    stages = [([x for x in pool if x[1] == y], n // len(years) + (k < n % len(years))) for k, y in enumerate(years)] + [(pool, n)]
+    for k, (some, quota) in enumerate(stages):
+        room = quota if k < len(years) else n - len(picked)
+        for fresh in (True, False):
+            for x in some:
+                if room > 0 and x not in picked and not (fresh and x[2] and x[2] in {p[2] for p in picked}):
+                    picked.append(x)
+                    room -= 1
+    assert sorted(x.id for x in got) == sorted(x[0] for x in picked)
+
+
 def test_stages_resume(spark, tmp_path):
     runner = st.Runner(spark, tmp_path.as_uri(), "id")
     source = spark.createDataFrame([(i, f"t{i}") for i in range(6)], "id int, text string")
