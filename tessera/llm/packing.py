@@ -3,22 +3,31 @@
 All documents become token ids (each with an end id) and are cut freely into
 sequences of at most SEQUENCE ids. Every source has a queue of its documents, by
 id. The sequences are filled window by window (a window is ``window_sequences``
-sequences, one by default): in each the queues are served in turn, each with the
-quantum ``target share x window`` plus the deficit it carried over, rounded down
-to whole tokens; what the rounding leaves is the deficit that the next window
-gets. Targets are the sources' shares of all tokens, so all queues run dry in the
-last window, every window before it is full, and in each window a source is
-within two tokens of its target. Only the last sequence can be short.
-
-Since a queue's deficit is a function of the window's number alone, what a queue
-has been served before window w is a closed form in whole numbers,
-``floor(w T C_j / N) - floor(w T C_(j-1) / N)``, with C the running total of the
-sources' tokens and N that of all. So deficits carry across partitions without
-any task waiting for another: a document needs its place in its queue only,
+sequences): in each the queues are served in turn, each with the quantum ``target
+share x window`` plus the deficit it carried over, rounded down to whole tokens;
+what the rounding leaves is the deficit that the next window gets. So every window
+but the last is full and holds each queue's share to within two tokens, and a
+document is cut only where its queue's turn or a sequence ends. Only the last
+sequence can be short.
+
+* With ``weights`` (source to weight) a queue's share is its weight among those of
+  the queues that still have tokens; when one runs dry in a window, the others take
+  its room in proportion and go on with their new shares (and deficits of nothing).
+  Sources without a weight are one queue, served when all others are dry. A weight
+  must be worth at least one token a window.
+* Without, shares are the sources' own shares of all tokens, so all queues run dry in
+  the last window. A source of less than one token a window has no turn of its own:
+  it rides in the queue of the source before it in order.
+
+Between the windows where a queue runs dry, what a queue has been served before
+window i is a closed form in whole numbers, ``floor(i T C_j / C) - floor(i T C_(j-1) /
+C)``, with T the window's tokens and C_j the running total of the weights. So
+deficits carry across windows and partitions
+without any task waiting for another: a document needs its place in its queue only,
 which is a prefix sum over range partitions (one number for each partition goes
-through the driver).
+through the driver). The driver plans no more than one step for each queue that runs dry.
 
-Null and empty texts have the end id alone. A null source is a queue of its own.
+Null and empty texts have the end id alone. A null source is a source of its own.
 Rows that repeat an id, or have none, are separate documents; ties are broken by
 the order in which they were first written. Columns besides the three that are
 named are not read. An empty table gives no pieces.
@@ -26,9 +35,12 @@ named are not read. An empty table gives no pieces.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +51,7 @@ from .common import Scratch, ship
 from .words import Words, slices
 
 SEQUENCE = 2048
+WINDOW_SEQUENCES = 64
 END_ID = 1
 CACHE_UNITS = 600_000
 SLICE = 4 << 20
@@ -173,58 +186,162 @@ def _encoded(shared, end_id: int):
     return run
 
 
-class Schedule:
-    """The closed form of the round-robin for the queue that holds tokens [base, top) of all ``total``."""
+class Shares:
+    """The round-robin of queues whose weights are their own tokens: all run dry in the last window.
 
-    def __init__(self, base: int, top: int, total: int, window: int):
-        self.base, self.top, self.total, self.window = base, top, total, window
+    bounds: the running total of the queues' tokens, from 0 to that of all.
+    """
+
+    def __init__(self, bounds: list[int], window: int):
+        self.bounds, self.total, self.window = bounds, bounds[-1], window
 
-    def before(self, w: int) -> tuple[int, int]:
+    def before(self, queue: int, w: int) -> tuple[int, int]:
         """Tokens served before window w: of the earlier queues, of this one."""
         served = min(w * self.window, self.total)
-        low = served * self.base // self.total
-        return low, served * self.top // self.total - low
+        low = served * self.bounds[queue] // self.total
+        return low, served * self.bounds[queue + 1] // self.total - low
 
-    def cuts(self, x: int, n: int) -> Iterator[tuple[int, int, int]]:
+    def cuts(self, queue: int, x: int, n: int) -> Iterator[tuple[int, int, int]]:
         """(from, length, place in the stream of all windows) of the queue's tokens x to x + n."""
         end = x + n
-        w = x * self.total // ((self.top - self.base) * self.window)
-        low, mine = self.before(w)
+        w = x * self.total // ((self.bounds[queue + 1] - self.bounds[queue]) * self.window)
+        low, mine = self.before(queue, w)
         while mine > x:
             w -= 1
-            low, mine = self.before(w)
-        low_next, next_ = self.before(w + 1)
+            low, mine = self.before(queue, w)
+        low_next, next_ = self.before(queue, w + 1)
         while x < end:
             while next_ <= x:
                 w, low, mine = w + 1, low_next, next_
-                low_next, next_ = self.before(w + 1)
+                low_next, next_ = self.before(queue, w + 1)
             take = min(end, next_) - x
             yield x, take, w * self.window + (low_next - low) + (x - mine)
             x += take
 
 
+@dataclass
+class Run:
+    """Windows in which a queue, with weights low to high of ``whole``, is served from its token ``start`` on."""
+
+    start: int
+    first: int
+    low: int
+    high: int
+    whole: int
+
+
+@dataclass
+class Turn:
+    """A single window in which a queue is served from its token ``start`` on, at ``offset``."""
+
+    start: int
+    first: int
+    offset: int
+
+
+class Mixture:
+    """The round-robin of queues with given whole weights; one without a weight is served when the others are dry."""
+
+    def __init__(self, tokens: list[int], weights: list[int], window: int):
+        self.bounds, self.window = [0, *itertools.accumulate(tokens)], window
+        self.turns: list[list[Run | Turn]] = [[] for _ in tokens]
+        if any(0 < w * window < sum(weights) for w in weights):
+            raise ValueError("a weight is worth less than one token a window")
+        rest, at = list(tokens), 0
+        while any(rest):
+            live = self._live(rest, weights)
+            whole = sum(live.values())
+            windows = min((rest[q] - 1) * whole // (window * w) for q, w in live.items())
+            low = 0
+            if windows:
+                for q, w in live.items():
+                    self.turns[q].append(Run(tokens[q] - rest[q], at, low, low + w, whole))
+                    rest[q] -= windows * window * (low + w) // whole - windows * window * low // whole
+                    low += w
+                at += windows
+                continue
+            offset = 0
+            for q, taken in self._last(rest, weights).items():
+                self.turns[q].append(Turn(tokens[q] - rest[q], at, offset))
+                rest[q] -= taken
+                offset += taken
+            at += 1
+
+    @staticmethod
+    def _live(rest: list[int], weights: list[int]) -> dict[int, int]:
+        """The queues that are served now, with their weights."""
+        some = {q: weights[q] for q, r in enumerate(rest) if r and weights[q]}
+        return some or {q: 1 for q, r in enumerate(rest) if r}
+
+    def _last(self, rest: list[int], weights: list[int]) -> dict[int, int]:
+        """What each queue gives to a window in which some may run dry."""
+        taken: dict[int, int] = {}
+        room, left = self.window, list(rest)
+        while room and any(left):
+            live = self._live(left, weights)
+            whole = sum(live.values())
+            dry = [q for q, w in live.items() if left[q] * whole <= room * w]
+            if not dry:
+                low = 0
+                for q, w in live.items():
+                    taken[q] = taken.get(q, 0) + room * (low + w) // whole - room * low // whole
+                    low += w
+                break
+            for q in dry:
+                taken[q] = left[q]
+                room -= left[q]
+                left[q] = 0
+        return {q: n for q, n in sorted(taken.items()) if n}
+
+    def cuts(self, queue: int, x: int, n: int) -> Iterator[tuple[int, int, int]]:
+        """(from, length, place in the stream of all windows) of the queue's tokens x to x + n."""
+        turns, end, tokens = self.turns[queue], x + n, self.bounds[queue + 1] - self.bounds[queue]
+        k = bisect.bisect_right(turns, x, key=lambda t: t.start) - 1
+        while x < end:
+            turn = turns[k]
+            stop = min(end, turns[k + 1].start if k + 1 < len(turns) else tokens)
+            if isinstance(turn, Turn):
+                yield x, stop - x, turn.first * self.window + turn.offset + x - turn.start
+                x, k = stop, k + 1
+                continue
+            low = lambda i: i * self.window * turn.low // turn.whole  # noqa: B023, E731
+            mine = lambda i: i * self.window * turn.high // turn.whole - low(i)  # noqa: B023, E731
+            i = (x - turn.start) * turn.whole // (self.window * (turn.high - turn.low))
+            while i and mine(i) > x - turn.start:
+                i -= 1
+            while x < stop:
+                while mine(i + 1) <= x - turn.start:
+                    i += 1
+                take = min(stop, turn.start + mine(i + 1)) - x
+                yield x, take, (turn.first + i) * self.window + low(i + 1) - low(i) + x - turn.start - mine(i)
+                x += take
+            k += 1
+
+
 PIECES = "doc_id long, source string, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
 
-def _pieces(sequence: int, window: int, itemsize: int):
+def _pieces(shared, sequence: int, itemsize: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (doc_id, source, n, ids, place in the queue, base, top, total)."""
+        """Rows (doc_id, source, n, ids, place among the tokens of all queues)."""
         names = ["doc_id", "source", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
         kinds = [pa.int64(), pa.string()] + [pa.int64()] * 5 + [pa.binary()]
         rows: list[tuple] = []
-        held = 0
+        held, schedule = 0, shared.value
 
         def out() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in (0, 1, 2, 4, 5, 6, 7)]
-            for k, (doc, source, n, x0, base, top, total) in enumerate(zip(*columns, strict=True)):
+            columns = [batch.column(k).to_pylist() for k in (0, 1, 2, 4)]
+            for k, (doc, source, n, at) in enumerate(zip(*columns, strict=True)):
                 ids = np.frombuffer(batch.column(3)[k].as_buffer(), np.uint16 if itemsize == 2 else np.uint32).astype("<u4").tobytes()
-                for x, take, place in Schedule(base, top, total, window).cuts(x0, n):
+                queue = bisect.bisect_right(schedule.bounds, at) - 1
+                begin = at - schedule.bounds[queue]
+                for x, take, place in schedule.cuts(queue, begin, n):
                     while take:
                         part = min(take, sequence - place % sequence)
-                        start = x - x0
+                        start = x - begin
                         rows.append((doc, source, start, part, n, place // sequence, place % sequence, ids[4 * start : 4 * (start + part)]))
                         x, place, take = x + part, place + part, take - part
                 held += n
@@ -237,24 +354,36 @@ def _pieces(sequence: int, window: int, itemsize: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, sequence: int = SEQUENCE, window_sequences: int = 1, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def pack(
+    docs: DataFrame, tokenizer: str, end_id: int = END_ID, sequence: int = SEQUENCE, window_sequences: int = WINDOW_SEQUENCES, weights: dict[str, float] | None = None,
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+) -> DataFrame:
     """A row for each piece: ``doc_id, source, start, length, doc_tokens, sequence_id, offset, ids``.
 
-    tokenizer: path of a ``tokenizers`` file that the driver can read. ids: little-endian unsigned 32-bit.
+    tokenizer: path of a ``tokenizers`` file that the driver can read. weights: target
+    shares of sources, in any unit. ids: little-endian unsigned 32-bit.
     """
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "packing")
     with open(tokenizer, encoding="utf-8") as file:
         definition = file.read()
-    itemsize = _encoder(definition).dtype().itemsize
+    itemsize, window = _encoder(definition).dtype().itemsize, sequence * window_sequences
+    if weights is not None and any(w <= 0 for w in weights.values()):
+        raise ValueError("weights are above zero")
     shared = spark.sparkContext.broadcast(definition)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).cast("string").alias("text"))
     rows = rows.mapInArrow(_encoded(shared, end_id), "doc_id long, source string, n long, ids binary")
     rows = scratch.cut(rows.withColumn("row", F.monotonically_increasing_id()), "ids")
     # Places in the queues: sums within range partitions, and before each the sum of those that come earlier.
-    slim = rows.select("row", "source", "doc_id", "n")
-    slim = slim.repartitionByRange("source", "doc_id", "row").withColumn("part", F.spark_partition_id())
+    queue = F.col("source")
+    if weights is not None:
+        number = F.lit(len(weights))
+        for k, name in enumerate(weights):
+            number = F.when(F.col("source").eqNullSafe(F.lit(name)), k).otherwise(number)
+        queue = number
+    slim = rows.select("row", queue.alias("queue"), "doc_id", "n")
+    slim = slim.repartitionByRange("queue", "doc_id", "row").withColumn("part", F.spark_partition_id())
     slim = scratch.cut(slim, "places")
     sums = {r["part"]: r["n"] for r in slim.groupBy("part").agg(F.sum("n").alias("n")).collect()}
     total = sum(sums.values())
@@ -265,10 +394,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, sequence: int =
         earlier.append((part, run))
         run += sums[part]
     earlier = spark.createDataFrame(earlier, "part int, earlier long")
-    inside = F.sum("n").over(Window.partitionBy("part").orderBy("source", "doc_id", "row")) - F.col("n")
-    placed = slim.withColumn("inside", inside).join(earlier, "part").withColumn("place", F.col("inside") + F.col("earlier"))
-    queues = placed.groupBy(F.col("source").alias("queue")).agg(F.min("place").alias("base"), F.sum("n").alias("tokens"))
-    placed = placed.join(queues, F.col("source").eqNullSafe(F.col("queue")))
-    placed = placed.select("row", (F.col("place") - F.col("base")).alias("x"), "base", (F.col("base") + F.col("tokens")).alias("top"))
-    full = rows.join(placed, "row").select("doc_id", "source", "n", "ids", "x", "base", "top", F.lit(total).cast("long").alias("total"))
-    return full.mapInArrow(_pieces(sequence, sequence * window_sequences, itemsize), PIECES)
+    inside = F.sum("n").over(Window.partitionBy("part").orderBy("queue", "doc_id", "row")) - F.col("n")
+    placed = scratch.cut(slim.withColumn("inside", inside).join(F.broadcast(earlier), "part").select("row", "queue", "n", (F.col("inside") + F.col("earlier")).alias("place")), "placed")
+    queues = placed.groupBy("queue").agg(F.min("place").alias("base"), F.sum("n").alias("tokens"))
+    if weights is None:
+        # Each of these has a token in every window, so there are at most ``window`` of them.
+        bases = sorted(r["base"] for r in queues.where(F.col("tokens") * window >= total).select("base").collect())
+        schedule = Shares([0, *bases[1:], total] if bases else [0, total], window)
+    else:
+        tokens = {r["queue"]: r["tokens"] for r in queues.collect()}
+        whole = [round(w / max(weights.values()) * 10**9) for w in weights.values()]
+        schedule = Mixture([tokens.get(k, 0) for k in range(len(weights) + 1)], [*whole, 0], window)
+    full = rows.join(placed.select("row", "place"), "row").select("doc_id", "source", "n", "ids", "place")
+    return full.mapInArrow(_pieces(spark.sparkContext.broadcast(schedule), sequence, itemsize), PIECES)

@@ -20,7 +20,7 @@ from tessera.llm.html_extraction import extract, main_texts
 from tessera.llm.license_templates import TEMPLATES
 from tessera.llm.licenses import GUARANTEE, TemplateIndex, align, chosen, licenses, report
 from tessera.llm.licenses import _search as license_search
-from tessera.llm.packing import Schedule, pack
+from tessera.llm.packing import Mixture, Shares, pack
 from tessera.llm.tokenizer_files import tokenizer_path
 from tessera.llm.tokens import alnum_hashes, alnum_slices
 from tessera.llm.toxicity import fit, maximal_segments, without_toxic
@@ -203,18 +203,83 @@ def test_extract_rows(spark):
     assert sorted((r.page_id or 0, len(r.text) > 0) for r in got) == [(0, False), (1, True), (1, True), (2, False)]
 
 
-def test_schedule_is_a_round_robin_with_deficits():
-    queues, window = [7, 500, 93, 1, 2400], 64
-    total, at = sum(queues), 0
-    for tokens in queues:
-        s = Schedule(at, at + tokens, total, window)
-        served = [s.before(w)[1] for w in range(-(-total // window) + 1)]
-        assert served[0] == 0 and served[-1] == tokens
-        assert all(abs(v - min(w * window, total) * tokens / total) < 1 for w, v in enumerate(served))
-        for x, n in ((0, tokens), (tokens // 3, tokens // 2)):
-            cuts = list(s.cuts(x, n))
-            assert sum(c[1] for c in cuts) == n and cuts[0][0] == x if n else True
-        at += tokens
+def stream(schedule, tokens, r):
+    """Queue and token at each place of the stream, from cuts of documents of random lengths."""
+    out: dict[int, tuple[int, int]] = {}
+    for q, n in enumerate(tokens):
+        x = 0
+        while x < n:
+            size = min(n - x, r.randint(1, 90))
+            for at, take, place in schedule.cuts(q, x, size):
+                for k in range(take):
+                    assert place + k not in out
+                    out[place + k] = (q, at + k)
+            x += size
+    assert sorted(out) == list(range(sum(tokens)))  # gapless
+    flat = [out[p] for p in range(len(out))]
+    for q, n in enumerate(tokens):
+        assert [x for k, x in flat if k == q] == list(range(n))  # in the queue's order
+    return [q for q, _ in flat]
+
+
+@pytest.mark.parametrize("tokens", [[7, 500, 93, 50, 2400], [64], [1000, 1000], [3000, 64, 64]])
+def test_shares_are_met_in_every_window(tokens):
+    window, total = 64, sum(tokens)
+    tokens = [t for t in tokens if t * window >= total]
+    total = sum(tokens)
+    flat = stream(Shares([0, *itertools.accumulate(tokens)], window), tokens, random.Random(1))
+    for w in range(0, total - window + 1, window):
+        for q, t in enumerate(tokens):
+            assert abs(flat[w : w + window].count(q) - window * t / total) < 2
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_given_weights_are_met_until_a_queue_is_dry(seed):
+    r = random.Random(seed)
+    window, weights = 64, [r.choice([1, 2, 5, 10]) for _ in range(4)] + [0]
+    tokens = [r.choice([0, 1, 100, 700, 2000]) for _ in weights]
+    flat = stream(Mixture(tokens, weights, window), tokens, r)
+    served = [0] * len(tokens)
+    for w in range(0, len(flat), window):
+        part = flat[w : w + window]
+        counts = [part.count(q) for q in range(len(tokens))]
+        live = [q for q in range(len(tokens)) if weights[q] and served[q] < tokens[q]]
+        dry = any(served[q] + counts[q] == tokens[q] for q in live)
+        if live and not dry:
+            for q in live:
+                assert abs(counts[q] - window * weights[q] / sum(weights[k] for k in live)) < 2
+            assert counts[-1] == 0
+        served = [a + b for a, b in zip(served, counts, strict=True)]
+
+
+def test_weights_too_small():
+    with pytest.raises(ValueError):
+        Mixture([10, 10], [1, 1000], 64)
+
+
+def test_pack_by_weights(spark):
+    rows = [(i, "alpha beta gamma delta " * 20) for i in range(60)]
+    docs = documents(spark, rows)
+    pieces = pack(docs, tokenizer_path(), sequence=64, window_sequences=4, weights={"s1": 3, "s2": 1}).collect()
+    share: dict = {}
+    for p in pieces:
+        share.setdefault(p.sequence_id // 4, {}).setdefault(p.source, 0)
+        share[p.sequence_id // 4][p.source] += p.length
+    for k in range(6):
+        assert abs(share[k]["s1"] - 192) < 2 and abs(share[k]["s2"] - 64) < 2 and len(share[k]) == 2
+    ends = {p.source: min(q.sequence_id for q in pieces if q.source == p.source) for p in pieces}
+    assert ends[None] == ends["s0"] or min(ends[None], ends["s0"]) > max(ends["s1"], ends["s2"])
+    assert sum(p.length for p in pieces) == sum({(p.doc_id): p.doc_tokens for p in pieces}.values())
+
+
+def test_small_sources_and_a_hot_one(spark):
+    rows = [(i, "word " * 300) for i in range(40)] + [(100 + i, "a") for i in range(30)]
+    docs = documents(spark, rows).selectExpr("doc_id", "text", "CASE WHEN doc_id < 40 THEN 'hot' ELSE concat('t', doc_id) END AS source")
+    got: dict = {}
+    for p in sorted(pack(docs, tokenizer_path(), sequence=32, window_sequences=2).collect(), key=lambda p: (p.sequence_id, p.offset)):
+        assert p.offset == got.get(p.sequence_id, 0)
+        got[p.sequence_id] = p.offset + p.length
+    assert sorted(got) == list(range(len(got))) and set(list(got.values())[:-1]) == {32}
 
 
 def test_pack_round_trip(spark):
