@@ -11,15 +11,20 @@ the input as it is.
    meet under the same prefix; unequal ones mostly don't.
 2. Texts with equal keys are one text with a count; all their windows repeat.
    Prefixes that only one run has can't hold a repeat and end here. Runs of equal
-   words are one leaf: all their windows repeat, and one of them stands for all.
-3. The words of the remaining runs go to the task of their prefix. Up to GROUP
-   runs of a prefix make one subtree: all suffixes of the runs are ranked by
-   prefix doubling, which sorts them as the leaves of a suffix tree; leaves that
-   share the first LENGTH words lie below an internal node of at least that
-   depth, and are the repeats. A prefix with more runs is made longer, up to the
-   whole window, whose suffixes need no tree: they are counted, pre-aggregated
-   where they are made, so no prefix gathers in one task.
-4. The repeated windows of a text are united and its words removed.
+   words are one leaf with a count; those that aren't alone repeat as a whole, and
+   one of them stands for all in the tree.
+3. The words of the remaining runs go to the task of their prefix, where they make a
+   subtree (small ones share a tree): all suffixes of the runs in order (ranks by prefix doubling) with the
+   lengths of the prefixes that neighbours share. Neighbours that share at least
+   LENGTH words lie below an internal node of that depth; a leaf's deepest such node
+   gives the repeat that begins there, and of repeats that end alike in a run the
+   longest is the maximal one.
+4. A prefix whose group exceeds GROUP runs is lengthened: each window of its runs
+   becomes a suffix of its own, and goes to the group of its first 11, 14, ... words,
+   the fewest of which at most GROUP windows begin with. So groups stay within a
+   task's memory. What has to be lengthened to the whole LENGTH words is a group of
+   equal windows; those need no tree and are counted.
+5. The repeats of a text are united and their words removed.
 
 A null or empty text has no words: n_words 0, nothing removed, the hash of no
 bytes. Texts of fewer than LENGTH words lose nothing. Rows with equal or null ids
@@ -42,7 +47,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, ship
 from .words import Words, grams, mix, slices
 
-LENGTH, PREFIX = 35, 8
+LENGTH, PREFIX, STEP = 35, 8, 3
+#: Prefix lengths for windows whose anchor is too frequent for one tree; the last is the whole window.
+LONGER = tuple(range(PREFIX + STEP, LENGTH + 1, STEP))
 GROUP = 16384
 CODE_BYTES = 5
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -142,11 +149,11 @@ def _text(content: pa.Scalar) -> bytes:
     return zstandard.ZstdDecompressor().decompress(content.as_buffer())
 
 
-RUNS = "prefix long, key_a long, key_b long, start int, count int, codes binary, window_a long, window_b long"
+RUNS = "prefix long, key_a long, key_b long, start int, count int, codes binary, longer array<long>, window long"
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of each wanted run; of a run with a prefix too frequent for one tree, a row for each window with its whole prefix instead.
+    """The words of each wanted run; of a run with a prefix too frequent for one tree, a row for each window with the hashes of its longer prefixes.
 
     Input: key_a, key_b, words, and the runs as array<struct<start, count, prefix, large>>.
     """
@@ -159,60 +166,92 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start, count = field.field("start").to_numpy(), field.field("count").to_numpy()
             prefix, large = field.field("prefix").to_numpy(), field.field("large").to_numpy(zero_copy_only=False)
             codes = h.view(np.uint8).reshape(-1, 8)[:, :CODE_BYTES]
-            small = np.flatnonzero(~large)
-            out = [(int(prefix[r]), int(start[r]), int(count[r]), codes[start[r] : start[r] + count[r] + LENGTH - 1].tobytes(), None, None) for r in small.tolist()]
+            cut = lambda at, n: codes[at : at + n + LENGTH - 1].tobytes()  # noqa: B023, E731
+            out = [(int(prefix[r]), int(start[r]), int(count[r]), cut(start[r], count[r]), None, None) for r in np.flatnonzero(~large).tolist()]
             if large.any():
-                a, b = grams(h, LENGTH, 41).view(np.int64), grams(h, LENGTH, 43).view(np.int64)
+                last = len(h) - LENGTH + 1
+                longer = np.stack([grams(h, n, 41)[:last] for n in LONGER], axis=1).view(np.int64)
+                other = grams(h, LENGTH, 43).view(np.int64)
                 for r in np.flatnonzero(large).tolist():
-                    out += [(None, s, 1, None, int(a[s]), int(b[s])) for s in range(int(start[r]), int(start[r]) + int(count[r]))]
-            n = len(out)
-            if n:
-                columns = [pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()))]
-                yield pa.RecordBatch.from_arrays([columns[0], pa.repeat(batch.column(0)[k], n), pa.repeat(batch.column(1)[k], n), *columns[1:]], ["prefix", "key_a", "key_b", "start", "count", "codes", "window_a", "window_b"])
+                    out += [(None, s, 1, cut(s, 1), longer[s].tolist(), int(other[s])) for s in range(int(start[r]), int(start[r]) + int(count[r]))]
+            for low in range(0, len(out), 4096):
+                part = out[low : low + 4096]
+                columns = [pa.array([o[c] for o in part], t) for c, t in enumerate((pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.int64()))]
+                keys = [pa.repeat(batch.column(c)[k], len(part)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([columns[0], *keys, *columns[1:]], ["prefix", "key_a", "key_b", "start", "count", "codes", "longer", "window"])
 
 
-def deep_leaves(codes: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which suffixes of the given runs share their first ``length`` words with another.
+class Subtree:
+    """The suffix tree of runs of words, as its leaves in order and the depths of the nodes between them.
 
     codes: the words of all runs; bounds: where each begins and the last ends.
-    Ranks by prefix doubling order the suffixes as a suffix tree's leaves; equal
-    ranks at depth ``length`` are leaves below one internal node of that depth.
+    order: the suffixes, by their words up to the run's end; shared[k]: how many
+    words suffixes k and k + 1 of the order begin with alike, which is the depth of
+    the lowest node above both.
     """
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    ends = np.repeat(bounds[1:], np.diff(bounds))
-    room = ends - np.arange(len(codes))
-    depth = 1
-    while depth < length:
-        step = min(depth, length - depth)
-        n = int(rank.max()) + 2
-        follow = np.full(len(rank), -1, np.int64)
-        follow[: len(rank) - step] = rank[step:]
-        follow[room < depth + step] = -1  # the run ends before: no suffix of that depth
-        rank = np.unique(rank * n + follow + 1, return_inverse=True)[1].astype(np.int64)
-        depth += step
-    whole = room >= length
-    size = np.bincount(rank[whole], minlength=int(rank.max()) + 1)
-    return whole & (size[rank] > 1)
+
+    def __init__(self, codes: np.ndarray, bounds: np.ndarray):
+        n = len(codes)
+        sizes = np.diff(bounds)
+        self.room = np.repeat(bounds[1:], sizes) - np.arange(n)
+        longest = int(sizes.max(initial=1))
+        ranks, depth = [np.unique(codes, return_inverse=True)[1].astype(np.int32)], 1
+        while depth < longest:  # ranks by the first 2, 4, 8, ... words; a run's end is less than any word
+            rank = ranks[-1].astype(np.int64)
+            follow = np.zeros(n, np.int64)
+            follow[: n - depth] = rank[depth:] + 1
+            follow[self.room <= depth] = 0
+            ranks.append(np.unique(rank * (n + 2) + follow, return_inverse=True)[1].astype(np.int32))
+            depth *= 2
+        self.order = np.argsort(ranks[-1], kind="stable")
+        a, b = self.order[:-1], self.order[1:]
+        self.shared = np.zeros(max(n - 1, 0), np.int64)
+        least = np.minimum(self.room[a], self.room[b])
+        for level in range(len(ranks) - 1, -1, -1):
+            size = 1 << level
+            fits = self.shared + size <= least
+            at = np.where(fits, self.shared, 0)
+            self.shared += size * (fits & (ranks[level][a + at] == ranks[level][b + at]))
+
+    def depths(self) -> np.ndarray:
+        """For each suffix the depth of the deepest node above its leaf: how many of its words begin another suffix too."""
+        out = np.zeros(len(self.order), np.int64)
+        either = np.maximum(np.append(0, self.shared), np.append(self.shared, 0))[: len(self.order)]
+        out[self.order] = either
+        return out
+
+
+def maximal_repeats(codes: np.ndarray, bounds: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(places, words) of the repeats of at least ``length`` words that begin no earlier in their run."""
+    depth = Subtree(codes, bounds).depths()
+    depth[depth < length] = 0
+    inner = np.zeros(len(depth), bool)  # the rest of the repeat that begins a word before
+    inner[1:] = (depth[1:] > 0) & (depth[:-1] == depth[1:] + 1)
+    inner[bounds[:-1]] = False
+    places = np.flatnonzero((depth > 0) & ~inner)
+    return places, depth[places]
+
+
+SPANS = "key_a long, key_b long, start int, words int"
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (prefix, key_a, key_b, start, count, codes) sorted by prefix: the repeated windows of each run as bits."""
+    """Rows (prefix, key_a, key_b, start, count, codes) sorted by prefix: the repeats of each run."""
     held: list[pa.RecordBatch] = []
 
     def solve(rows: pa.Table) -> pa.RecordBatch | None:
-        counts = rows.column("count").to_numpy()
+        counts = rows.column("count").to_numpy().astype(np.int64)
         flat = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(-1, CODE_BYTES)
         wide = np.zeros((len(flat), 8), np.uint8)
         wide[:, :CODE_BYTES] = flat
-        bounds = np.append(0, np.cumsum(counts.astype(np.int64) + LENGTH - 1))
-        found = np.flatnonzero(deep_leaves(wide.view(np.uint64).ravel(), bounds))
-        if not len(found):
+        bounds = np.append(0, np.cumsum(counts + LENGTH - 1))
+        # Small groups share one tree: windows of different prefixes differ, so they only hang beside each other.
+        places, words = maximal_repeats(wide.view(np.uint64).ravel(), bounds)
+        if not len(places):
             return None
-        run = np.searchsorted(bounds, found, "right") - 1
-        bits = np.zeros(len(counts), np.int64)
-        np.bitwise_or.at(bits, run, np.int64(1) << (found - bounds[run]))
-        hit = np.flatnonzero(bits)
-        return pa.RecordBatch.from_arrays([*(rows.column(c).take(pa.array(hit)).combine_chunks() for c in ("key_a", "key_b", "start")), pa.array(bits[hit])], ["key_a", "key_b", "start", "bits"])
+        run = np.searchsorted(bounds, places, "right") - 1
+        start = rows.column("start").to_numpy()[run] + (places - bounds[run])
+        return pa.RecordBatch.from_arrays([*(rows.column(c).take(pa.array(run)).combine_chunks() for c in ("key_a", "key_b")), pa.array(start.astype(np.int32)), pa.array(words.astype(np.int32))], ["key_a", "key_b", "start", "words"])
 
     size = 0
     for batch in batches:
@@ -233,6 +272,25 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out
 
 
+def lengthened(windows: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(rows for trees, repeats) of single windows whose anchor was too frequent: each under its shortest prefix that at most GROUP windows have."""
+    names = ("prefix", "key_a", "key_b", "start", "count", "codes")
+    trees = windows.where("false").select(*names)
+    for level in range(len(LONGER) - 1):
+        if windows.isEmpty():
+            break
+        windows = windows.withColumn("prefix", F.col("longer")[level])
+        sizes = scratch.cut(windows.groupBy(F.col("prefix").alias("of")).agg(F.count(F.lit(1)).alias("n")), "sizes")
+        fit = windows.join(sizes.where(F.col("n").between(2, GROUP)), F.col("prefix") == F.col("of"))
+        # Prefixes of different lengths are different groups.
+        trees = trees.unionByName(fit.withColumn("prefix", F.xxhash64("prefix", F.lit(LONGER[level]))).select(*names))
+        windows = scratch.cut(windows.join(sizes.where(F.col("n") > GROUP), F.col("prefix") == F.col("of")).drop("of", "n"), "longer")
+    whole = windows.select("key_a", "key_b", "start", F.col("longer")[len(LONGER) - 1].alias("a"), F.col("window").alias("b"))
+    again = scratch.cut(whole.groupBy(F.col("a").alias("of_a"), F.col("b").alias("of_b")).agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "again")
+    repeats = whole.join(again, (F.col("a") == F.col("of_a")) & (F.col("b") == F.col("of_b")))
+    return trees, repeats.select("key_a", "key_b", "start", F.lit(LENGTH).alias("words"))
+
+
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key_a, key_b, words, repeats) to the number of removed words and what is left."""
     for batch in batches:
@@ -241,11 +299,9 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = _text(batch.column(2)[k]).split(b" ")
             cover = np.zeros(len(words) + 1, np.int32)
             field = batch.column(3)[k].values
-            start, bits = field.field("start").to_numpy().astype(np.int64), field.field("bits").to_numpy()
-            for b in range(LENGTH):
-                at = start[(bits >> b) & 1 == 1] + b
-                np.add.at(cover, at, 1)
-                np.add.at(cover, at + LENGTH, -1)
+            start = field.field("start").to_numpy().astype(np.int64)
+            np.add.at(cover, start, 1)
+            np.add.at(cover, start + field.field("words").to_numpy(), -1)
             gone = np.cumsum(cover[:-1]) > 0
             removed.append(int(gone.sum()))
             left.append(b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]))
@@ -272,8 +328,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> tup
     # Runs of equal words are one leaf of the tree; all windows of a run that isn't alone repeat.
     distinct = shared.groupBy("prefix", "content").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key_a", "key_b", "start", "count")).alias("one"))
     distinct = scratch.cut(distinct, "distinct")
-    whole_bits = F.expr("shiftleft(1L, count) - 1L")
-    equal = scratch.cut(shared.join(distinct.where("n > 1").select("prefix", "content"), ["prefix", "content"]).select("key_a", "key_b", "start", whole_bits.alias("bits")), "equal")
+    equal = scratch.cut(shared.join(distinct.where("n > 1").select("prefix", "content"), ["prefix", "content"]).select("key_a", "key_b", "start", (F.col("count") + LENGTH - 1).alias("words")), "equal")
     scratch.drop(shared)
     branches = scratch.cut(distinct.groupBy("prefix").agg(F.count(F.lit(1)).alias("k")).where("k > 1"), "branches")
     leaves = distinct.join(branches, "prefix").select("one.key_a", "one.key_b", F.struct(F.col("one.start").alias("start"), F.col("one.count").alias("count"), "prefix", (F.col("k") > GROUP).alias("large")).alias("run"))
@@ -286,12 +341,9 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, with_text: bool) -> tup
     spread = held.mapInArrow(_runs, RUNS)
     spread = scratch.cut(spread, "spread")
     trees = spread.where("prefix is not null").select("prefix", "key_a", "key_b", "start", "count", "codes")
-    trees = trees.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees, "key_a long, key_b long, start int, bits long")
-    windows = spread.where("prefix is null").select("window_a", "window_b", "key_a", "key_b", "start")
-    again = windows.groupBy("window_a", "window_b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window_a", "window_b")
-    again = scratch.cut(again, "again")
-    whole = windows.join(again, ["window_a", "window_b"]).select("key_a", "key_b", "start", F.lit(1).cast("long").alias("bits"))
-    spans = trees.unionByName(whole).unionByName(equal).groupBy("key_a", "key_b").agg(F.collect_list(F.struct("start", "bits")).alias("repeats"))
+    more, whole = lengthened(spread.where("prefix is null"), scratch)
+    trees = trees.unionByName(more).repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees, SPANS)
+    spans = trees.unionByName(whole).unionByName(equal).groupBy("key_a", "key_b").agg(F.collect_list(F.struct("start", "words")).alias("repeats"))
     spans = scratch.cut(spans, "spans")
     scratch.drop(spread)
     # All words of a text with copies go, so only the others need their words again.

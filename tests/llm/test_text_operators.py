@@ -8,11 +8,12 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import near_dedup, substrings
 from tessera.llm.near_dedup import BINS, near_duplicates, sketch
 from tessera.llm.quality import quality
-from tessera.llm.substrings import deep_leaves, substring_dedup
+from tessera.llm.substrings import Subtree, maximal_repeats, substring_dedup
 from tessera.llm.words import slices
 
 from .helpers import corpus, documents, lower, words
@@ -125,11 +126,12 @@ def stripped(rows, length=35):
     return [(len(words(t)), len(gone[n]), hashlib.sha256(" ".join(x for k, x in enumerate(words(t)) if k not in gone[n]).encode()).hexdigest()) for n, (_, t) in enumerate(rows)]
 
 
-@pytest.mark.parametrize("group", [16384, 1])
+@pytest.mark.parametrize("group", [16384, 20, 1])
 def test_substrings_equal_brute_force(spark, monkeypatch, group):
     monkeypatch.setattr(substrings, "GROUP", group)
     rows = corpus(seed=8, n=90)
     rows += [(i + 100, t) for i, t in rows[20:24]]  # copies
+    rows += [(200, " ".join(f"long{k % 9000}" for k in range(30_000)))]
     got = rows_of(substring_dedup(documents(spark, rows, {"key_a": "x", "starts": "x"}), with_text=True))
     for (i, t), expected in zip(rows, stripped(rows), strict=True):
         r = got[i]
@@ -138,10 +140,47 @@ def test_substrings_equal_brute_force(spark, monkeypatch, group):
         assert hashlib.sha256(left.encode()).hexdigest() == r.kept_sha256
 
 
-def test_deep_leaves():
+def test_subtree_is_the_suffixes_in_order():
+    r = np.random.default_rng(5)
+    runs = [r.integers(0, 3, n) for n in (1, 9, 17, 30, 30)] + [np.zeros(20, int)]
+    codes, bounds = np.concatenate(runs).astype(np.uint64), np.append(0, np.cumsum([len(x) for x in runs]))
+    tree = Subtree(codes, bounds)
+    suffix = lambda p: codes[p : bounds[np.searchsorted(bounds, p, "right")]].tolist()
+    ordered = [suffix(p) for p in tree.order]
+    assert ordered == sorted(ordered) and sorted(tree.order) == list(range(len(codes)))
+    same = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    assert tree.shared.tolist() == [same(a, b) for a, b in zip(ordered, ordered[1:], strict=False)]
+    depths = tree.depths()
+    for p in range(len(codes)):
+        assert depths[p] == max(same(suffix(p), suffix(q)) for q in range(len(codes)) if q != p)
+
+
+def test_maximal_repeats():
     run = np.arange(40, dtype=np.uint64)
     other = run.copy()
     other[39] = 77
     codes = np.concatenate([run, other, run + np.uint64(1000)])
-    found = deep_leaves(codes, np.array([0, 40, 80, 120]))
-    assert found[:5].all() and found[40:45].all() and found.sum() == 10
+    places, words_ = maximal_repeats(codes, np.array([0, 40, 80, 120]))
+    assert places.tolist() == [0, 40] and words_.tolist() == [39, 39]
+
+
+def test_prefixes_of_many_lengths(spark, monkeypatch):
+    """An anchor too frequent for its group is lengthened until the windows with that prefix fit."""
+    lengths = set()
+    real = substrings.lengthened
+
+    def spy(windows, scratch):
+        trees, whole = real(windows, scratch)
+        lengths.update(r.n for r in trees.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).collect())
+        return trees, whole
+
+    monkeypatch.setattr(substrings, "GROUP", 12)
+    monkeypatch.setattr(substrings, "lengthened", spy)
+    common = [f"c{i}" for i in range(12)]
+    body = [f"b{i}" for i in range(40)]
+    rows = [(i, " ".join([f"l{i}_{k}" for k in range(30)] + common + [f"r{i}_{k}" for k in range(30)])) for i in range(30)]
+    rows += [(100 + i, " ".join([f"l{100 + i}_{k}" for k in range(30)] + common + body[: 20 + i] + [f"r{100 + i}_{k}" for k in range(20)])) for i in range(20)]
+    got = rows_of(substring_dedup(documents(spark, rows)))
+    for (i, _), expected in zip(rows, stripped(rows), strict=True):
+        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == expected, i
+    assert lengths and max(lengths) <= 12
