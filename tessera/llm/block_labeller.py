@@ -16,7 +16,7 @@ from pathlib import Path
 
 import numpy as np
 
-from .html_blocks import Block
+from .html_blocks import Block, Element
 from .words import Words
 
 PATH_SIZE, WORD_SIZE, SHAPES = 160, 16, 9
@@ -31,15 +31,26 @@ def _place(feature: str) -> int:
 
 
 @functools.lru_cache(maxsize=1 << 14)
-def _path_places(path: tuple) -> tuple[int, ...]:
-    out = set()
-    for tag, names in path:
-        out.add(_place("tag " + tag))
-        out.update(_place("name " + n) for n in names)
-    if path:
-        out.add(_place("leaf " + path[-1][0]))
-        out.update(_place("own " + n) for n in path[-1][1])
-    return tuple(sorted(out))
+def _own_places(tag: str, names: tuple[str, ...]) -> tuple[int, int]:
+    """Bits of the places that an element sets for all within it, and for the blocks of its own."""
+    within = {_place("tag " + tag), *(_place("name " + n) for n in names)}
+    own = {_place("leaf " + tag), *(_place("own " + n) for n in names)}
+    return sum(1 << p for p in within), sum(1 << p for p in own)
+
+
+def _places(element: Element | None, known: dict[int, int]) -> list[int]:
+    """The places that a block of ``element`` sets; known: by id, the bits of the elements of this page."""
+    chain, e = [], element
+    while e is not None and id(e) not in known:
+        chain.append(e)
+        e = e.parent
+    bits = known[id(e)] if e is not None else 0
+    for e in reversed(chain):
+        bits |= _own_places(e.tag, e.names)[0]
+        known[id(e)] = bits
+    if element is not None:
+        bits = known[id(element)] | _own_places(element.tag, element.names)[1]
+    return [p for p in range(PATH_SIZE) if bits >> p & 1]
 
 
 def features(pages: list[list[Block]]) -> np.ndarray:
@@ -49,8 +60,12 @@ def features(pages: list[list[Block]]) -> np.ndarray:
     if not found:
         return out
     rows, columns = [], []
+    known: dict[int, int] = {}
+    places_of: dict[int, list[int]] = {}
     for k, b in enumerate(found):
-        places = _path_places(b.path)
+        if id(b.element) not in places_of:
+            places_of[id(b.element)] = _places(b.element, known)
+        places = places_of[id(b.element)]
         rows += [k] * len(places)
         columns += places
     out[rows, columns] = 1
@@ -73,7 +88,7 @@ def features(pages: list[list[Block]]) -> np.ndarray:
     shape[:, 4] = data[bounds[1:] - 1] == 46
     shape[:, 5] = per((data >= 48) & (data <= 57)) / np.maximum(size, 1)
     shape[:, 6] = place
-    shape[:, 7] = [len(b.path) / 10 for b in found]
+    shape[:, 7] = [(b.element.depth if b.element else 0) / 10 for b in found]
     shape[:, 8] = 1
     return out
 

@@ -3,20 +3,23 @@
 A small tolerant reader for pages as they come: unclosed and crossed elements,
 stray ends, unquoted attributes, comments and raw text. A block is the text
 between two block-level boundaries; inline elements and ``br`` don't end one.
-Heads, scripts, styles and templates have no blocks.
+Scripts, styles and titles have no blocks; all other text is some block's, so that
+the labeller judges it. Elements know the one around them, so a page takes memory
+in proportion to its length however deeply it nests.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 # Element names by what they do.
-RAW = frozenset("script style title textarea noscript template iframe svg math object".split())
-KEPT_RAW = frozenset(["textarea"])
+RAW = frozenset("script style title textarea iframe".split())
+KEPT_RAW = frozenset(["textarea", "iframe"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark math object q s samp small span strike strong sub sup svg time tt u var wbr".split())
 CLOSES = {
     "p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]),
     "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]),
@@ -30,12 +33,26 @@ _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _NAME = re.compile(r"[A-Za-z]+")
 
 
+@dataclass(frozen=True, eq=False)
+class Element:
+    """An open block element: its tag, the words of its class, id and role, the block element around it, and how many there are with it."""
+
+    tag: str
+    names: tuple[str, ...]
+    parent: Element | None
+    depth: int
+
+
+def child(parent: Element | None, tag: str, names: tuple[str, ...]) -> Element:
+    return Element(tag, names, parent, parent.depth + 1 if parent else 1)
+
+
 @dataclass
 class Block:
-    """text: decoded, white space as single spaces; path: of the block elements around it, outermost first, as (tag, names); linked: characters within links."""
+    """text: decoded, white space as single spaces; element: the innermost block element around it; linked: characters within links."""
 
     text: str
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    element: Element | None
     linked: int
 
 
@@ -52,42 +69,53 @@ def names_of(attributes: str) -> tuple[str, ...]:
 
 def blocks(page: str) -> list[Block]:
     out: list[Block] = []
-    stack: list[tuple[str, tuple | None]] = []  # name, path with it (None: inline)
-    path: tuple = ()
+    # Name, whether it is a block element, and the block element around it.
+    stack: list[tuple[str, bool, Element | None]] = []
+    opened: Counter = Counter()
+    here: Element | None = None
     held: list[str] = []
-    linked = links = 0
+    linked = 0
 
     def flush() -> None:
         nonlocal linked
         if held:
             text = " ".join(html.unescape("".join(held)).split())
             if text:
-                out.append(Block(text, path, linked))
+                out.append(Block(text, here, linked))
             held.clear()
         linked = 0
 
     def close(names: frozenset, until: frozenset) -> None:
         """End the innermost open element of ``names`` and what is within, not looking beyond ``until``."""
-        nonlocal path, links
+        nonlocal here
+        if not any(opened[n] for n in names):
+            return
         for k in range(len(stack) - 1, -1, -1):
-            name, at = stack[k]
+            name = stack[k][0]
             if name in names:
-                if any(p is not None for _, p in stack[k:]):
+                if any(block for _, block, _ in stack[k:]):
                     flush()
-                links -= sum(n == "a" for n, _ in stack[k:])
+                opened.subtract(n for n, _, _ in stack[k:])
+                here = stack[k][2]
                 del stack[k:]
-                path = next((p for _, p in reversed(stack) if p is not None), ())
                 return
             if name in until:
                 return
 
+    def push(name: str, block: bool, names: tuple[str, ...] = ()) -> None:
+        nonlocal here
+        stack.append((name, block, here))
+        opened[name] += 1
+        if block:
+            here = child(here, name, names)
+
     at = 0
     while True:
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
         if text:
             held.append(text)
-            if links > 0:
+            if opened["a"]:
                 linked += len(text)
         if not m:
             break
@@ -99,7 +127,7 @@ def blocks(page: str) -> list[Block]:
         if m[1]:
             if name == "br":
                 held.append(" ")
-            elif name == "p" and not any(n == "p" for n, _ in stack):
+            elif name == "p" and not opened["p"]:
                 flush()
             else:
                 close(frozenset([name]), frozenset() if name not in INLINE else SCOPES)
@@ -110,15 +138,14 @@ def blocks(page: str) -> list[Block]:
                 flush()
                 inner = " ".join(html.unescape(page[at : end.start() if end else len(page)]).split())
                 if inner:
-                    out.append(Block(inner, (*path, (name, names_of(m[3]))), 0))
+                    out.append(Block(inner, child(here, name, names_of(m[3])), 0))
             at = end.end() if end else len(page)
             continue
         if name in INLINE:
             if name in VOID:
                 held.append(" " if name == "br" else "")
             else:
-                stack.append((name, None))
-                links += name == "a"
+                push(name, False)
             continue
         if name in CLOSES:
             for _ in range(3):
@@ -128,7 +155,6 @@ def blocks(page: str) -> list[Block]:
         flush()
         if name in VOID:
             continue
-        path = (*path, (name, names_of(m[3])))
-        stack.append((name, path))
+        push(name, True, names_of(m[3]))
     flush()
     return out

@@ -12,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 from tessera.llm import decontamination, toxicity
-from tessera.llm.block_labeller import trained
+from tessera.llm.block_labeller import features, trained
 from tessera.llm.block_training import accuracy, gradients
 from tessera.llm.decontamination import best_run, leaks
 from tessera.llm.html_blocks import blocks
@@ -197,6 +197,27 @@ def test_odd_pages(page):
     assert all(b.text == " ".join(b.text.split()) for b in blocks(page))
 
 
+def test_deep_pages_take_memory_in_proportion():
+    import tracemalloc
+
+    peaks = []
+    for depth in (10_000, 100_000):
+        page = "<div class='a b'>x" * depth + "</span></em>" * depth + "<p>The end of it, in a sentence.</p>" + "</div>" * depth
+        tracemalloc.start()
+        found = blocks(page)
+        features([found])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert len(found) == depth + 1 and found[-1].element.depth == depth + 1
+    assert peaks[1] < 15 * peaks[0]
+    assert isinstance(main_texts([page])[0][0], str)
+
+
+def test_no_text_is_dropped_unjudged():
+    page = "<p>One <math>x + y</math> two <svg><text>label</text></svg></p><noscript><p>Turn it on</p></noscript><template><p>Later</p></template><iframe>framed</iframe><object>thing</object><style>s</style><script>c</script>"
+    assert [b.text for b in blocks(page)] == ["One x + y two", "label", "Turn it on", "Later", "framed", "thing"]
+
+
 def test_extract_rows(spark):
     rows = [(1, "http://a/", PAGE), (1, "http://a/", PAGE), (None, None, None), (2, None, "")]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_blocks")).collect()
