@@ -35,12 +35,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the session names; a temporary one only where none is named, as in tests."""
+    """The shared folder that the session names; a temporary one only in local mode, as in tests. On a cluster it must be named."""
     app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        base = _OWN_ROOTS.setdefault(app, "") or Path(tempfile.mkdtemp(prefix="tessera-scratch-")).as_uri()
-        _OWN_ROOTS[app] = base
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        if app not in _OWN_ROOTS:
+            _OWN_ROOTS[app] = Path(tempfile.mkdtemp(prefix="tessera-scratch-")).as_uri()
+        base = _OWN_ROOTS[app]
     return f"{base.rstrip('/')}/tessera/{app}"
 
 

@@ -38,7 +38,13 @@ WITH split AS (SELECT page_id, html, {_split("url")[0]} AS host, {_split("url")[
 ), seeds AS (
   SELECT host, avg(CASE WHEN verdict = 'allow' THEN 1.0::DOUBLE ELSE 0 END) AS allowed, avg(CASE WHEN verdict = 'block' THEN 1.0::DOUBLE ELSE 0 END) AS blocked
   FROM ruled WHERE host <> '' GROUP BY host
-), targets AS (SELECT host AS source, unnest(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']?([a-z][a-z0-9+.-]*://[^\\s"''>]+)', 1)) AS url FROM ruled
+), named AS (
+  SELECT host AS source, regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^\\s"''>]+)', 1) AS absolute,
+    regexp_extract(html, '(?is)<base\\s[^>]*?href\\s*=\\s*["'']?((?:[a-z][a-z0-9+.-]*:)?//[^\\s"''>]+)', 1) AS base,
+    list_filter(regexp_extract_all(html, '(?is)<a\\s[^>]*?href\\s*=\\s*["'']?([^\\s"''>]+)', 1), lambda x: NOT regexp_matches(x, '(?i)^([a-z][a-z0-9+.-]*:|//|#)')) AS relative FROM ruled
+), targets AS (
+  SELECT source, CASE WHEN starts_with(url, '//') THEN 'x:' || url ELSE url END AS url
+  FROM (SELECT source, unnest(list_concat(absolute, CASE WHEN base <> '' THEN list_transform(relative, lambda x: base) ELSE [] END)) AS url FROM named)
 ), links AS (SELECT source, {_split("url")[0]} AS target FROM targets
 ), pairs AS (SELECT source, target, count(*) AS n FROM links WHERE source <> '' AND target <> '' AND source <> target GROUP BY ALL
 ), edges AS (SELECT source, target, n / sum(n) OVER (PARTITION BY source) AS along, n / sum(n) OVER (PARTITION BY target) AS against FROM pairs

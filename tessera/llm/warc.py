@@ -167,14 +167,9 @@ def parse_record(raw: bytes) -> dict:
     return out
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (ident, url, payload, digest, refers_to) to archives of about ARCHIVE_BYTES of records."""
+def _archives(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, int]]:
+    """(archive, records) of rows (ident, url, payload, digest, refers_to), each of about ARCHIVE_BYTES of records."""
     held, size = [], 0
-
-    def archive() -> pa.RecordBatch:
-        content = write_archive(held)
-        return pa.RecordBatch.from_arrays([pa.array([f"{hashlib.sha1(content).hexdigest()}.warc.zst"]), pa.array([content], pa.binary())], ["path", "content"])
-
     for batch in batches:
         columns = [batch.column(k) for k in range(5)]
         for k in range(len(batch)):
@@ -183,10 +178,15 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(record_bytes(ident, url, payload, base64.b32encode(bytes.fromhex(digest)).decode(), refers))
             size += len(held[-1])
             if size >= ARCHIVE_BYTES:
-                yield archive()
+                yield write_archive(held), len(held)
                 held, size = [], 0
     if held:
-        yield archive()
+        yield write_archive(held), len(held)
+
+
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for content, _ in _archives(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([f"{hashlib.sha1(content).hexdigest()}.warc.zst"]), pa.array([content], pa.binary())], ["path", "content"])
 
 
 RECORDS = "path string, record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary, valid boolean, error string"

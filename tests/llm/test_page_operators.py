@@ -130,3 +130,15 @@ def test_propagation_equals_power_iteration(spark):
             score = new
         assert all(abs(got[h][name] - score[h]) < 1e-8 for h in links), name
     assert got["near.x"].verdict == "block" and got["fine.x"].verdict == "allow"
+
+
+def test_links_without_a_scheme_and_base(spark):
+    rows = [
+        (1, "http://a.x/p", "<a href='//bad.b/q'>x</a><a href=/own>y</a><a href='#top'>z</a>"),
+        (2, "https://c.x/p", "<base href='https://bad.b/dir/'><a href=one>x</a><a href='mailto:me@a.x'>m</a>"),
+        (3, "https://d.x/p", "<a href=one>x</a><a href='mailto:me@bad.b'>m</a>"),
+        (4, "http://bad.b/", None), (5, "http://bad.b/", None), (5, "http://bad.b/", None),
+    ]
+    got = url_verdicts(spark.createDataFrame(rows, PAGES), (Rule("b", "/", "block"),), threshold=0.2).collect()
+    assert len(got) == len(rows)
+    assert {r.host: (r.verdict, r.distrust > 0) for r in got} == {"a.x": ("block", True), "c.x": ("block", True), "d.x": ("allow", False), "bad.b": ("block", True)}
