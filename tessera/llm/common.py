@@ -55,14 +55,18 @@ class Scratch:
         self.base = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
-    def cut(self, df: DataFrame, label: str) -> DataFrame:
-        """Write ``df`` and return a reader of what was written."""
+    def folder(self, label: str) -> str:
+        """A new folder, which goes when the application ends."""
         self.count += 1
-        path = f"{self.base}/{self.count:03d}-{label}"
-        df.write.option("compression", "zstd").parquet(path)
-        if self.count == 1:  # what is left goes when the application ends
+        if self.count == 1:
             at, files = self._at(self.base)
             files.deleteOnExit(at)
+        return f"{self.base}/{self.count:03d}-{label}"
+
+    def cut(self, df: DataFrame, label: str) -> DataFrame:
+        """Write ``df`` and return a reader of what was written."""
+        path = self.folder(label)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

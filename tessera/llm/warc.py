@@ -7,18 +7,25 @@ the payload) or, where another record holds an equal payload, ``revisit``
 records (the HTTP header block alone, with the digest and the record it refers
 to).
 
-Archives are rows ``(path, content)``, the shape of Spark's ``binaryFile``
-source, and are written as a table to the shared folder, so any executor can
-read any archive and a lost one can be read again. The reader loads the
+Archives are files that any reader of Zstandard frames can open. Spark writes them
+through its own commit protocol into the shared folder, one row a file, as text whose
+line separator is an empty skippable frame; so a lost executor's files are written
+again, and none is half there. The reader takes ``binaryFile`` rows ``(path,
+content)``: it loads the
 dictionary, decodes a frame at a time and validates versions, mandatory headers,
-content lengths, payload lengths and digests; a record that fails is returned
-with ``valid = false`` and the reason instead of ending the job.
+content lengths, payload lengths and digests; a record that fails, or is larger than
+``max_record_bytes`` when decoded, is returned
+with ``valid = false`` and the reason instead of ending the job. An archive of few
+or small records has nothing to learn a dictionary from: its leading frame is empty.
 
 Copies are told apart by SHA-1 with a partial aggregation (the
-largest id for each digest) and an equi-join, so a digest that a third of the
+largest id for each digest, of rows with one id the last written) and an equi-join,
+so a digest that a third of the
 rows share costs no more than any other. Null payloads are empty. Rows with a
-null id are records as well, never chosen as the response that others refer to
-unless no other copy has an id. Rows that repeat an id are written once each.
+null id are records as well, the response of others only if no copy has an id.
+Rows that repeat an id are records of their own: a record's id holds the page's id
+and the row's number, so no two are alike. Columns besides the three that are named
+are not read.
 """
 
 from __future__ import annotations
@@ -30,7 +37,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, ship
@@ -43,6 +50,10 @@ DICTIONARY_BYTES = 16 << 10
 LEVEL = 3
 FEED_BYTES = 16 << 10
 MIN_REVISIT_BYTES = 0
+MAX_RECORD_BYTES = 256 << 20
+#: An empty skippable frame, in characters that are their own bytes.
+EMPTY_FRAME = struct.pack("<II", 0x184D2A50, 0).decode("ascii")
+SUFFIX = ".warc.zst"
 ID_PREFIX = "urn:tessera:page:"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
@@ -90,8 +101,8 @@ class ArchiveError(ValueError):
     """The archive cannot be read on."""
 
 
-def read_frames(content: bytes) -> Iterator[bytes]:
-    """The decoded records of an archive, one frame at a time."""
+def read_frames(content: bytes, most: int = MAX_RECORD_BYTES) -> Iterator[bytes | None]:
+    """The decoded records of an archive, one frame at a time; None for one of more than ``most`` bytes, which is never held."""
     view, at = memoryview(content), 0
     unpacker = zstandard.ZstdDecompressor()
     while at < len(view):
@@ -110,18 +121,23 @@ def read_frames(content: bytes) -> Iterator[bytes]:
             continue
         if magic != FRAME_MAGIC:
             raise ArchiveError(f"no frame at byte {at}")
-        reader, parts, began = unpacker.decompressobj(), [], at
+        reader, parts, held, began = unpacker.decompressobj(), [], 0, at
         while not reader.eof:
             piece = view[at : at + FEED_BYTES]
             if not len(piece):
                 raise ArchiveError("truncated frame")
             try:
-                parts.append(reader.decompress(piece))
+                part = reader.decompress(piece)
             except zstandard.ZstdError as error:
                 raise ArchiveError(f"frame at byte {began}: {error}") from error
             at += len(piece)
+            held += len(part)
+            if held <= most:
+                parts.append(part)
+            else:
+                parts.clear()
         at -= len(reader.unused_data)
-        yield b"".join(parts)
+        yield b"".join(parts) if held <= most else None
 
 
 def parse_record(raw: bytes) -> dict:
@@ -192,7 +208,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 RECORDS = "path string, record_id string, record_type string, target_uri string, refers_to string, payload_bytes long, payload_digest string, payload binary, valid boolean, error string"
 
 
-def _reader(with_payload: bool):
+def _reader(with_payload: bool, max_record_bytes: int):
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["path", "record_id", "record_type", "target_uri", "refers_to", "payload_bytes", "payload_digest", "payload", "valid", "error"]
         types = [pa.string()] * 5 + [pa.int64(), pa.string(), pa.binary(), pa.bool_(), pa.string()]
@@ -205,10 +221,10 @@ def _reader(with_payload: bool):
             for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, size = [], 0
                 try:
-                    for raw in read_frames(content.as_buffer().to_pybytes()) if content.is_valid else ():
-                        row = parse_record(raw)
+                    for raw in read_frames(content.as_buffer().to_pybytes(), max_record_bytes) if content.is_valid else ():
+                        row = parse_record(raw) if raw is not None else blank | {"error": "larger than max_record_bytes"}
                         rows.append(row | {"path": path, "valid": row["error"] is None} | ({} if with_payload else {"payload": None}))
-                        size += len(raw) if with_payload else 256
+                        size += len(raw or b"") if with_payload else 256
                         if size > 8 << 20:
                             yield out(rows)
                             rows, size = [], 0
@@ -220,27 +236,59 @@ def _reader(with_payload: bool):
     return read
 
 
-def read_archives(archives: DataFrame, with_payload: bool = True) -> DataFrame:
+def read_archives(archives: DataFrame, with_payload: bool = True, max_record_bytes: int = MAX_RECORD_BYTES) -> DataFrame:
     """A row for each record of ``archives`` (path, content), as from ``spark.read.format('binaryFile')``."""
     ship(archives.sparkSession)
-    return archives.select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(_reader(with_payload), RECORDS)
+    return archives.select(F.col("path").cast("string"), F.col("content").cast("binary")).mapInArrow(_reader(with_payload, max_record_bytes), RECORDS)
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """``(path, content)`` rows that hold a record for each row of ``pages``."""
+    """``(path, content)`` rows, each an archive, that hold a record for each row of ``pages``."""
     spark = pages.sparkSession
     ship(spark)
+    scratch = Scratch(spark, "warc-rows")
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha1(F.encode(html, "UTF-8")).alias("digest"))
-    first = rows.where(F.octet_length("html") >= min_revisit_bytes).groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and response is not null")
-    first = Scratch(spark, "warc-copies").cut(first, "first")  # so that Spark can split a digest with very many rows in the join
+    # Written with its number, which has to be the same for the choice of responses and for the records.
+    rows = scratch.cut(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    last = F.max(F.struct("page_id", "row")).alias("response")
+    first = rows.where(F.octet_length("html") >= min_revisit_bytes).groupBy(F.col("digest").alias("of")).agg(last, F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    first = scratch.cut(first.drop("copies"), "first")  # so that Spark can split a digest with very many rows in the join
     keyed = rows.join(first, F.col("digest") == F.col("of"), "left")
-    ident = lambda c: F.concat(F.lit(ID_PREFIX), F.coalesce(c.cast("string"), F.lit("none")))
-    revisits = F.col("response").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("response"))
-    return keyed.select(ident(F.col("page_id")), "url", "html", "digest", F.when(revisits, ident(F.col("response")))).mapInArrow(_pack, "path string, content binary")
+    ident = lambda page, row: F.concat(F.lit(ID_PREFIX), F.coalesce(page.cast("string"), F.lit("none")), F.lit(":"), row.cast("string"))
+    revisits = F.col("response").isNotNull() & (F.col("row") != F.col("response.row"))
+    records = keyed.select(ident(F.col("page_id"), F.col("row")).alias("ident"), "url", "html", "digest", F.when(revisits, ident(F.col("response.page_id"), F.col("response.row"))).alias("refers_to"))
+    return records.mapInArrow(_pack, "path string, content binary")
+
+
+def save_archives(archives: DataFrame, folder: str) -> None:
+    """Write each of ``archives`` (path, content) as a file of its own into ``folder``, named part-...{SUFFIX}.
+
+    The names are given by the driver when all is written: a call of the file system a file, no data moves.
+    """
+    spark = archives.sparkSession
+    archives.select(F.col("content").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", 1).text(folder)
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in files.listStatus(at):
+        name = status.getPath().getName()
+        if name.endswith(".txt"):
+            files.rename(status.getPath(), spark._jvm.org.apache.hadoop.fs.Path(at, name.removesuffix(".txt") + SUFFIX))
+
+
+def open_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """``(path, content)`` of the archives in ``folder``."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", f"*{SUFFIX}").load(folder).select("path", "content")
+
+
+def page_of(record_id: Column) -> Column:
+    """The page's id in a record's id."""
+    return F.regexp_extract(record_id, f"^{ID_PREFIX}(-?[0-9]+|none):", 1).try_cast("long")
 
 
 def round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write the archives of ``pages`` to the shared folder, and read every record back from there."""
-    archives = Scratch(pages.sparkSession, "warc").cut(write_archives(pages, id_col, url_col, html_col), "archives")
-    return read_archives(archives, with_payload=False)
+    spark = pages.sparkSession
+    folder = Scratch(spark, "warc").folder("archives")
+    save_archives(write_archives(pages, id_col, url_col, html_col), folder)
+    return read_archives(open_archives(spark, folder), with_payload=False)

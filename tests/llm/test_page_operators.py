@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import struct
 
 import pytest
+import zstandard
 
 from tessera.llm.url_filter import Rule, url_verdicts
-from tessera.llm.warc import ArchiveError, parse_record, read_archives, read_frames, record_bytes, round_trip, write_archive, write_archives
+from tessera.llm.warc import ArchiveError, open_archives, parse_record, read_archives, read_frames, record_bytes, round_trip, save_archives, write_archive, write_archives
 
 PAGES = "page_id long, url string, html string"
 
@@ -23,6 +25,7 @@ def test_round_trip(spark):
     pages = spark.createDataFrame(rows, PAGES).selectExpr("*", "'x' AS digest", "1 AS response")
     got = round_trip(pages).collect()
     assert len(got) == len(rows) and all(r.valid for r in got)
+    assert len({r.record_id for r in got}) == len(rows)
     largest: dict = {}
     for i, _, t in rows:
         largest[t or ""] = max(largest.get(t or "", -1), -1 if i is None else i)
@@ -34,16 +37,41 @@ def test_round_trip(spark):
         refers = name(largest[t]) if copies > 1 and i != largest[t] and largest[t] >= 0 else None
         expected.append((name(i), len(t.encode()), digest(t), "revisit" if refers else "response", refers))
     order = lambda x: [str(v) for v in x]
-    assert sorted(((r.record_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=order) == sorted(expected, key=order)
+    page = lambda ident: ident and ident.rpartition(":")[0]
+    assert sorted(((page(r.record_id), r.payload_bytes, r.payload_digest, r.record_type, page(r.refers_to)) for r in got), key=order) == sorted(expected, key=order)
     assert round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_equal_rows_have_one_response(spark):
+    rows = [(5, "u", "same")] * 4 + [(None, "u", "lone")] * 3 + [(6, "u", "other")]
+    got = round_trip(spark.createDataFrame(rows, PAGES)).collect()
+    by = {d: sorted((r for r in got if r.payload_digest == d), key=lambda r: r.record_type) for d in {r.payload_digest for r in got}}
+    assert len({r.record_id for r in got}) == len(rows)
+    for some in by.values():
+        assert [r.record_type for r in some] == ["response"] + ["revisit"] * (len(some) - 1)
+        assert all(r.refers_to == some[0].record_id for r in some[1:])
+
+
 def test_payloads_and_files(spark, tmp_path):
-    pages = spark.createDataFrame([(i, "http://x/", f"<p>{i} é</p>") for i in range(50)], PAGES)
-    for k, row in enumerate(write_archives(pages).collect()):
-        (tmp_path / f"{k}.warc.zst").write_bytes(row.content)
-    got = read_archives(spark.read.format("binaryFile").load(str(tmp_path))).collect()
-    assert sorted(bytes(r.payload).decode() for r in got) == sorted(f"<p>{i} é</p>" for i in range(50))
+    pages = spark.createDataFrame([(i, "http://x/", f"<p>{i} é</p>" * 400) for i in range(200)], PAGES)
+    save_archives(write_archives(pages), str(tmp_path / "out"))
+    files = sorted((tmp_path / "out").glob("*.warc.zst"))
+    assert files
+    for file in files:  # as another reader would: the dictionary from the leading frame, then all frames
+        content = file.read_bytes()
+        magic, size = struct.unpack_from("<II", content)
+        assert magic == 0x184D2A5D
+        dictionary = {"dict_data": zstandard.ZstdCompressionDict(content[8 : 8 + size])} if size else {}
+        with zstandard.ZstdDecompressor(**dictionary).stream_reader(content[8 + size :], read_across_frames=True) as reader:
+            assert reader.read().count(b"WARC/1.1\r\n") > 0
+    got = read_archives(open_archives(spark, str(tmp_path / "out"))).collect()
+    assert sorted(bytes(r.payload).decode() for r in got) == sorted(f"<p>{i} é</p>" * 400 for i in range(200))
+
+
+def test_records_above_the_limit_are_reported_not_held(spark):
+    content = write_archive([*records(3), record_bytes("urn:x:big", None, b"a" * 5_000_000, hashlib_b32(b"a" * 5_000_000), None), *records(2)])
+    got = read_archives(spark.createDataFrame([("a", content)], "path string, content binary"), max_record_bytes=1_000_000).collect()
+    assert [r.error for r in got if not r.valid] == ["larger than max_record_bytes"] and sum(r.valid for r in got) == 5
 
 
 def records(n: int) -> list[bytes]:
