@@ -82,6 +82,11 @@ class Scratch:
         return at, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def plain_names(df: DataFrame) -> DataFrame:
+    """The columns by number, for functions that don't take names with dots or twice the same."""
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``(id, root)`` for every id in ``edges(a, b)``; root is the smallest id reachable.
 

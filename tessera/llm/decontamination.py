@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import plain_names, ship
 from .tokens import AlnumTokens, alnum_hashes, alnum_slices
 from .words import grams, mix
 
@@ -307,5 +307,5 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text")
     at = docs.columns.index(text_col)
     out = docs
     for shared in item_blocks(docs, benchmark):
-        out = out.mapInArrow(_clean(shared, at), docs.schema)
+        out = plain_names(out).mapInArrow(_clean(shared, at), docs.schema)
     return out

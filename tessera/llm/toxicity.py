@@ -52,7 +52,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, plain_names, ship
 from .words import Words, mix, slices
 
 MAX_TRAIN = 20_000
@@ -411,4 +411,4 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float, text_col: str
             chances = [c for out in score(iter([pair])) for c in out.column(1).to_pylist()]
             yield batch.filter(pa.array([c < threshold for c in chances], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return plain_names(docs).mapInArrow(keep, docs.schema)

@@ -4,9 +4,6 @@ from __future__ import annotations
 
 import corpus_pipeline
 from tessera.llm import queries
-from tessera.llm.near_dedup import near_duplicates
-
-from .helpers import corpus, documents
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,23 +20,3 @@ def test_queries_run_on_empty_tables(spark, tmp_path):
     for name, query in queries.queries().items():
         assert query(spark, str(tmp_path)).count() == 0, name
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
-
-
-def test_stages(spark, tmp_path):
-    rows = corpus(n=80)
-    docs = documents(spark, [*rows, (None, "without an id"), (None, None), rows[20], rows[21]])
-    for table in ("benchmark", "labels"):
-        spark.read.parquet(f"{SF}/{table}.parquet").write.parquet(str(tmp_path / f"{table}.parquet"))
-    assert len(corpus_pipeline.STAGES) == 5
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs.count()
-        out = stage(spark, docs, str(tmp_path))
-        assert out.dtypes == docs.dtypes, name
-        out.write.parquet(str(tmp_path / name))
-        docs = spark.read.parquet(str(tmp_path / name))
-        assert 0 < docs.count() <= before, name
-        if name == "near_duplicates":
-            assert docs.where("doc_id is not null").count() == docs.where("doc_id is not null").select("doc_id").distinct().count()
-            assert near_duplicates(docs).where("not kept").count() == 0
-    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
-    assert pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
