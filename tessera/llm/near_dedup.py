@@ -16,11 +16,18 @@ linked if their Jaccard similarity is at least 0.75.
 3. BANDS bands of ROWS coordinates make buckets. At similarity 0.75 a pair shares
    no bucket with a probability of (1 - 0.75**ROWS)**BANDS = 7e-6.
 4. Classes that buckets connect form a candidate group. The sets of the classes
-   in groups of two or more are compared pair by pair, on full sets, inside a
-   task. A group of more than BLOCK classes is cut into blocks, every two of
-   which meet in some task; a very large one is first taken apart by bucket. Only a spanning
-   forest of the links leaves a task, so neither a group of copies nor a large
-   group of near copies turns into all its pairs.
+   in groups of two or more are compared on full sets, inside a task: all pairs
+   of a group of up to BLOCK classes and ELEMENTS elements.
+5. A larger group is contracted first. Each class is compared with the hub (the
+   least id) of each of its buckets, in chunks that hold one hub's set and read the
+   others one by one; that grows with the number of classes. What is linked so is
+   one component. Only buckets that still hold several components go on: the
+   classes outside a bucket's largest component are dealt to blocks, and each block
+   is compared with the rest of the bucket, which streams past it. So a group of
+   near copies costs in proportion to its size, and all pairs are compared only of
+   what isn't linked.
+6. Only a spanning forest of the links leaves a task, so neither a group of copies
+   nor a large group of near copies turns into all its pairs.
 
 Null and empty texts have no set, stay, and are their own component. A null
 doc_id is linked with nothing and has a null component_id; its row is kept.
@@ -43,7 +50,8 @@ from .words import Words, grams, mix, slices
 WIDTH = 5
 BANDS, ROWS = 44, 5
 BINS = BANDS * ROWS
-BLOCK = 512
+BLOCK, CHUNK = 512, 256
+ELEMENTS = 2 << 20
 NUMERATOR, DENOMINATOR = 3, 4
 
 
@@ -117,105 +125,162 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), content.cast(pa.binary())], ["doc_id", "elements"])
 
 
-def _forest(ids: np.ndarray, parts: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """A spanning forest of the links within one task's group.
+def _shared(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """How many elements each of ``left`` has in common with each of ``right`` (None: of ``left``).
 
-    parts: the block of each class. With two blocks, only pairs across them are
-    compared (pairs within a block meet in that block's own task). Intersections
-    of all pairs come from a common dictionary: classes in the postings of an
-    element are counted together, never emitted.
+    From a common dictionary: classes in the postings of an element are counted
+    together, never emitted. Elements of one class alone are left out.
     """
-    n = len(ids)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    flat = np.concatenate(sets)
-    _, code, often = np.unique(flat, return_inverse=True, return_counts=True)
-    common = often[code] > 1  # an element of one class is shared with none
-    code = (np.cumsum(often > 1) - 1)[code[common]]
-    width = int((often > 1).sum())
-    owner = np.repeat(np.arange(n), sizes)[common]
-    shared = np.zeros((n, n), np.float32)
-    step = max(1, (8 << 20) // (4 * n))
+    both = left if right is None else [*left, *right]
+    owner = np.repeat(np.arange(len(both)), [len(x) for x in both])
+    _, code, often = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
+    common = often[code] > 1
+    code, owner = (np.cumsum(often > 1) - 1)[code[common]], owner[common]
     order = np.argsort(code, kind="stable")
     code, owner = code[order], owner[order]
+    n, width = len(both), int((often > 1).sum())
+    out = np.zeros((len(left), n - len(left) if right is not None else n), np.float32)
+    step = max(1, (8 << 20) // (4 * n))
     for low in range(0, width, step):
         a, b = np.searchsorted(code, (low, low + step))
         table = np.zeros((n, min(step, width - low)), np.float32)
         table[owner[a:b], code[a:b] - low] = 1
-        shared += table @ table.T
-    union = sizes[:, None] + sizes[None, :] - shared
-    linked = DENOMINATOR * shared >= NUMERATOR * union
-    if parts[0] != parts[-1]:
-        linked &= parts[:, None] != parts[None, :]
-    x, y = np.nonzero(np.triu(linked, 1))
-    root = list(range(n))
-
-    def find(v: int) -> int:
-        while root[v] != v:
-            root[v] = root[root[v]]
-            v = root[v]
+        out += table[: len(left)] @ (table if right is None else table[len(left) :]).T
+    return out
+
+
+class _Task:
+    """The links of one task: a block of classes, compared with each other and with those that come after."""
+
+    def __init__(self) -> None:
+        self.left: list[tuple[int, int, np.ndarray]] = []  # component, id, set
+        self.right: list[tuple[int, int, np.ndarray]] = []
+        self.root: dict[int, int] = {}
+        self.found: list[tuple[int, int]] = []
+        self.held = 0
+
+    def _find(self, v: int) -> int:
+        while self.root.setdefault(v, v) != v:
+            self.root[v] = v = self.root[self.root[v]]
         return v
 
-    out = []
-    for p, q in zip(x.tolist(), y.tolist(), strict=True):
-        p_, q_ = find(p), find(q)
-        if p_ != q_:
-            root[max(p_, q_)] = min(p_, q_)
-            out.append((int(ids[p]), int(ids[q])))
-    return out
+    def _link(self, some: list, others: list, shared: np.ndarray) -> None:
+        a, b = (np.array([len(x[2]) for x in rows], np.float32) for rows in (some, others))
+        linked = DENOMINATOR * shared >= NUMERATOR * (a[:, None] + b[None, :] - shared)
+        linked &= np.array([x[0] for x in some])[:, None] != np.array([x[0] for x in others])[None, :]
+        for p, q in zip(*(x.tolist() for x in np.nonzero(np.triu(linked, 1) if some is others else linked)), strict=True):
+            x, y = self._find(some[p][0]), self._find(others[q][0])
+            if x != y:
+                self.root[max(x, y)] = min(x, y)
+                self.found.append((some[p][1], others[q][1]))
+
+    def add(self, role: int, row: tuple[int, int, np.ndarray]) -> None:
+        """Rows of role 0, the block, come first."""
+        if role == 0:
+            self.left.append(row)
+            return
+        if not self.right and not self.held:
+            self.inside()
+        self.right.append(row)
+        self.held += len(row[2])
+        if len(self.right) >= CHUNK or self.held >= ELEMENTS:
+            self.across()
+
+    def inside(self) -> None:
+        self.held = 1
+        if len(self.left) > 1:
+            self._link(self.left, self.left, _shared([x[2] for x in self.left], None))
+
+    def across(self) -> None:
+        if self.right and self.left:
+            self._link(self.left, self.right, _shared([x[2] for x in self.left], [x[2] for x in self.right]))
+        self.right, self.held = [], 1
+
+    def done(self) -> list[tuple[int, int]]:
+        if not self.held:
+            self.inside()
+        self.across()
+        return self.found
+
+
+TASKS = ("kind", "task", "pair", "role")
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (task, part, doc_id, elements) sorted by task and part: the links of each task's group."""
-    at, rows = None, []
+    """Rows (kind, task, pair, role, component, doc_id, elements) sorted by the first four: the links of each task."""
+    at, task = None, _Task()
 
-    def flush() -> pa.RecordBatch | None:
-        if len(rows) < 2:
-            return None
-        found = _forest(np.array([r[1] for r in rows]), np.array([r[0] for r in rows]), [np.frombuffer(r[2], np.uint64) for r in rows])
-        if not found:
-            return None
-        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+    def out(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     for batch in batches:
-        keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-        for key, part, ident, content in zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5), strict=True):
-            if key != at:
-                if (out := flush()) is not None:
-                    yield out
-                at, rows = key, []
-            rows.append((part, ident, content.as_buffer()))
-    if (out := flush()) is not None:
-        yield out
+        columns = [batch.column(k).to_pylist() for k in range(6)]
+        for kind, number, pair, role, component, ident, content in zip(*columns, batch.column(6), strict=True):
+            if (kind, number, pair) != at:
+                yield from out(task.done())
+                at, task = (kind, number, pair), _Task()
+            task.add(role, (component, ident, np.frombuffer(content.as_buffer(), np.uint64)))
+    yield from out(task.done())
+
+
+def _compared(docs: DataFrame, tasks: DataFrame, scratch: Scratch, id_col: str, text_col: str, label: str) -> DataFrame:
+    """The links (a, b) that the tasks (kind, task, pair, role, component, rep) find on full sets."""
+    tasks = scratch.cut(tasks.select(*TASKS, "component", "rep"), "tasks")
+    wanted = tasks.select(F.col("rep").alias("_rep")).distinct()
+    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(wanted, F.col("doc_id") == F.col("_rep"), "left_semi")
+    sets = text.mapInArrow(_sets, "doc_id long, elements binary")
+    rows = tasks.join(sets, F.col("rep") == F.col("doc_id")).select(*TASKS, "component", "doc_id", "elements")
+    rows = rows.repartition(*TASKS[:3]).sortWithinPartitions(*TASKS, "doc_id")
+    return scratch.cut(rows.mapInArrow(_verify, "a long, b long"), label)
+
+
+def _contracted(docs: DataFrame, full: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
+    """The links of large groups: first between classes and hubs, then between components that a bucket still holds.
+
+    full: rep, size, band, bucket, hub of all classes of the large groups.
+    """
+    pairs = scratch.cut(full.where("rep <> hub").select("hub", "rep").distinct(), "stars")
+    chunks = scratch.cut(pairs.groupBy(F.col("hub").alias("of")).agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")), "chunks")
+    chunk = F.pmod(F.xxhash64("rep", F.lit("chunk")), F.col("chunks")).cast("long")
+    members = pairs.join(chunks, F.col("hub") == F.col("of")).select(F.lit(0).alias("kind"), F.col("hub").alias("task"), chunk.alias("pair"), F.lit(1).alias("role"), "rep")
+    heads = chunks.select(F.lit(0).alias("kind"), F.col("of").alias("task"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks").cast("long") - 1)).alias("pair"), F.lit(0).alias("role"), F.col("of").alias("rep"))
+    stars = _compared(docs, members.unionByName(heads).withColumn("component", F.col("rep")), scratch, id_col, text_col, "star-links")
+    roots = connected_components(stars, scratch)
+    held = scratch.cut(full.join(roots, F.col("rep") == F.col("id"), "left").select("rep", "size", "band", "bucket", F.coalesce("root", "rep").alias("component")), "contracted")
+    parts = held.groupBy("band", "bucket", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+    open_ = parts.groupBy(F.col("band").alias("b"), F.col("bucket").alias("u")).agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest"), F.max(F.struct("n", "component", "size")).alias("top"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count(F.lit(1)).alias("k")
+    ).where("k > 1")
+    blocks = F.greatest(F.ceil((F.col("n") - F.col("top.n")) / CHUNK), F.ceil((F.col("size") - F.col("top.size")) / ELEMENTS)).cast("int")
+    open_ = scratch.cut(open_.select("b", "u", "largest", blocks.alias("blocks")), "open")
+    rest = held.join(open_, (F.col("band") == F.col("b")) & (F.col("bucket") == F.col("u")))
+    rest = rest.withColumn("part", F.when(F.col("component") == F.col("largest"), F.col("blocks")).otherwise(F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks"))).cast("int"))
+    met = rest.withColumn("at", F.explode(F.sequence(F.lit(0), F.least(F.col("part"), F.col("blocks") - 1))))
+    tasks = met.select((F.col("band") + 1).alias("kind"), F.col("bucket").alias("task"), F.col("at").cast("long").alias("pair"), F.when(F.col("at") == F.col("part"), 0).otherwise(1).alias("role"), "component", "rep")
+    return stars.unionByName(_compared(docs, tasks, scratch, id_col, text_col, "rest-links"))
 
 
 def links(docs: DataFrame, signed: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> DataFrame:
     """Edges ``(a, b)`` that connect exactly the linked classes of ``signed``, a table of _signatures()."""
-    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
-    rows = scratch.cut(classes.select("rep", F.posexplode("bands").alias("band", "bucket")), "bands")
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
+    rows = scratch.cut(classes.select("rep", "size", F.posexplode("bands").alias("band", "bucket")), "bands")
     # Written before they are joined, so that Spark can split the join's large buckets, which it can't below an aggregate.
-    hubs = scratch.cut(rows.groupBy("band", "bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1"), "hubs")
+    hubs = scratch.cut(rows.groupBy("band", "bucket").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "hubs")
     full = scratch.cut(rows.join(hubs, ["band", "bucket"]), "buckets")
     scratch.drop(rows)
     groups = connected_components(full.select(F.col("rep").alias("a"), F.col("hub").alias("b")), scratch)
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
-    groups = scratch.cut(groups.join(sizes, "root"), "groups")
-    # A group that fits is one task. One of up to BANDS half-size blocks is cut into those, each two of which
-    # meet. A larger one is taken apart by bucket, buckets that don't fit again into blocks: a class then goes
-    # to the tasks of at most BANDS buckets, and pairs that share no bucket are left alone.
-    half = F.lit(BLOCK // 2)
-    by_group = groups.where(F.col("n") <= BANDS * half).select(F.lit(-1).alias("kind"), F.col("root").alias("task"), F.col("id").alias("rep"), "n")
-    by_bucket = full.join(groups.where(F.col("n") > BANDS * half).select(F.col("id").alias("rep")), "rep").select(F.col("band").alias("kind"), F.col("bucket").alias("task"), "rep", "n")
-    held = by_group.unionByName(by_bucket).withColumn("blocks", F.when(F.col("n") <= BLOCK, 1).otherwise(F.ceil(F.col("n") / half)).cast("int"))
-    held = held.withColumn("part", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
-    met = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    pair = F.least("part", "other") * F.col("blocks") + F.greatest("part", "other")
-    tasks = scratch.cut(met.select("kind", "task", pair.alias("pair"), "part", "rep"), "tasks")
-    wanted = tasks.select(F.col("rep").alias("_rep")).distinct()
-    text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).join(wanted, F.col("doc_id") == F.col("_rep"), "left_semi")
-    sets = text.mapInArrow(_sets, "doc_id long, elements binary")
-    rows = tasks.join(sets, F.col("rep") == F.col("doc_id")).select("kind", "task", "pair", "part", "doc_id", "elements")
-    rows = rows.repartition("kind", "task", "pair").sortWithinPartitions("kind", "task", "pair", "part", "doc_id")
-    return scratch.cut(rows.mapInArrow(_verify, "a long, b long"), "links")
+    sized = full.groupBy(F.col("rep").alias("id")).agg(F.first("size").alias("size"))
+    groups = scratch.cut(groups.join(sized, "id"), "sized")
+    totals = scratch.cut(groups.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("elements")), "totals")
+    groups = scratch.cut(groups.select("id", "root").join(totals, "root"), "groups")
+    fits = (F.col("n") <= BLOCK) & (F.col("elements") <= ELEMENTS)
+    small = groups.where(fits & (F.col("n") > 1)).select(F.lit(-1).alias("kind"), F.col("root").alias("task"), F.lit(0).cast("long").alias("pair"), F.lit(0).alias("role"), F.col("id").alias("component"), F.col("id").alias("rep"))
+    found = _compared(docs, small, scratch, id_col, text_col, "links")
+    large = groups.where(~fits & (F.col("n") > 1)).select("id")
+    if large.isEmpty():
+        return found
+    return found.unionByName(_contracted(docs, scratch.cut(full.join(large, F.col("rep") == F.col("id"), "left_semi"), "large"), scratch, id_col, text_col))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

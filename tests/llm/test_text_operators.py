@@ -74,33 +74,87 @@ def components(rows, width=5):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize("block", [512, 4])
-def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "elements"), [(512, 1 << 21), (4, 1 << 21), (1, 1 << 21), (512, 900), (512, 1)])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block, elements):
+    """Groups in one task; contracted first because they have too many classes, or too many elements."""
     monkeypatch.setattr(near_dedup, "BLOCK", block)
-    monkeypatch.setattr(near_dedup, "BANDS", 44 if block == 512 else 44)
+    monkeypatch.setattr(near_dedup, "CHUNK", max(1, block // 2))
+    monkeypatch.setattr(near_dedup, "ELEMENTS", elements)
     rows = corpus(seed=5, n=120)
     got = rows_of(near_duplicates(documents(spark, rows, {"rep": "x", "bands": "x"})))
     assert {i: (r.n_shingles, r.component_id) for i, r in got.items()} == components(rows)
     assert all(r.kept == (i == r.component_id) for i, r in got.items())
 
 
-def test_near_duplicates_by_bucket(spark, monkeypatch):
-    """Groups too large for blocks of the whole group are taken apart by bucket."""
+def test_near_duplicates_with_null_and_repeated_ids(spark):
+    rows = corpus(seed=6, n=40)
+    more = [*rows, (None, rows[20][1]), (None, None), (rows[21][0], rows[21][1]), (rows[22][0], rows[30][1])]
+    got = near_duplicates(documents(spark, more)).collect()
+    assert len(got) == len(more)
+    assert all(r.kept and r.component_id is None for r in got if r.doc_id is None)
+    # A repeated id is one node: what its texts are linked with is one component.
+    nodes: dict = {}
+    sets = {}
+    for n, (i, t) in enumerate((i, t) for i, t in more if i is not None):
+        nodes.setdefault(i, []).append(n)
+        sets[n] = t
+    root = {n: r for n, (_, r) in components([(n, t) for n, t in sets.items()]).items()}
+    parent = {i: i for i in nodes}
+
+    def find(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for i, mine in nodes.items():
+        for j, theirs in nodes.items():
+            if {root[n] for n in mine} & {root[n] for n in theirs}:
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    assert {(r.doc_id, r.component_id) for r in got if r.doc_id is not None} == {(i, find(i)) for i in nodes}
+
+
+def near_copies(n: int, edits: int, seed: int = 2) -> list[tuple[int, str]]:
     import random
 
-    r = random.Random(2)
+    r = random.Random(seed)
     base = [f"v{r.randrange(500)}" for _ in range(120)]
     rows = []
-    for i in range(60):
+    for i in range(n):
         w = list(base)
-        for _ in range(r.randint(0, 5)):
-            w[r.randrange(len(w))] = f"v{r.randrange(500)}"
+        for _ in range(r.randint(0, edits)):
+            w[r.randrange(len(w))] = f"x{i}_{r.randrange(500)}"
         rows.append((i, " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("edits", [1, 5])
+def test_a_large_group_is_contracted(spark, monkeypatch, edits):
+    rows = near_copies(80, edits)
     monkeypatch.setattr(near_dedup, "BLOCK", 2)
+    monkeypatch.setattr(near_dedup, "CHUNK", 7)
     got = rows_of(near_duplicates(documents(spark, rows)))
     assert {i: (x.n_shingles, x.component_id) for i, x in got.items()} == components(rows)
 
 
+def test_work_on_a_large_group_is_in_proportion(spark, monkeypatch):
+    """Compared sets of one group of near copies: at ten times the size, about ten times as many."""
+    work = []
+    real = near_dedup._compared
+
+    def spy(docs, tasks, *rest):
+        out = real(docs, tasks, *rest)
+        work[-1] += tasks.count()
+        return out
+
+    monkeypatch.setattr(near_dedup, "_compared", spy)
+    for n in (5_000, 50_000):
+        work.append(0)
+        got = near_duplicates(documents(spark, near_copies(n, 1)))
+        assert got.where("component_id <> 0").count() == 0
+    assert work[1] < 15 * work[0] and work[1] < 44 * 50_000
+
+
 def test_sketch_fills_and_estimates():
     r = np.random.default_rng(1)
     a = r.integers(1, 1 << 62, 400, dtype=np.uint64)
