@@ -50,7 +50,8 @@ from .words import Words, grams, mix, slices
 LENGTH, PREFIX, STEP = 35, 8, 3
 #: Prefix lengths for windows whose anchor is too frequent for one tree; the last is the whole window.
 LONGER = tuple(range(PREFIX + STEP, LENGTH + 1, STEP))
-GROUP = 16384
+#: Runs of a group, and of a tree that groups share.
+GROUP, TREE = 2048, 32768
 CODE_BYTES = 5
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -259,7 +260,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         held.append(batch)
         size += len(batch)
-        if size < 2 * GROUP:
+        if size < TREE:
             continue
         rows = pa.Table.from_batches(held)
         prefix = rows.column("prefix").to_numpy()
