@@ -53,7 +53,7 @@ from .words import Words, slices
 SEQUENCE = 2048
 WINDOW_SEQUENCES = 64
 END_ID = 1
-CACHE_UNITS = 600_000
+CACHE_UNITS = 2_000_000
 SLICE = 4 << 20
 _TOKENIZERS: dict[str, tuple] = {}
 
@@ -119,7 +119,22 @@ class Encoder:
         self.by_unit = normalizers == ["NFC", "Replace", "Lowercase"] and splits == [PATTERN] and bool(special) and all("<" in t for t in special)
         self.mark = special[0] if special else ""
         self.mark_id = self.tokenizer.token_to_id(self.mark)
-        self.cache: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """The cache: hashes of units in order, and where each one's ids are in one array of ids."""
+        self.known, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat = np.zeros(1, self.dtype)
+
+    def _learn(self, hashes: np.ndarray, units: list[bytes]) -> None:
+        for k in range(0, len(units), 4096):
+            found = self._units(units[k : k + 4096])
+            size = np.array([len(f) for f in found], np.int64) // self.flat.itemsize
+            begin = np.cumsum(size) - size + len(self.flat)
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(found), self.dtype)])
+            self.known, self.begin, self.size = np.append(self.known, hashes[k : k + 4096]), np.append(self.begin, begin), np.append(self.size, size)
+        order = np.argsort(self.known, kind="stable")
+        self.known, self.begin, self.size = self.known[order], self.begin[order], self.size[order]
 
     def _units(self, units: list[bytes]) -> list[bytes]:
         """Ids of each unit; one call encodes many, with a special token between them."""
@@ -145,24 +160,24 @@ class Encoder:
             each = [[*e.ids, end_id] for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
             return np.concatenate([np.array(e, self.dtype) for e in each]), np.append(0, np.cumsum([len(e) for e in each]))
         units = Units(words)
-        _, where, inverse = np.unique(units.hashes(lower=True), return_index=True, return_inverse=True)
-        data = units.data.tobytes()
-        distinct = [data[a:b].lower() for a, b in zip(units.starts[where].tolist(), units.ends[where].tolist(), strict=True)]
-        if len(self.cache) > CACHE_UNITS:
-            self.cache.clear()
-        new = [u for u in distinct if u not in self.cache]
-        for k in range(0, len(new), 4096):
-            self.cache.update(zip(new[k : k + 4096], self._units(new[k : k + 4096]), strict=True))
-        found = [self.cache[u] for u in distinct]
-        found.append(np.array([end_id], self.dtype).tobytes())
-        flat = np.frombuffer(b"".join(found), self.dtype)
-        size = np.array([len(f) for f in found], np.int64) // flat.itemsize
-        begin = np.cumsum(size) - size
-        order = np.insert(inverse, units.first[1:], len(found) - 1)
+        value, where, inverse = np.unique(units.hashes(lower=True), return_index=True, return_inverse=True)
+        if len(self.known) > CACHE_UNITS:
+            self._forget()
+        at = np.searchsorted(self.known, value)
+        new = np.flatnonzero(self.known[np.minimum(at, len(self.known) - 1)] != value) if len(self.known) else np.arange(len(value))
+        if len(new):
+            data = units.data.tobytes()
+            self._learn(value[new], [data[a:b].lower() for a, b in zip(units.starts[where[new]].tolist(), units.ends[where[new]].tolist(), strict=True)])
+            at = np.searchsorted(self.known, value)
+        # The end id is one unit more, behind each text.
+        begin, size = np.append(self.begin[at], 0), np.append(self.size[at], 1)
+        order = np.insert(inverse, units.first[1:], len(value))
         each = size[order]
         total = np.append(0, np.cumsum(each))
-        ids = flat[np.arange(total[-1]) - np.repeat(total[:-1] - begin[order], each)]
-        return ids, total[np.append(0, units.first[1:] + np.arange(1, len(units.first)))]
+        ids = self.flat[np.arange(total[-1]) - np.repeat(total[:-1] - begin[order], each)]
+        ends = total[np.append(0, units.first[1:] + np.arange(1, len(units.first)))]
+        ids[ends[1:] - 1] = end_id
+        return ids, ends
 
 
 def _encoder(definition: str) -> Encoder:
@@ -405,5 +420,6 @@ def pack(
         tokens = {r["queue"]: r["tokens"] for r in queues.collect()}
         whole = [round(w / max(weights.values()) * 10**9) for w in weights.values()]
         schedule = Mixture([tokens.get(k, 0) for k in range(len(weights) + 1)], [*whole, 0], window)
-    full = rows.join(placed.select("row", "place"), "row").select("doc_id", "source", "n", "ids", "place")
+    # By merging at every size: the places of a large table can't go to every executor.
+    full = rows.join(placed.select("row", "place").hint("merge"), "row").select("doc_id", "source", "n", "ids", "place")
     return full.mapInArrow(_pieces(spark.sparkContext.broadcast(schedule), sequence, itemsize), PIECES)
