@@ -51,7 +51,7 @@ LENGTH, PREFIX, STEP = 35, 8, 3
 #: Prefix lengths for windows whose anchor is too frequent for one tree; the last is the whole window.
 LONGER = tuple(range(PREFIX + STEP, LENGTH + 1, STEP))
 #: Runs of a group, and of a tree that groups share.
-GROUP, TREE = 2048, 32768
+GROUP, TREE = 16384, 32768
 CODE_BYTES = 5
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 
