@@ -85,27 +85,27 @@ def ranked(spans: DataFrame) -> DataFrame:
 def demoted(spans: DataFrame, key: str = "event_id") -> DataFrame:
     """Ranks given what else the event has: agents behind legal names, generic securities behind full ones, tickers behind targets.
 
-    One window over (event, field) and one over the event; no self-join.
+    Facts about a group are aggregated and joined back: two flags for each (event,
+    field), and for each event the tickers that were taken for targets, with how
+    often. Rows carry no list of their event; only long targets see its tickers.
     """
-    t = F.coalesce("text", F.lit(""))
+    t, h = F.coalesce("text", F.lit("")), F.col("field_hint")
     short = F.length(F.trim(t)) < 5
-    group = Window.partitionBy(key, "field_hint")
-    legal = F.bool_or(is_legal_name(t) & ~is_agent(t)).over(group)
-    strong = F.bool_or(is_legal_name(t) | (F.length(F.trim(t)) > 12)).over(group)
-    h = F.col("field_hint")
-    party = F.when(h.isin(*PARTIES) & legal & (is_agent(t) | is_shell(t) | short), 0.4).otherwise(0.0)
-    security = F.when((h == "security_description") & strong & (_flat(t).isin(*WEAK_SECURITIES) | short), 0.35).otherwise(0.0)
-    event = Window.partitionBy(key)
-    tickers = F.collect_set(F.when(h == "ticker", _flat(t))).over(event)
-    # Targets that are tickers, and for the long names how many such targets their passage mentions.
-    out = spans.withColumn("__tickers", tickers)
-    as_ticker = (h == "target") & F.array_contains("__tickers", _flat(t)) & (F.length(_flat(t)) <= 5)
-    out = out.withColumn("__as_ticker", F.collect_list(F.when(as_ticker, F.upper(_flat(t)))).over(event))
+    legal, strong = is_legal_name(t) & ~is_agent(t), is_legal_name(t) | (F.length(F.trim(t)) > 12)
+    groups = spans.where(h.isin(*PARTIES, "security_description")).groupBy(F.col(key).alias("__k"), h.alias("__h")).agg(F.bool_or(legal).alias("__legal"), F.bool_or(strong).alias("__strong"))
+    tickers = spans.where(h == "ticker").select(F.col(key).alias("__k"), _flat(t).alias("__t")).distinct()
+    lone = spans.where((h == "target") & (F.length(_flat(t)) <= 5)).groupBy(F.col(key).alias("__k"), _flat(t).alias("__t")).agg(F.count(F.lit(1)).alias("n"))
+    lone = lone.join(tickers, ["__k", "__t"], "left_semi")
+    listed = lone.groupBy(F.col("__k").alias("__e")).agg(F.collect_list(F.struct(F.upper("__t").alias("t"), "n")).alias("__lone"))
+    out = spans.join(groups, (F.col(key) == F.col("__k")) & (h == F.col("__h")), "left").join(listed, F.when(h == "target", F.col(key)) == F.col("__e"), "left")
+    as_ticker = F.coalesce(F.exists("__lone", lambda x: x["t"] == F.upper(_flat(t))), F.lit(False)) & (h == "target") & (F.length(_flat(t)) <= 5)
+    party = F.when(h.isin(*PARTIES) & F.col("__legal") & (is_agent(t) | is_shell(t) | short), 0.4).otherwise(0.0)
+    security = F.when((h == "security_description") & F.col("__strong") & (_flat(t).isin(*WEAK_SECURITIES) | short), 0.35).otherwise(0.0)
     passage = F.upper(F.coalesce(F.nullif("passage", F.lit("")), t))
-    named = F.size(F.filter("__as_ticker", lambda x: F.contains(passage, x)))
+    named = F.coalesce(F.aggregate("__lone", F.lit(0).cast("long"), lambda total, x: total + F.when(F.contains(passage, x["t"]), x["n"]).otherwise(0)), F.lit(0))
     boost = F.when((h == "target") & is_legal_name(t), 0.15 * named).otherwise(0.0)
     score = F.col("rank_score") - party - security - F.when(as_ticker, 0.3).otherwise(0.0) + boost
-    return out.withColumn("rank_score", score).drop("__tickers", "__as_ticker")
+    return out.withColumn("rank_score", score).drop("__k", "__h", "__legal", "__strong", "__e", "__lone")
 
 
 def best_spans(spans: DataFrame, n: int = 12, key: str = "event_id") -> DataFrame:
@@ -138,12 +138,13 @@ def quality_gates(facts: DataFrame, key: str = "event_id") -> DataFrame:
     """What fails in each event's facts (field_hint, raw, rank_score, confidence, method, passage, fact_id)."""
     score = F.coalesce(F.nullif("rank_score", F.lit(0.0)), F.nullif("confidence", F.lit(0.0)), F.lit(0.0))
     top = lambda hint: F.max_by(F.when(F.col("field_hint") == hint, F.coalesce("raw", F.lit(""))), F.when(F.col("field_hint") == hint, F.struct(score, -F.col("fact_id"))))
-    lengths = F.array_sort(F.collect_list(F.when(F.coalesce(F.length("passage"), F.lit(0)) > 0, F.length("passage"))))
+    # The upper of the middle two lengths, without holding all.
+    upper = F.expr("-percentile_disc(0.5) WITHIN GROUP (ORDER BY -nullif(length(passage), 0))").cast("int")
     one = facts.groupBy(key).agg(
         F.bool_or(F.coalesce(F.col("method") == "regex", F.lit(False))).alias("regex"), top("offer_price").alias("top1_offer_price"), top("expiration_date").alias("top1_expiration_date"),
-        top("offeror").alias("top1_offeror"), top("security_description").alias("top1_security_description"), lengths.alias("lengths"),
+        top("offeror").alias("top1_offeror"), top("security_description").alias("top1_security_description"), upper.alias("median"),
     )
-    median = F.get("lengths", F.floor(F.size("lengths") / 2).cast("int"))
+    median = F.col("median")
     bad = lambda test, name: F.when(F.coalesce(test, F.lit(False)), F.lit(name))
     price, date, party, security = (F.col(f"top1_{c}") for c in ("offer_price", "expiration_date", "offeror", "security_description"))
     failures = F.array_compact(F.array(

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..catalog import EVIDENCE_PATTERNS, WINDOW_ANCHORS
 from ..functions.text import LONG_MONTHS
 from ..operators import passages as ps
+from ..operators import reports as rp
 from ..registry import query
 from .surrogate import table
 
@@ -171,6 +172,12 @@ def merger_conflicts(spark, sf_dir):
     return ps.conflicting_terms(terms, "id").select("id", "field", F.array_join("values", "|").alias("values_"))
 
 
+@query("method_comparison", f"WITH {_DEAL_SQL}, {_TERMS_SQL}, k AS (SELECT id, count(*) AS n FROM terms WHERE field = 'cash_amount' GROUP BY id) SELECT id, CAST(len(regexp_extract_all(text, '[$]\\s*[0-9]')) AS BIGINT) AS n_mentions, coalesce(n, 0) AS n_candidates FROM t LEFT JOIN k USING (id)")
+def method_comparison(spark, sf_dir):
+    d = deals(spark, sf_dir)
+    return rp.method_comparison(d, "id", "text", ps.merger_terms(d, "id", "text"))
+
+
 _SPOKEN = ("We expect that the merger will close. Agreement and plan of merger between A and B. ", " If you do not elect, proration of shares of common stock; conditions to closing.")
 
 

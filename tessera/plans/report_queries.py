@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as ev
-from ..operators import passages as ps
 from ..operators import reports as rp
 from ..registry import query
 from .corpus_queries import longs
@@ -96,13 +95,6 @@ def presence_audit(spark, sf_dir):
     return rp.presence_audit(m.select("accession", "field").distinct(), m.where("score > 0.9"), ["accession", "field"])
 
 
-@query("method_comparison", "SELECT doc_id, CAST(2 AS BIGINT) AS n_mentions, CAST(1 AS BIGINT) AS n_candidates FROM documents WHERE NOT contains(text, '$') AND NOT regexp_matches(text, '(?i)merger|per share|exchange offer')")
-def method_comparison(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("$")) & ~F.col("text").rlike("(?i)merger|per share|exchange offer"))
-    d = d.select("doc_id", F.concat(F.lit("Under the merger agreement holders have the right to receive $5.50 in cash per share. "), "text", F.lit(" A fee of $7 is due.")).alias("text"))
-    return rp.method_comparison(d, "doc_id", "text", ps.merger_terms(d, "doc_id", "text"))
-
-
 @query("export_confirmed", f"WITH {_EVIDENCE}, {_QUEUE} SELECT queue.accession, suggested_priority FROM queue JOIN screened ON queue.accession = screened.accession WHERE queue.accession % 4 = 0")
 def export_confirmed(spark, sf_dir):
     s, k = _screened(spark, sf_dir), F.col("accession") % 4

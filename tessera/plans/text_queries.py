@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..catalog import AGENTS, EVENT_TYPES, SHELLS
+from ..catalog_fields import AUTOMATIC, BENCHMARK_FIELDS, INTERNAL, MANUAL, NEVER, UNCLEAR, WEAK, relevance
 from ..operators import amendments as am
 from ..operators import coverage as cv
 from ..operators import evaluation as ev
@@ -73,17 +75,49 @@ def coverage_pivot(spark, sf_dir):
 _MATRIX = mvp.FIELDS
 
 
-@query("field_catalog")
+def _values(rows: list[tuple]) -> str:
+    shown = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else "'" + str(v).replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(shown, r)) + ")" for r in rows)
+
+
+def _field_sql() -> str:
+    """fields, rel and cov: the catalog as it is, and how many documents mention each field."""
+    matched = lambda f: " OR ".join("regexp_matches(text, '(?i)" + p.removeprefix("(?i)").replace("'", "''") + "')" for p in f.patterns)
+    counts = ", ".join(f"count(*) FILTER ({matched(f)}) AS {f.name}" for f in _MATRIX if f.patterns)
+    cov = " UNION ALL ".join(f"SELECT '{f.name}' AS field, round(100 * {f.name} / n, 2) AS coverage_pct FROM counted" for f in _MATRIX if f.patterns)
+    fields = _values([(f.name, f.group, f.source_class, f.kind, f.ground_truth, f.name in BENCHMARK_FIELDS) for f in _MATRIX])
+    rel = _values([(t, f.name, relevance(t, f.name)) for t in EVENT_TYPES for f in _MATRIX])
+    return f"""fields(field, field_group, source_class, kind, truth, in_benchmark) AS (VALUES {fields}), rel(event_type, field, relevance) AS (VALUES {rel}),
+    counted AS (SELECT count(*) AS n, {counts} FROM documents), cov AS ({cov})"""
+
+
+@query(
+    "field_catalog",
+    f"""WITH {_field_sql()}, types AS (SELECT field, string_agg(event_type, ',' ORDER BY event_type) AS relevant_types FROM rel WHERE relevance <> 'not_relevant' GROUP BY field)
+    SELECT field, field_group, CASE WHEN source_class = '{INTERNAL}' THEN 'placeholder' WHEN source_class = '{UNCLEAR}' THEN 'exclude_or_investigate' WHEN truth IN ('{AUTOMATIC}', '{WEAK}') THEN CASE WHEN kind = 'derived' THEN 'derive_from_public' ELSE 'extract_from_public' END
+      WHEN truth = '{MANUAL}' THEN 'annotate_then_store' ELSE 'exclude_or_investigate' END AS role,
+      CASE WHEN source_class = '{INTERNAL}' THEN 'placeholder_only' WHEN source_class = '{UNCLEAR}' THEN 'no_client_amount_without_position' WHEN truth = '{AUTOMATIC}' THEN 'yes_metadata' WHEN truth = '{WEAK}' THEN 'yes_with_caveat' WHEN truth = '{MANUAL}' THEN 'after_annotation' ELSE 'no' END AS notification_ready,
+      in_benchmark, coalesce(relevant_types, '') AS relevant_types, coverage_pct FROM fields LEFT JOIN types USING (field) LEFT JOIN cov USING (field)""",
+)
 def field_catalog(spark, sf_dir):
     return mvp.field_catalog(spark, _field_coverage(spark, sf_dir))
 
 
-@query("missingness")
+@query(
+    "missingness",
+    f"""WITH {_field_sql()}, r AS (SELECT field, bool_and(relevance = 'not_relevant') AS never, bool_or(relevance = 'optional') AS sometimes FROM rel GROUP BY field)
+    SELECT field, field_group, coverage_pct, CASE WHEN source_class = '{INTERNAL}' THEN 'internal_only' WHEN coverage_pct IS NULL THEN 'parsing_or_sample_gap' WHEN source_class = '{UNCLEAR}' THEN 'unclear_or_partially_public' WHEN coverage_pct >= 80 THEN 'usually_present_in_public_sample'
+      WHEN coverage_pct >= 20 THEN 'sometimes_present_in_public_sample' WHEN never THEN 'not_relevant_for_observed_event_types' WHEN sometimes THEN 'optional_for_many_events_or_absent' ELSE 'likely_relevant_but_rarely_detected' END AS missingness FROM fields JOIN r USING (field) LEFT JOIN cov USING (field)""",
+)
 def missingness(spark, sf_dir):
     return mvp.missingness(spark, _field_coverage(spark, sf_dir))
 
 
-@query("benchmark_recommendation")
+@query(
+    "benchmark_recommendation",
+    f"""WITH {_field_sql()} SELECT field, field_group, coverage_pct, CASE WHEN truth = '{AUTOMATIC}' THEN 'include_in_benchmark' WHEN truth = '{NEVER}' THEN 'exclude_from_public_benchmark' WHEN truth = '{WEAK}' AND coalesce(coverage_pct, -1) >= 50 THEN 'include_as_weak_proxy_only'
+      WHEN truth = '{MANUAL}' AND coalesce(coverage_pct, -1) >= 40 THEN 'prioritize_for_manual_annotation' WHEN truth = '{MANUAL}' THEN 'annotate_later_or_event_type_specific' ELSE 'investigate' END AS recommendation FROM fields LEFT JOIN cov USING (field)""",
+)
 def benchmark_recommendation(spark, sf_dir):
     return mvp.benchmark_recommendation(spark, _field_coverage(spark, sf_dir))
 
@@ -95,7 +129,7 @@ def _field_coverage(spark, sf_dir):
     return found.select("field", "coverage_pct")
 
 
-@query("schema_coverage_matrix")
+@query("schema_coverage_matrix", f"WITH {_field_sql()} SELECT field, field_group, source_class, CASE WHEN source_class = 'internal_only' THEN 0.0 ELSE coverage_pct END AS coverage_pct FROM fields LEFT JOIN cov USING (field)")
 def schema_coverage_matrix(spark, sf_dir):
     return mvp.field_table(spark).join(F.broadcast(_field_coverage(spark, sf_dir)), "field", "left").select("field", "field_group", "source_class", F.when(F.col("source_class") == "internal_only", 0.0).otherwise(F.col("coverage_pct")).alias("coverage_pct"))
 
@@ -122,14 +156,14 @@ def amendment_delta_summary(spark, sf_dir):
 
 
 # Candidate mentions: events of a user are a filing's spans, their type the field, their key the value.
-_VALUE = "'Name ' || CAST(json_extract(props, '$.k') AS INT) % 7 || CASE WHEN event_id % 5 = 0 THEN ' Corporation' WHEN event_id % 11 = 0 THEN ' MILLION $' || event_id ELSE '' END"
+_VALUE = "'Name ' || CAST(json_extract(props, '$.k') AS INT) % 7 || CASE WHEN event_id % 5 = 0 THEN ' Corporation' WHEN event_id % 11 = 0 THEN ' $' || event_id || ' MILLION' WHEN event_id % 13 = 0 THEN ' $' || event_id ELSE '' END"
 _MENTIONS = f"mentions AS (SELECT CAST(user_id AS VARCHAR) AS accession, event_type AS field, {_VALUE} AS value, round(value / 100, 6) AS score, event_id AS pos FROM events)"
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     k = F.get_json_object("props", "$.k").cast("int") % 7
-    ending = F.when(F.col("event_id") % 5 == 0, " Corporation").when(F.col("event_id") % 11 == 0, F.concat(F.lit(" MILLION $"), F.col("event_id").cast("string"))).otherwise("")
+    ending = F.when(F.col("event_id") % 5 == 0, " Corporation").when(F.col("event_id") % 11 == 0, F.concat(F.lit(" $"), F.col("event_id").cast("string"), F.lit(" MILLION"))).when(F.col("event_id") % 13 == 0, F.concat(F.lit(" $"), F.col("event_id").cast("string"))).otherwise("")
     return e.select(F.col("user_id").cast("string").alias("accession"), F.col("event_type").alias("field"), F.concat(F.lit("Name "), k.cast("string"), ending).alias("value"), F.round(F.col("value") / 100, 6).alias("score"), F.col("event_id").alias("pos"))
 
 
@@ -161,7 +195,18 @@ def cash_abstain(spark, sf_dir):
     return sp.top1(m, ["accession"])
 
 
-@query("assembled_fields")
+_NAMED = _MENTIONS + ", named AS (SELECT accession, CASE field WHEN 'click' THEN 'acquirer' WHEN 'view' THEN 'target' WHEN 'purchase' THEN 'cash_consideration' ELSE field END AS field, value, score, pos FROM mentions)"
+
+
+@query(
+    "assembled_fields",
+    f"""WITH {_NAMED}, e AS (SELECT *, lower(value) AS key FROM named WHERE score >= 0.4 AND field IN ('acquirer', 'target')),
+    v AS (SELECT accession, field, key, max(score) AS best, count(*) AS n, min(pos) AS first, arg_min(value, pos) AS name, arg_max({{'value': value, 'score': score, 'pos': pos}}, (score, -pos)) AS m FROM e GROUP BY ALL),
+    c AS (SELECT *, round(best + 0.12 * ln(1 + n) + CASE WHEN regexp_matches(name, '(?i)\\bcorporation\\b') AND length(name) > 10 THEN 0.08 ELSE 0 END - CASE WHEN length(name) < 8 THEN 0.16 ELSE 0 END, 9) AS total FROM v),
+    parties AS (SELECT accession, field, m.value AS value, m.score AS score, m.pos AS pos FROM c QUALIFY row_number() OVER (PARTITION BY accession, field ORDER BY total DESC, first) = 1),
+    others AS (SELECT * FROM named WHERE score >= 0.4 AND field NOT IN ('acquirer', 'target') AND (field <> 'cash_consideration' OR (regexp_matches(value, '\\$\\s*[0-9]') AND NOT regexp_matches(value, '(?i)\\b(million|billion)\\b'))) QUALIFY row_number() OVER (PARTITION BY accession, field ORDER BY score DESC, pos) = 1)
+    SELECT * FROM parties UNION ALL SELECT * FROM others""",
+)
 def assembled_fields(spark, sf_dir):
     names = F.create_map(*[F.lit(x) for x in ("click", "acquirer", "view", "target", "purchase", "cash_consideration")])
     m = mentions(spark, sf_dir).withColumn("field", F.coalesce(names[F.col("field")], F.col("field"))).withColumn("source_quote", F.col("value"))
@@ -192,7 +237,17 @@ def proximity_join(spark, sf_dir):
     return sp.near_parties(dates, e.where("event_type = 'view'").select("accession", "value", "start")).select("accession", "date_id", "party", "distance")
 
 
-@query("review_clusters")
+def _candidates(field: str, n: int) -> str:
+    first = f"SELECT accession, window_id, value, min(r) AS r FROM ranked WHERE field = '{field}' AND r <= {n} GROUP BY ALL"
+    return f"(SELECT string_agg(value, ' | ' ORDER BY r) FROM ({first}) c WHERE c.accession = w.accession AND c.window_id = w.window_id)"
+
+
+@query(
+    "review_clusters",
+    f"""WITH {_NAMED}, ranked AS (SELECT *, pos % 4 AS window_id, row_number() OVER (PARTITION BY accession, pos % 4, field ORDER BY score DESC, pos) AS r FROM named),
+    w AS (SELECT accession, window_id, arg_max(value, (score, -pos)) AS source_quote FROM ranked GROUP BY ALL)
+    SELECT accession, window_id, '' AS deal_id, '' AS review_status, coalesce({_candidates("acquirer", 4)}, '') AS acquirer_candidates, coalesce({_candidates("target", 4)}, '') AS target_candidates, coalesce({_candidates("cash_consideration", 3)}, '') AS cash_candidates, source_quote FROM w""",
+)
 def review_clusters(spark, sf_dir):
     names = F.create_map(*[F.lit(x) for x in ("click", "acquirer", "view", "target", "purchase", "cash_consideration")])
     m = mentions(spark, sf_dir).withColumn("field", F.coalesce(names[F.col("field")], F.col("field"))).withColumn("window_id", F.col("pos") % 4).withColumn("source_quote", F.col("value"))
@@ -371,12 +426,26 @@ def incremental_pending(spark, sf_dir):
     return st.pending(o, done, "o_orderkey", limit=500)
 
 
-@query("quality_gates")
+def _top(field: str) -> str:
+    return f"arg_max(value, (score, -pos)) FILTER (field = '{field}')"
+
+
+_SECURITY_FIELDS = "field NOT IN ('click', 'view', 'purchase')"
+
+
+@query(
+    "quality_gates",
+    f"""WITH {_MENTIONS}, g AS (SELECT accession AS event_id, {_top("click")} AS price, {_top("view")} AS expires, {_top("purchase")} AS party, arg_max(value, (score, -pos)) FILTER ({_SECURITY_FIELDS}) AS security, CAST(-quantile_disc(-40 * length(value), 0.5) AS BIGINT) AS median FROM mentions GROUP BY accession),
+    f AS (SELECT *, list_filter([CASE WHEN NOT regexp_matches(coalesce(price, ''), '(?i)\\$\\s*[0-9,]+') THEN 'top1_offer_price_not_money' END, CASE WHEN NOT regexp_matches(coalesce(expires, ''), '(?i)\\b[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}\\b') THEN 'top1_expiration_date_not_calendar' END,
+      CASE WHEN regexp_matches(party, '{AGENTS}') OR regexp_matches(trim(party), '{SHELLS}') THEN 'top1_offeror_is_agent_or_shell' END, CASE WHEN median < 300 THEN 'passage_median_lt_300' END], lambda x: x IS NOT NULL) AS failures FROM g)
+    SELECT event_id, price AS top1_offer_price, expires AS top1_expiration_date, party AS top1_offeror, security AS top1_security_description, coalesce(median, 0) AS passage_len_median, array_to_string(failures, ',') AS failures, len(failures) = 0 AS ok FROM f""",
+)
 def quality_gates(spark, sf_dir):
     m = mentions(spark, sf_dir)
     hints = F.create_map(*[F.lit(x) for x in ("click", "offer_price", "view", "expiration_date", "purchase", "offeror")])
     facts = m.select(F.col("accession").alias("event_id"), F.col("pos").alias("fact_id"), F.coalesce(hints[F.col("field")], F.lit("security_description")).alias("field_hint"), F.col("value").alias("raw"), F.col("score").alias("rank_score"), F.lit(None).cast("double").alias("confidence"), F.lit("rule").alias("method"), F.repeat("value", 40).alias("passage"))
-    return sp.quality_gates(facts)
+    out = sp.quality_gates(facts)
+    return out.withColumn("failures", F.array_join("failures", ",")).withColumn("passage_len_median", F.col("passage_len_median").cast("long"))
 
 
 @query("html_text")

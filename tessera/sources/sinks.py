@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -23,7 +27,7 @@ def write_partitions(df: DataFrame, path: str, partition_by: str) -> None:
 
 def write_report(df: DataFrame, path: str) -> None:
     """One CSV file of a small table."""
-    flat(df).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    flat(df).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def sections(reports: dict[str, DataFrame]) -> DataFrame:
@@ -39,3 +43,21 @@ def flat_spans(predictions: DataFrame) -> DataFrame:
     """A row for each span of ``candidates`` (map of field to array of spans)."""
     ids = [c for c in predictions.columns if c != "candidates"]
     return predictions.select(*ids, F.explode("candidates").alias("field", "spans")).select(*ids, "field", F.posexplode("spans").alias("pos", "span")).select(*ids, "field", "pos", "span.*")
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for tables that a query writes and reads again: in the shared folder that the session names, a temporary one only in local mode."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = Path(tempfile.mkdtemp(prefix="tessera-work-")).as_uri()
+    folder = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return folder
+
+
+def truncate(spark: SparkSession, path: str, schema: str) -> None:
+    """The table without rows, in the given shape."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
