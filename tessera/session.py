@@ -20,6 +20,7 @@ def build_session(app: str = "tessera", cores: int | str | None = None, shuffle_
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions or cores))
+        .config("spark.sql.objectHashAggregate.sortBased.fallbackThreshold", "16384")  # sets of a few names a key: 128 keys are sorted far too early
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TESSERA_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
