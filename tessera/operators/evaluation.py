@@ -100,6 +100,15 @@ def with_cohorts(df: DataFrame, key: str) -> DataFrame:
     return df.withColumn("cohort", F.explode(F.array(F.lit("all"), parity_cohort(F.col(key)))))
 
 
+def compare_variants(outcomes: dict[str, DataFrame], key: str) -> DataFrame:
+    """Precision and recall of each variant, of all its rows and of both cohorts. outcomes: by variant, rows with field, outcome and ``key``."""
+    all_ = None
+    for name, rows in outcomes.items():
+        tagged = rows.select(key, "field", "outcome").withColumn("variant", F.lit(name))
+        all_ = tagged if all_ is None else all_.unionByName(tagged)
+    return summed(with_cohorts(all_, key), ["variant", "cohort"])
+
+
 def evidence_agreement(quotes: DataFrame, candidates: DataFrame) -> DataFrame:
     """Of each field: how many distinct candidate values a quote contains, and how many cells have candidates.
 

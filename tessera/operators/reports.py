@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import as_rows, sorted_set
 from ..functions.text import around, dates_in, spaces
+from ..sources.sinks import write_report
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: Sequence) -> DataFrame:
@@ -113,3 +114,17 @@ def confirmed(queue: DataFrame, documents: DataFrame, problems: DataFrame) -> Da
     """Confirmed rows without a problem, in order of date and filing, with their text."""
     good = queue.where("review_label = 'confirmed'").join(problems.where("problems <> ''").select("accession"), "accession", "left_anti")
     return good.join(documents.select("accession", "text"), "accession").orderBy("filing_date", "accession")
+
+
+def export_confirmed(queue: DataFrame, documents: DataFrame, problems: DataFrame, folder: str) -> None:
+    """Write the confirmed filings into ``folder``: their texts as JSON lines and a manifest as one CSV file.
+
+    A confirmed review with a problem (changed text, a quote that isn't in it, no
+    date) fails the export before anything is written.
+    """
+    stale = problems.where("problems <> ''").orderBy("accession").limit(5).collect()
+    if stale:
+        raise ValueError("stale reviews: " + ", ".join(f"{r['accession']} ({r['problems']})" for r in stale))
+    rows = confirmed(queue, documents, problems)
+    rows.select("accession", "filing_date", "text").write.mode("overwrite").json(f"{folder}/documents")
+    write_report(rows.select("accession", "filing_date", "text_sha256", "suggested_priority", "evidence_types", "reviewed_at", "confirmed_evidence"), f"{folder}/manifest")

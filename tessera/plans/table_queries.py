@@ -21,7 +21,7 @@ from ..sources import readers, sinks
 from ..streaming import ingest
 from .corpus_queries import longs
 from .surrogate import EVENTS, RECORDS, documents, events, table
-from .text_queries import _MENTIONS, _PAIRS, _pairs, mentions
+from .text_queries import _EVIDENCE, _MENTIONS, _PAIRS, _QUEUE, _pairs, _screened, mentions
 
 _BASE = "https://example.org/data"
 
@@ -418,3 +418,15 @@ def demoted_ranks(spark, sf_dir):
     text = F.when(t == "click", F.when(k % 3 == 0, "Buyer Holdings Inc.").otherwise("Bo")).when(t == "view", target).when(t == "purchase", "ABC").otherwise(F.when(k % 2 == 0, "Stk").otherwise("Common shares of the company"))
     s = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("event_id"), k.alias("span_id"), hint.alias("field_hint"), text.alias("text"), F.lit("").alias("passage"), F.lit(1.0).alias("rank_score"))
     return sp.demoted(s).select("span_id", F.round("rank_score", 6).alias("rank_score"))
+
+
+@query("exported_archive", f"WITH {_EVIDENCE}, {_QUEUE} SELECT CAST(queue.accession AS VARCHAR) AS accession, text_sha256, suggested_priority, evidence_types, substr(text, 1, 4) AS confirmed_evidence, length(text) AS n_chars FROM queue JOIN screened ON queue.accession = screened.accession WHERE queue.accession % 5 = 0")
+def exported_archive(spark, sf_dir):
+    """A fifth of the queue confirmed by its first words, exported, and manifest and texts read back."""
+    folder, s = sinks.work_folder(spark, "export"), _screened(spark, sf_dir)
+    fifth = F.col("accession") % 5 == 0
+    q = ev.screen(s).join(s.select("accession", F.substring("text", 1, 4).alias("quote")), "accession")
+    q = q.withColumn("review_label", F.when(fifth, "confirmed").otherwise("")).withColumn("confirmed_evidence", F.col("quote")).withColumn("reviewed_at", F.lit("2024-05-01")).drop("quote")
+    rp.export_confirmed(q, s, ev.stale_reviews(q, s), folder)
+    texts = readers.read_json_lines(spark, f"{folder}/documents", "accession long, text string").select(F.col("accession").cast("string").alias("accession"), F.length("text").cast("long").alias("n_chars"))
+    return readers.read_csv(spark, f"{folder}/manifest").join(texts, "accession").select("accession", "text_sha256", "suggested_priority", F.coalesce("evidence_types", F.lit("")).alias("evidence_types"), "confirmed_evidence", "n_chars")

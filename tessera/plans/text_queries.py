@@ -260,10 +260,14 @@ _PRF = "CAST(count(*) FILTER (outcome = 'tp') AS BIGINT) AS tp, count(*) FILTER
 _RATES = "round(tp / nullif(tp + fp, 0), 6) AS precision, round(tp / nullif(tp + fn, 0), 6) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 6) AS f1, round((tp + tn) / scored, 6) AS accuracy"
 
 
-def outcomes(spark, sf_dir):
+#: Rules for the two fields: text that isn't good, text that is toxic.
+BASELINE_RULES, ENHANCED_RULES = ("!!|[|]", "(?i)trash|idiot|scum"), ("!!|[|]|[0-9]-[0-9]", "(?i)trash|idiot|scum|vermin|worthless")
+
+
+def outcomes(spark, sf_dir, rules=BASELINE_RULES):
     j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
     cell = lambda n, g, p: F.struct(F.lit(n).alias("field"), g.alias("gold"), p.alias("predicted"))
-    cells = j.select("doc_id", F.explode(F.array(cell("quality", F.col("quality") == 1, ~F.col("text").rlike("!!|[|]")), cell("toxic", F.col("toxic") == 1, F.col("text").rlike("(?i)trash|idiot|scum")))).alias("c")).select("doc_id", "c.*")
+    cells = j.select("doc_id", F.explode(F.array(cell("quality", F.col("quality") == 1, ~F.col("text").rlike(rules[0])), cell("toxic", F.col("toxic") == 1, F.col("text").rlike(rules[1])))).alias("c")).select("doc_id", "c.*")
     return cells.withColumn("outcome", F.when(F.col("gold") & F.col("predicted"), "tp").when(F.col("predicted"), "fp").when(F.col("gold"), "fn").otherwise("tn"))
 
 
@@ -272,16 +276,24 @@ def prf_by_field(spark, sf_dir):
     return ev.summed(outcomes(spark, sf_dir), [])
 
 
-@query(
-    "split_cohort_eval",
+_COHORTS = (
     f"WITH {_LABELLED}, c AS (SELECT o.*, unnest(['all', CASE WHEN ascii(right(sha256(CAST(doc_id AS VARCHAR)), 1)) % 2 = CASE WHEN right(sha256(CAST(doc_id AS VARCHAR)), 1) BETWEEN 'a' AND 'f' THEN 1 ELSE 0 END THEN 'development' ELSE 'comparison' END]) AS cohort FROM o), "
-    f"s AS (SELECT cohort, coalesce(field, '(all)') AS field, {_PRF} FROM c GROUP BY GROUPING SETS ((cohort, field), (cohort))) SELECT *, {_RATES} FROM s",
+    f"s AS (SELECT cohort, coalesce(field, '(all)') AS field, {_PRF} FROM c GROUP BY GROUPING SETS ((cohort, field), (cohort))) SELECT *, {_RATES} FROM s"
 )
+
+
+@query("split_cohort_eval", _COHORTS)
 def split_cohort_eval(spark, sf_dir):
     keyed = outcomes(spark, sf_dir).withColumn("key", F.col("doc_id").cast("string"))
     return ev.summed(ev.with_cohorts(keyed, "key"), ["cohort"])
 
 
+@query("variant_evaluation", f"SELECT 'baseline' AS variant, * FROM ({_COHORTS}) UNION ALL SELECT 'enhanced' AS variant, * FROM ({_COHORTS.replace(BASELINE_RULES[0], ENHANCED_RULES[0]).replace(BASELINE_RULES[1], ENHANCED_RULES[1])})")
+def variant_evaluation(spark, sf_dir):
+    of = lambda rules: outcomes(spark, sf_dir, rules).withColumn("key", F.col("doc_id").cast("string"))
+    return ev.compare_variants({"baseline": of(BASELINE_RULES), "enhanced": of(ENHANCED_RULES)}, "key")
+
+
 _PAIRS = "pairs AS (SELECT o_orderkey AS row_id, o_orderstatus AS a, CASE o_orderkey % 5 WHEN 0 THEN upper(o_orderpriority) WHEN 1 THEN substr(o_orderpriority, 1, 5) || '  ' WHEN 2 THEN 'N/A' WHEN 3 THEN '' ELSE 'other' END AS predicted, CASE WHEN o_orderkey % 7 = 0 THEN ' none ' ELSE o_orderpriority END AS gold FROM orders)"
 
 

@@ -27,7 +27,7 @@ def write_partitions(df: DataFrame, path: str, partition_by: str) -> None:
 
 def write_report(df: DataFrame, path: str) -> None:
     """One CSV file of a small table."""
-    flat(df).coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    flat(df).coalesce(1).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def sections(reports: dict[str, DataFrame]) -> DataFrame:
