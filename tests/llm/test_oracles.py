@@ -19,7 +19,7 @@ def shown(df) -> list[str]:
 @pytest.mark.parametrize("name", sorted(queries.oracles()))
 def test_oracle(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages", "benchmark", "labels"):
+    for t in ("documents", "pages", "benchmark", "labels", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     got, expected = queries.queries()[name](spark, SF).toPandas(), con.sql(queries.oracles()[name]).df()
     assert sorted(got.columns) == sorted(expected.columns)
