@@ -101,34 +101,39 @@ _FIRST_LAST = ", ".join(f"CASE WHEN regexp_matches(text, {_quoted(p)}) THEN [len
 _ANCHORED = ("Merger agreement. ", " Each right to receive a per share amount at the effective time.")
 
 
-@query(
-    "anchor_windows",
-    f"""WITH RECURSIVE {_sql_docs(*_ANCHORED)}, m AS (SELECT id, text, length(text) AS n, flatten([{_FIRST_LAST}]) AS p FROM t WHERE regexp_matches(text, '\\S')),
+_WINDOWS_SQL = f"""m AS (SELECT id, text, length(text) AS n, flatten([{_FIRST_LAST}]) AS p FROM t WHERE regexp_matches(text, '\\S')),
     r(id, k, starts) AS (SELECT id, 0, [CAST(0 AS BIGINT)] FROM m
       UNION ALL SELECT id, k + 1, CASE WHEN len(starts) < 12 AND NOT list_contains(starts, a) AND len(list_filter(starts, lambda x: x <= place AND place < x + 750)) = 0 THEN list_append(starts, a) ELSE starts END
-      FROM (SELECT r.id, k, starts, p[k + 1] AS place, greatest(0, least(p[k + 1] - 180, n - 900)) AS a FROM r JOIN m ON r.id = m.id AND k < len(p)))
-    , last AS (SELECT id, starts FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1), o AS (SELECT id, starts, unnest(range(0, len(starts))) AS k FROM last)
-    SELECT id, CAST(k AS BIGINT) AS window_id, CAST(starts[k + 1] AS BIGINT) AS start, substr(text, starts[k + 1] + 1, 900) AS chunk FROM o JOIN m USING (id)""",
-)
+      FROM (SELECT r.id, k, starts, p[k + 1] AS place, greatest(0, least(p[k + 1] - 180, n - 900)) AS a FROM r JOIN m ON r.id = m.id AND k < len(p))),
+    last AS (SELECT id, starts FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY k DESC) = 1), o AS (SELECT id, starts, unnest(range(0, len(starts))) AS k FROM last),
+    win AS (SELECT id, k, starts[k + 1] AS w0, substr(text, starts[k + 1] + 1, 900) AS c FROM o JOIN m USING (id))"""
+
+
+@query("anchor_windows", f"WITH RECURSIVE {_sql_docs(*_ANCHORED)}, {_WINDOWS_SQL} SELECT id, CAST(k AS BIGINT) AS window_id, CAST(w0 AS BIGINT) AS start, c AS chunk FROM win")
 def anchor_windows(spark, sf_dir):
     return longs(ps.windows(_docs(spark, sf_dir, *_ANCHORED), "id", "text", ps.anchored()))
 
 
-_CAPITAL, _CODE = "[A-Z][a-z]{5,}", "[0-9A-Z]{9}"
+def _in_windows(spans: list[tuple[str, str, str, str]]) -> str:
+    """DuckDB SELECT of the places of (label, field, pattern, score) in all windows, each place of a label once, of its first window."""
+    of = [f"SELECT id // 100 AS id, id % 100 AS k, '{label}' AS label, '{field}' AS field, {score} AS score, s, m FROM ({places(field, pattern, table_='(SELECT id * 100 + k AS id, c AS text FROM win)').replace('(?i)', '')})" for label, field, pattern, score in spans]
+    return f"""hits AS (SELECT f.*, w0 + s AS s0 FROM ({" UNION ALL ".join(of)}) f JOIN win USING (id, k)),
+    once AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY id, label, s0, length(m) ORDER BY k) = 1)"""
+
+
+_CAPITAL, _CODE = r"\b[A-Z][a-z]{3,}\b", r"\b[0-9]{9}\b"
 
 
 @query(
     "span_pipeline",
-    # The backend's two patterns hold nothing that a window's end could cut differently, so spans of overlapping windows agree.
-    f"""WITH {_sql_docs()}, n AS (SELECT id, text FROM t WHERE regexp_matches(text, '\\S')), win AS (SELECT id, text, substr(text, 1, 900) AS c FROM n),
-    a AS ({places("acquirer", _CAPITAL, table_="(SELECT id, c AS text FROM win)").replace("(?i)", "")}), b AS ({places("cusip", _CODE, table_="(SELECT id, c AS text FROM win)").replace("(?i)", "")}),
-    f AS (SELECT id, kind, s, m FROM a UNION ALL SELECT id, kind, s, m FROM b)
-    SELECT id, kind AS field, m AS value, CASE kind WHEN 'cusip' THEN 0.8 ELSE 0.6 END AS score, s AS start, s + length(m) AS "end", substr(text, greatest(0, s - 220) + 1, s + length(m) + 220 - greatest(0, s - 220)) AS source_quote,
-      greatest(0, s - 220) AS quote_start, least(length(text), s + length(m) + 220) AS quote_end, CAST(0 AS BIGINT) AS window_id FROM f JOIN n USING (id)""",
+    f"""WITH RECURSIVE {_sql_docs(*_ANCHORED)}, {_WINDOWS_SQL}, {_in_windows([("acquirer organization", "acquirer", _CAPITAL, "0.6"), ("CUSIP identifier", "cusip", _CODE, "0.8")])}
+    SELECT id, field, m AS value, CAST(score AS DOUBLE) AS score, CAST(s0 AS BIGINT) AS start, CAST(s0 + length(m) AS BIGINT) AS "end", substr(text, greatest(0, s0 - 220) + 1, s0 + length(m) + 220 - greatest(0, s0 - 220)) AS source_quote,
+      CAST(greatest(0, s0 - 220) AS BIGINT) AS quote_start, CAST(least(length(text), s0 + length(m) + 220) AS BIGINT) AS quote_end, CAST(k AS BIGINT) AS window_id FROM once JOIN (SELECT id, text FROM t) USING (id)""",
 )
 def span_pipeline(spark, sf_dir):
-    backend = ps.RuleBackend({"acquirer organization": ((_CAPITAL, 0.6),), "CUSIP identifier": ((_CODE, 0.8),)})
-    return longs(ps.spans(_docs(spark, sf_dir), "id", "text", backend, most=1).drop("label", "method"))
+    """A backend of two patterns in all anchored windows, up to twelve a text."""
+    backend = ps.RuleBackend({"acquirer organization": (("(?a)" + _CAPITAL, 0.6),), "CUSIP identifier": (("(?a)" + _CODE, 0.8),)})  # word ends as the oracle's
+    return longs(ps.spans(_docs(spark, sf_dir, *_ANCHORED), "id", "text", backend).drop("label", "method"))
 
 
 @query("spans_of_all_windows")

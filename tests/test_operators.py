@@ -407,3 +407,54 @@ def test_partitions_do_not_matter(spark):
     d = surrogate.documents(spark, "/root/testdata/sf0.001").cache()
     show = lambda n: sorted(map(str, co.event_table(d.repartition(n)).select(*sorted(co.event_table(d).columns)).collect()))
     assert show(1) == show(7)
+
+
+def test_offsets_take_time_in_proportion(spark):
+    """A hundred thousand matches in one text, with their surroundings, and merger terms as many as fit: no step looks at all the others."""
+    import time
+
+    from tessera.operators import passages as ps
+
+    def seconds(make, n: int) -> float:
+        df = spark.createDataFrame([(1, make(n))], "id long, text string")
+        began = time.perf_counter()
+        total = ps.find_all(df, "id", "text", {"m": r"\$\d+\.\d+"}, 10, 10).selectExpr("count(*) as n", "max(end) as e", "sum(length(quote)) as q").first()
+        assert total["n"] == n and total["e"] == len(make(n).rstrip())
+        return time.perf_counter() - began
+
+    amounts = lambda n: " ".join(f"the ${k}.50" for k in range(n))
+    seconds(amounts, 1000)
+    assert seconds(amounts, 100_000) < 10
+
+    terms = lambda n: "The merger agreement. " + " ".join(f"Each share converted into ${k}.50 in cash per share." for k in range(n))
+    df = spark.createDataFrame([(1, terms(8000))], "id long, text string")
+    began = time.perf_counter()
+    assert ps.merger_terms(df, "id", "text").where("field = 'cash_amount'").count() == 8000
+    assert time.perf_counter() - began < 20
+
+
+def test_scans_and_parts(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.functions import arrays as ar
+
+    rows = [([],), ([5],), ([1, 2],), ([3, -1, 4, 1, 5, 9, 2, 6, 5],), (list(range(1000)),)]
+    got = spark.createDataFrame(rows, "a array<int>").select("a", ar.prefix_sums(F.col("a")).alias("s"), ar.scan(F.col("a"), F.greatest).alias("m")).collect()
+    for r in got:
+        assert r["s"] == [sum(r["a"][: i + 1]) for i in range(len(r["a"]))]
+        assert r["m"] == [max(r["a"][: i + 1]) for i in range(len(r["a"]))]
+    text = "".join(chr(97 + i % 26) + ("日𝒳" if i % 7 == 0 else "\n") for i in range(900))
+    spans = [(0, 0), (0, 5), (510, 4), (512, 512), (1000, 2000), (len(text) - 1, 9), (len(text) + 3, 4), (-3, 5), (-9, 4)]
+    df = spark.createDataFrame([(text, a, n) for a, n in spans], "t string, a int, n int")
+    for r in df.select("a", "n", ar.part(ar.blocks(F.col("t")), F.col("a"), F.col("n")).alias("p")).collect():
+        assert r["p"] == text[max(0, r["a"]) : max(0, r["a"] + r["n"])]
+
+
+def test_first_of_equals(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators.passages import first_of_equals
+
+    df = spark.createDataFrame([([(1, "a"), (2, "b"), (1, "c"), (1, "d"), (2, "e")],), ([],)], "v array<struct<k:int,x:string>>")
+    kept = lambda last: [[x["x"] for x in r[0]] for r in df.select(first_of_equals(F.col("v"), lambda s: [s["k"]], last)).collect()]
+    assert kept(False) == [["a", "b"], []] and kept(True) == [["d", "e"], []]
