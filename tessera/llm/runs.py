@@ -123,17 +123,31 @@ class LeastBetween:
         return out
 
 
-def next_smaller(values: np.ndarray) -> np.ndarray:
-    """For each place the next one with a smaller value; the length where there is none."""
+def next_smaller(values: np.ndarray, rounds: int = 24) -> np.ndarray:
+    """For each place the next one with a smaller value, of different ones; the length where there is none.
+
+    Everything between a place and its pointer is larger, so a pointer at a larger
+    value may jump to where that one's points. All places jump at once for some
+    rounds; the few that are left (above long staircases) follow their pointers from
+    the right, when all places behind them are done.
+    """
     n = len(values)
-    out = [n] * n
-    stack: list[int] = []
-    listed = values.tolist()
-    for i, v in enumerate(listed):
-        while stack and listed[stack[-1]] > v:
-            out[stack.pop()] = i
-        stack.append(i)
-    return np.array(out, np.int64)
+    ended = np.append(values, np.iinfo(values.dtype).min)
+    out = np.append(np.arange(1, n + 1), n)
+    open_ = np.arange(n)
+    for _ in range(rounds):
+        open_ = open_[ended[out[open_]] > values[open_]]
+        if not len(open_):
+            return out[:n]
+        out[open_] = out[out[open_]]
+    open_ = open_[ended[out[open_]] > values[open_]]
+    listed, found = ended.tolist(), out.tolist()
+    for i in open_[::-1].tolist():
+        v, j = listed[i], found[i]
+        while listed[j] > v:
+            j = found[j]
+        found[i] = j
+    return np.array(found[:n], np.int64)
 
 
 def _reach_left(least: LeastBetween, i: np.ndarray, j: np.ndarray, room: np.ndarray) -> np.ndarray:
@@ -160,15 +174,15 @@ def find_runs(h: np.ndarray, first: np.ndarray, fewest: int = LEAST) -> tuple[np
     marks = first[1:] + np.arange(texts)
     symbols = np.empty(len(h) + texts, np.int64)
     symbols[marks] = np.arange(texts)
-    symbols[at] = np.unique(h, return_inverse=True)[1] + texts
+    by = np.argsort(h)
+    symbols[at[by]] = np.cumsum(_new_group(h[by])) - 1 + texts
     suffixes, levels = suffix_levels(symbols)
     rank = levels[-1].astype(np.int64)
     least = LeastBetween(common_prefixes(suffixes, levels), rank)
     end = marks[text_of]
     up, down = next_smaller(rank)[at], next_smaller(-rank)[at]
     inside = down < end  # else the word would hold the mark; runs up to the text's end have a root of the other kind
-    pair = np.unique(np.concatenate([at, at[inside]]) * len(symbols) + np.concatenate([up, down[inside]]))
-    i, j = pair // len(symbols), pair % len(symbols)
+    i, j = np.concatenate([at, at[inside]]), np.concatenate([up, down[inside]])  # no pair twice: the next smaller value isn't larger
     period = j - i
     begin = first[:-1] + np.arange(texts)
     owner = np.searchsorted(marks, i)
@@ -189,24 +203,37 @@ def find_runs(h: np.ndarray, first: np.ndarray, fewest: int = LEAST) -> tuple[np
     return tuple(found[by].T)
 
 
+def _kept_texts(words: Words, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of the kept words of all texts, one space between those of a text, and where each text begins."""
+    edge = np.zeros(len(words.data) + 1, np.int8)
+    edge[words.starts[kept]] += 1
+    edge[words.ends[kept]] -= 1
+    of = np.flatnonzero(kept)
+    more = of[:-1][words.doc[of[:-1]] == words.doc[of[1:]]] if len(of) else of
+    keep = np.cumsum(edge[:-1]) > 0
+    data = np.where(keep, words.data, np.uint8(32))
+    keep[words.ends[more]] = True  # a word that another one follows ends at white space
+    return data[keep], np.append(0, np.cumsum(keep))[words.bounds]
+
+
 def _results(words: Words, fewest: int) -> list[dict]:
     text, start, length, period = find_runs(words.hashes(), words.first, fewest)
+    gone = np.zeros(len(words.starts) + 1, np.int64)
+    np.add.at(gone, words.first[text] + start + period, 1)
+    np.add.at(gone, words.first[text] + start + length, -1)
+    data, begin = _kept_texts(words, np.cumsum(gone[:-1]) == 0)
     bounds = np.searchsorted(text, np.arange(len(words.counts) + 1))
     out = []
-    for d, n in enumerate(words.counts):
+    for d in range(len(words.counts)):
         of = slice(bounds[d], bounds[d + 1])
         s, k, q = start[of], length[of], period[of]
         row: dict = {"n_runs": len(s), "start": None, "length": None, "period": None, "exponent_milli": None}
-        gone = np.zeros(n + 1, np.int64)
         if len(s):
             best = np.lexsort((q, s, -k))[0]
             row |= {"start": int(s[best]), "length": int(k[best]), "period": int(q[best]), "exponent_milli": int(1000 * k[best] // q[best])}
-            np.add.at(gone, s + q, 1)
-            np.add.at(gone, s + k, -1)
-        kept = np.flatnonzero(np.cumsum(gone[:n]) == 0) + words.first[d]
         runs = "".join(f"{a},{b},{c}\n" for a, b, c in zip(s.tolist(), k.tolist(), q.tolist(), strict=True))
         row["runs_sha256"] = hashlib.sha256(runs.encode()).hexdigest()
-        row["collapsed_sha256"] = hashlib.sha256(b" ".join(words.word(w) for w in kept)).hexdigest()
+        row["collapsed_sha256"] = hashlib.sha256(data[begin[d] : begin[d + 1]].tobytes()).hexdigest()
         out.append(row)
     return out
 

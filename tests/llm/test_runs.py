@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from tessera.llm.op_queries.op13 import made_periodic
-from tessera.llm.runs import find_runs, periodic_runs
+from tessera.llm.runs import find_runs, next_smaller, periodic_runs
 
 from .helpers import corpus, documents, words
 
@@ -104,3 +104,17 @@ def test_long_texts_take_time_in_proportion():
 
 def test_empty_table(spark):
     assert periodic_runs(documents(spark, [(1, "x")]).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("rounds", [0, 2, 24])
+def test_next_smaller(rounds):
+    r = np.random.default_rng(2)
+    for n in (0, 1, 2, 50, 3000):
+        stairs = np.concatenate([[-1], np.arange(n)[::-1]])
+        for values in (r.permutation(n), stairs, np.concatenate([r.permutation(n) + 5000, stairs])):
+            got = next_smaller(values.astype(np.int64), rounds)
+            plain = [next((j for j in range(i + 1, min(len(values), i + 4000)) if values[j] < values[i]), len(values)) for i in range(len(values))] if n < 100 else None
+            if plain is not None:
+                assert got.tolist() == plain
+            for i in range(0, len(values), 97):
+                assert (values[i + 1 : got[i]] > values[i]).all() and (got[i] == len(values) or values[got[i]] < values[i])
