@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +35,11 @@ def is_primary(form: Column, file_type: Column, exhibit: Column) -> Column:
     return ~exhibit & (F.coalesce(file_type, F.lit("")) != "") & F.coalesce(same, F.lit(False))
 
 
-def records_from_hits(hits: DataFrame) -> DataFrame:
-    """Nested search hits (``_id``, ``_source``) as flat records, one a hit."""
+def records_from_hits(hits: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Nested search hits (``_id``, ``_source``) as flat records, one a hit; ``keep`` names columns to carry along."""
     s = lambda name: F.col(f"_source.{name}")
     name = display_name_parts(first_or_null(s("display_names")))
-    base = hits.select(F.col("_id").alias("hit_id"), F.col("_source"), name.alias("name"))
+    base = hits.select(F.col("_id").alias("hit_id"), F.col("_source"), name.alias("name"), *keep)
     exhibit = is_exhibit(s("file_type"), s("file_description"))
     return base.select(
         "hit_id",
@@ -58,6 +60,7 @@ def records_from_hits(hits: DataFrame) -> DataFrame:
         is_amendment(s("form")).alias("is_amendment"),
         exhibit.alias("is_exhibit"),
         is_primary(s("form"), s("file_type"), exhibit).alias("is_primary_form_doc"),
+        *keep,
     )
 
 

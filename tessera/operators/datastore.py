@@ -18,11 +18,9 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: Sequence[str], keep:
     keep: columns that an update leaves as they are; fill: columns that an update
     changes only to a value. The result is a new table: write it to a new path.
     """
-    old, new = existing.alias("o"), incoming.alias("n")
+    old, new = existing.withColumn("__old", F.lit(1)).alias("o"), incoming.withColumn("__new", F.lit(1)).alias("n")
     on = [F.col(f"o.{k}").eqNullSafe(F.col(f"n.{k}")) for k in keys]
-    there = F.col(f"o.{keys[0]}").isNotNull()
-    arrived = F.col("n.__new").isNotNull()
-    new = incoming.withColumn("__new", F.lit(1)).alias("n")
+    there, arrived = F.col("o.__old").isNotNull(), F.col("n.__new").isNotNull()
     joined = old.join(new, on, "full_outer")
     out = []
     for c in existing.columns:

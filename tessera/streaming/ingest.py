@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import KeyedTable
+
 
 def file_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -15,10 +17,6 @@ def deduplicated(stream: DataFrame, key: str, time: str, delay: str = "1 day") -
     return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def windowed_counts(stream: DataFrame, time: str, width: str, *keys: str, delay: str = "1 day") -> DataFrame:
-    return stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).groupBy(F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("n"))
-
-
 def append_new(target: str, key: str):
     """A batch function that appends rows whose key ``target`` lacks: a batch that is replayed adds nothing."""
 
@@ -37,3 +35,12 @@ def run_available(stream: DataFrame, target: str, checkpoint: str, key: str) ->
     """Process what there is, then stop; the checkpoint remembers what was read."""
     query = stream.writeStream.foreachBatch(append_new(target, key)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+
+
+def run_into(stream: DataFrame, table: KeyedTable, checkpoint: str) -> None:
+    """Process what there is into a keyed table. A batch reads those parts of the table that its rows belong to, so its work doesn't grow with the others."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        table.append_missing(batch)
+
+    stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
