@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .literals import matches_any_case
+
 
 def argmax(value: Column, *order: Column) -> Column:
     """Aggregate: the value of the row that is greatest by ``order``; list tie-breakers last."""
@@ -58,12 +60,15 @@ def as_rows(df: DataFrame, name: str, value: str, columns: Sequence[str], kind:
     return df.select(*ids, *[F.col(c).cast(kind).alias(c) for c in columns]).unpivot(ids, list(columns), name, value)
 
 
-def presence(patterns: dict[str, Sequence[str]], text: Column, hits: bool = True) -> list[Column]:
-    """``<name>_detected`` (and ``<name>_n_pattern_hits``) for each family of patterns, in one pass over the text."""
+def presence(patterns: dict[str, Sequence[str]], text: Column, hits: bool = True, low: Column | None = None) -> list[Column]:
+    """``<name>_detected`` (and ``<name>_n_pattern_hits``) for each family of patterns, in one pass over the text.
+
+    low: the text in lower case; then a pattern runs only where a literal that it needs is found.
+    """
     out = []
     whole = F.coalesce(text, F.lit(""))
     for name, family in patterns.items():
-        found = [whole.rlike(p) for p in family]
+        found = [whole.rlike(p) if low is None else matches_any_case(whole, low, p) for p in family]
         any_ = found[0]
         for f in found[1:]:
             any_ = any_ | f

@@ -7,18 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import argmax, as_rows, presence
+from ..functions.frames import as_rows, presence
 
 
 def flagged(texts: DataFrame, patterns: dict[str, Sequence[str]], text: str, keep: Sequence[str]) -> DataFrame:
     """The ``keep`` columns and a boolean for each field, from one pass over the texts."""
-    flags = presence(patterns, F.col(text), hits=False)
-    return texts.select(*keep, *flags).withColumnsRenamed({f"{p}_detected": p for p in patterns})
+    folded = texts.select(*keep, F.col(text).alias("__text"), F.lower(F.coalesce(text, F.lit(""))).alias("__low"))
+    flags = presence(patterns, F.col("__text"), hits=False, low=F.col("__low"))
+    return folded.select(*keep, *flags).withColumnsRenamed({f"{p}_detected": p for p in patterns})
 
 
 def hit_counts(texts: DataFrame, patterns: dict[str, Sequence[str]], text: str, key: str) -> DataFrame:
     """(key, field, n_pattern_hits) rows."""
-    wide = texts.select(key, *presence(patterns, F.col(text))).drop(*[f"{p}_detected" for p in patterns])
+    folded = texts.select(key, F.col(text).alias("__text"), F.lower(F.coalesce(text, F.lit(""))).alias("__low"))
+    wide = folded.select(key, *presence(patterns, F.col("__text"), low=F.col("__low"))).drop(*[f"{p}_detected" for p in patterns])
     return as_rows(wide.withColumnsRenamed({f"{p}_n_pattern_hits": p for p in patterns}), "field", "n_pattern_hits", list(patterns), "long")
 
 
@@ -45,11 +47,6 @@ def best_source(coverage: DataFrame, group: str) -> DataFrame:
     return coverage.join(w, ["field", "coverage_pct"]).groupBy("field").agg(F.min(group).alias("best_source"), F.first("coverage_pct").alias("coverage_pct"))
 
 
-def best_source_by_rank(coverage: DataFrame, group: str) -> DataFrame:
-    """The same in one aggregation, where the group's order can be turned around."""
-    return coverage.groupBy("field").agg(argmax(F.col(group), F.col("coverage_pct"), -F.ascii(F.col(group))).alias("best_source"))
-
-
 def pivoted(coverage: DataFrame, group: str, values: Sequence[str]) -> DataFrame:
     """Fields by groups; the values are given, so no extra pass looks for them."""
     return coverage.groupBy("field").pivot(group, list(values)).agg(F.first("coverage_pct"))
