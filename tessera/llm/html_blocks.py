@@ -13,6 +13,7 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
+from collections.abc import Callable
 from dataclasses import dataclass
 
 # Element names by what they do.
@@ -28,11 +29,46 @@ CLOSES = {
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split())
 SCOPES = frozenset("table ul ol dl select body html div section article main aside td th".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>|<[!?/][^>]*(?:>|\Z)", re.S)
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>")
+_PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+_OTHER = re.compile(r"<!--.*?(?:-->|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[A-Za-z]+")
 
 
+def tags(page: str) -> Callable[[int], re.Match | None]:
+    """A function that finds the next tag, comment or declaration from a place on; its places don't go back.
+
+    A tag whose quotes hide every later ``>`` ends at the next one instead, and from there
+    on quotes no longer hide anything; without a later ``>`` what looks like a tag is
+    text. So the rest of a page is looked through in vain once, not from each ``<``.
+    """
+    quotes, last = True, page.rfind(">")
+
+    def following(at: int) -> re.Match | None:
+        nonlocal quotes
+        while (at := page.find("<", at)) >= 0:
+            name = page[at + 1 : at + 2]
+            if name == "/":
+                name = page[at + 2 : at + 3]
+            if name.isascii() and name.isalpha():
+                if at < last:
+                    m = _TAG.match(page, at) if quotes else None
+                    if m is None and (m := _PLAIN_TAG.match(page, at)):
+                        quotes = False
+                    if m:
+                        return m
+                if page[at + 1] != "/":
+                    at += 1
+                    continue
+            if m := _OTHER.match(page, at):
+                return m
+            at += 1
+        return None
+
+    return following
+
+
 @dataclass(frozen=True, eq=False)
 class Element:
     """An open block element: its tag, the words of its class, id and role, the block element around it, and how many there are with it."""
@@ -109,9 +145,9 @@ def blocks(page: str) -> list[Block]:
         if block:
             here = child(here, name, names)
 
-    at = 0
+    at, following = 0, tags(page)
     while True:
-        m = _TOKEN.search(page, at)
+        m = following(at)
         text = page[at : m.start() if m else len(page)]
         if text:
             held.append(text)
@@ -120,10 +156,9 @@ def blocks(page: str) -> list[Block]:
         if not m:
             break
         at = m.end()
-        name = m[2]
-        if name is None:  # a comment, a declaration or a stray end
+        if m.re is _OTHER:  # a comment, a declaration or a stray end
             continue
-        name = name.lower()
+        name = m[2].lower()
         if m[1]:
             if name == "br":
                 held.append(" ")
