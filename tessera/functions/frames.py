@@ -45,15 +45,6 @@ def value_counts(df: DataFrame, *keys: str, name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name)).orderBy(F.desc(name), *keys)
 
 
-def describe(value: str) -> list[Column]:
-    """Aggregates: count, mean, standard deviation, least, exact quartiles, greatest."""
-    c = F.col(value)
-    return [
-        F.count(c).alias("n"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.min(c).cast("double").alias("min"),
-        F.percentile(c, 0.25).alias("p25"), F.percentile(c, 0.5).alias("p50"), F.percentile(c, 0.75).alias("p75"), F.max(c).cast("double").alias("max"),
-    ]
-
-
 def as_rows(df: DataFrame, name: str, value: str, columns: Sequence[str], kind: str = "double") -> DataFrame:
     """Columns of each row as rows (name, value)."""
     ids = [c for c in df.columns if c not in columns]

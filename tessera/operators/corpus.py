@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import AMENDMENT_FORMS, FORM_FAMILIES, FORMATS
-from ..functions.frames import describe, latest_per_key, sorted_union, value_counts
+from ..functions.frames import latest_per_key, sorted_union, value_counts
+from ..functions.quantiles import described
 from ..functions.text import display_name_parts, filename_of_hit, first_or_null
 
 NO_NUMBER = "NO_FILE_NUM:"
@@ -161,7 +162,7 @@ def shared_filenames(documents: DataFrame) -> DataFrame:
 
 
 def documents_per_event(events: DataFrame) -> DataFrame:
-    return events.agg(*describe("n_documents"))
+    return described(events, "n_documents")
 
 
 def unusual_volume(events: DataFrame, n: int = 15) -> DataFrame:

@@ -19,10 +19,10 @@ METADATA = {
 }
 
 
-def scans(sample: DataFrame, fields: Sequence[Field] = FIELDS, text: str = "text") -> DataFrame:
-    """``event_id, form`` and a flag for each field with patterns, of the sample's documents that were fetched (status ok)."""
+def scans(sample: DataFrame, fields: Sequence[Field] = FIELDS, text: str = "text", keep: Sequence[str] = ("event_id", "form")) -> DataFrame:
+    """``event_id, form`` (or what ``keep`` names) and a flag for each field with patterns, of the sample's documents that were fetched (status ok)."""
     patterns = {f.name: f.patterns for f in fields if f.patterns}
-    return flagged(sample.where("status = 'ok'"), patterns, text, ["event_id", "form"])
+    return flagged(sample.where("status = 'ok'"), patterns, text, list(keep))
 
 
 def _summed(found: DataFrame, names: Sequence[str]) -> DataFrame:

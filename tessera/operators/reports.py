@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.frames import as_rows, sorted_set
+from ..functions.quantiles import medians
 from ..functions.text import around, dates_in, spaces
 from ..sources.sinks import write_report
 
@@ -51,13 +52,8 @@ def mentions(texts: DataFrame, key: str, text: str, patterns: dict[str, str], be
     return texts.select(key, F.explode(F.array(*cells)).alias("m")).select(key, "m.*")
 
 
-def upper_median(value: str) -> Column:
-    """Aggregate: the middle value, of an even number the greater of the two, exactly and without a list of all."""
-    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value} DESC)")
-
-
 def run_summary(documents: DataFrame, group: str, value: str) -> DataFrame:
-    return documents.groupBy(group).agg(F.count(F.lit(1)).alias("n"), upper_median(value).alias("upper_median"), F.median(value).alias("median"))
+    return medians(documents, value, group)
 
 
 def artifact_funnel(stages: DataFrame, flags: Sequence[str]) -> DataFrame:

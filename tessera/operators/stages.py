@@ -108,3 +108,27 @@ PATHS = {"tender": True, "exchange": False, "rights": False, "merger": False, "c
 
 def path_status(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(p, "implemented" if ok else "stub_not_implemented") for p, ok in PATHS.items()], "path string, status string")
+
+
+def manifests(texts: DataFrame, text: str = "value") -> DataFrame:
+    """Stage manifests of any shape: ``stage, status, ended`` and ``metrics``, all else as a variant; text that is no object has nulls.
+
+    Shapes may differ from row to row and from run to run; nothing has to be known of
+    the metrics when they are read or written.
+    """
+    v = F.try_parse_json(F.col(text))
+    get = lambda name: F.try_variant_get(v, f"$.{name}", "string")
+    return texts.select(get("stage").alias("stage"), get("status").alias("status"), F.try_to_timestamp(get("ended")).alias("ended"), v.alias("metrics"))
+
+
+def metric_rows(table: DataFrame) -> DataFrame:
+    """A row for each entry of each manifest but the common ones: ``metric`` and its ``value`` as JSON text."""
+    keep = [c for c in table.columns if c != "metrics"]
+    entries = table.lateralJoin(table.sparkSession.tvf.variant_explode(F.col("metrics").outer()))
+    rows = entries.where("key is not null and key not in ('stage', 'status', 'ended')")
+    return rows.select(*keep, F.col("key").alias("metric"), F.to_json(F.col("value")).alias("value"))
+
+
+def metric_shapes(table: DataFrame, *by: str) -> DataFrame:
+    """The one schema that the manifests of each group fit."""
+    return table.groupBy(*by).agg(F.schema_of_variant_agg("metrics").alias("shape"), F.count(F.lit(1)).alias("n"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frames import describe, value_counts
+from ..functions.frames import value_counts
+from ..functions.quantiles import described
 from ..functions.text import text_measures
 from ..operators import amendments as am
 from ..operators import corpus as co
@@ -93,7 +94,7 @@ def documents_per_event(spark, sf_dir):
 
 @query("length_by_lang", f"SELECT lang, {_DESCRIBE.format('n_chars')} FROM documents GROUP BY lang")
 def length_by_lang(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(*describe("n_chars"))
+    return described(table(spark, sf_dir, "documents"), "n_chars", "lang")
 
 
 @query("text_measures", r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[^\x09-\x0D\x20]+')) AS BIGINT) AS n_words, CAST(length(text) AS BIGINT) AS n_chars, CAST(strlen(text) AS BIGINT) AS n_bytes, round(len(regexp_extract_all(text, '[^\x09-\x0D\x20]+')) / 500, 2) AS pages, sha1(text) AS sha1 FROM documents")

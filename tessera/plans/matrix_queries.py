@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from ..catalog import EVENT_TYPES
 from ..catalog_fields import FIELDS, INTERNAL, relevance
 from ..operators import field_matrix as fm
+from ..operators.report_run import REPORTS, run_reports
 from ..registry import query
-from .surrogate import BASES, EVENTS, events, table
+from ..sources import readers, sinks
+from .surrogate import BASES, EVENTS, TAGGED, documents, events, table
 
 PHRASES = (
     " The tender offer and the exchange offer expire; see CUSIP 123456789.", " Each voluntary tender of common stock; NYSE.", " The record date and the payment date follow.", " A conversion ratio per share of each share.", " The election deadline, if no election is made.",
@@ -35,6 +37,7 @@ def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.lpad((F.col("doc_id") % 1000 + 1).cast("string"), 5, "0")
     return d.select(
         F.concat(F.lit("005-"), number).alias("event_id"), at(_FORMS, (F.col("doc_id") % 7).cast("int")).alias("form"), F.when(F.col("doc_id") % 10 == 9, "failed").otherwise("ok").alias("status"),
+        F.col("doc_id").cast("string").alias("accession"), (F.col("doc_id") % 3 == 1).alias("is_amendment"),
         F.concat(F.coalesce("text", F.lit("")), at(PHRASES, (F.coalesce("n_chars", F.lit(0)) % len(PHRASES)).cast("int"))).alias("text"),
     )
 
@@ -77,3 +80,30 @@ def event_type_matrix(spark, sf_dir):
 @query("source_preference", f"WITH {_PARTS} SELECT field, form, CAST(round(100 * rate, 2) AS DOUBLE) AS doc_detection_rate_pct, n_docs FROM rates")
 def source_preference(spark, sf_dir):
     return fm.source_preference(fm.scans(_sample(spark, sf_dir)))
+
+
+_COUNTS = {
+    "n_documents": "(SELECT count(*) FROM docs)", "first_file_date": "(SELECT CAST(min(file_date) AS VARCHAR) FROM docs)", "last_file_date": "(SELECT CAST(max(file_date) AS VARCHAR) FROM docs)",
+    "n_events": "(SELECT count(*) FROM tagged)", "mvp_event_count": "(SELECT count(*) FROM tagged WHERE in_core)", "mvp_preferred_count": "(SELECT count(*) FROM tagged WHERE in_preferred)",
+    "mvp_with_14d9_count": "(SELECT count(*) FROM tagged WHERE in_core AND has_14d9)", "issuer_stretch_event_count": "(SELECT count(*) FROM tagged WHERE in_stretch)", "amendment_eval_simple_count": "(SELECT count(*) FROM tagged WHERE amendment_band = 'simple')",
+    "amendment_eval_complex_count": "(SELECT count(*) FROM tagged WHERE amendment_band = 'complex')", "notification_eval_count": "(SELECT count(*) FROM tagged WHERE in_core AND n_primary_docs >= 1)",
+    **{f"approx_{k}_events": f"(SELECT CAST(round_even({v} * count(*), 0) AS BIGINT) FROM tagged WHERE in_core)" for k, v in (("train", 0.70), ("validation", 0.15), ("test", 0.15))},
+    "n_text_events": "(SELECT count(DISTINCT event_id) FROM sample WHERE fetched)", "n_reports": "18",
+}
+_ROWS = {
+    "schema_coverage": len(FIELDS), "event_type_coverage": f"(SELECT {len(FIELDS)} * count(DISTINCT coalesce(primary_form_family, 'unknown')) FROM sample LEFT JOIN tagged USING (event_id) WHERE fetched)", "mvp_event_taxonomy": 5, "mvp_corpus_gaps": 5, "mvp_build_order": 5,
+    "datastore_field_catalog": len(FIELDS), "mvp_events": _COUNTS["mvp_event_count"], "mvp_selection_funnel": 6, "dataset_overview": 8, "form_counts": "(SELECT count(DISTINCT coalesce(form, '')) FROM docs)", "events": _COUNTS["n_events"], "ground_truth_feasibility": len(FIELDS),
+    "unusual_document_volume": f"least(15, {_COUNTS['n_events']})", "unusual_amendment_volume": f"least(15, {_COUNTS['n_events']})", "simple_amendment_examples": f"least(10, {_COUNTS['amendment_eval_simple_count']})", "complex_amendment_examples": f"least(10, {_COUNTS['amendment_eval_complex_count']})",
+}
+
+
+@query("report_run", f"WITH {TAGGED}, {_SAMPLE} " + " UNION ALL ".join([*[f"SELECT '{k}' AS metric, CAST({v} AS VARCHAR) AS value" for k, v in _COUNTS.items()], *[f"SELECT 'rows of {k}', CAST({v} AS VARCHAR)" for k, v in _ROWS.items()]]))
+def report_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All reports of the filing corpus, written and read back: the run's summary and the reports' rows."""
+    root = sinks.work_folder(spark, "reports")
+    out = run_reports(spark, documents(spark, sf_dir), _sample(spark, sf_dir), root)
+    for name in REPORTS:
+        if name in _ROWS:
+            rows = readers.read_csv(spark, f"{root}/{name}").agg(F.count(F.lit(1)).cast("string").alias("value"))
+            out = out.unionByName(rows.select(F.lit(f"rows of {name}").alias("metric"), "value"))
+    return out

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..catalog import FORM_FAMILIES, TRACKS
 from ..functions import text as tx
-from ..functions.frames import describe
+from ..functions.quantiles import described
 from ..operators import corpus as co
 from ..operators import datastore as ds
 from ..operators import evaluation as ev
@@ -244,7 +244,7 @@ def event_snapshot(spark, sf_dir):
 
 @query("length_by_form_status", f"WITH {RECORDS} SELECT form, is_amendment, count(sequence) AS count, round(avg(sequence), 6) AS mean, CAST(min(sequence) AS DOUBLE) AS min, CAST(max(sequence) AS DOUBLE) AS max FROM docs GROUP BY ALL")
 def length_by_form_status(spark, sf_dir):
-    d = documents(spark, sf_dir).groupBy("form", "is_amendment").agg(*describe("sequence"))
+    d = described(documents(spark, sf_dir), "sequence", "form", "is_amendment")
     return d.select("form", "is_amendment", F.col("n").cast("long").alias("count"), F.round("mean", 6).alias("mean"), F.col("min").cast("double").alias("min"), F.col("max").cast("double").alias("max"))
 
 

@@ -30,6 +30,11 @@ def write_report(df: DataFrame, path: str) -> None:
     flat(df).coalesce(1).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
+def write_rows(df: DataFrame, path: str) -> None:
+    """A large table as CSV, in as many files as it has partitions."""
+    flat(df).write.mode("overwrite").options(header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+
+
 def sections(reports: dict[str, DataFrame]) -> DataFrame:
     """Reports of different columns below each other, tagged by name."""
     out = None
