@@ -140,6 +140,12 @@ def expand_passage(text: Column, start: Column, end: Column, radius: int = 400)
     return F.when(F.coalesce(text, F.lit("")) == "", "").otherwise(F.regexp_replace(whole, r"^\s+|\s+$", ""))
 
 
+def safe_name(accession: Column, filename: Column, suffix: str = "") -> Column:
+    """A file name without folders that is unique within an event."""
+    bare = F.element_at(F.split(F.regexp_replace(filename, "/+$", ""), "/"), -1)
+    return F.concat(accession, F.lit("__"), bare, F.lit(suffix))
+
+
 def strip_wrapper(raw: Column) -> Column:
     """What stands in the first <DOCUMENT>'s <TEXT>, or the whole without one."""
     return F.coalesce(F.nullif(F.regexp_extract(raw, r"(?is)<DOCUMENT>.*?<TEXT>(.*?)</TEXT>", 1), F.lit("")), raw)

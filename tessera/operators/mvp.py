@@ -29,6 +29,12 @@ def tag_events(events: DataFrame) -> DataFrame:
     return out.withColumn("amendment_band", band)
 
 
+def load_tagged(spark: SparkSession, path: str) -> DataFrame:
+    """The events of a catalog, tagged now if they were written without tags."""
+    events = spark.read.parquet(path)
+    return events if "in_preferred" in events.columns else tag_events(events)
+
+
 def selection_funnel(tagged: DataFrame) -> DataFrame:
     stages = {
         "all_events": F.count(F.lit(1)),

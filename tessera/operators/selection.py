@@ -121,6 +121,21 @@ def download_manifest(inventory: DataFrame, cached: DataFrame, results: DataFram
     return out.withColumn("status", F.when(held, "skipped").otherwise(F.coalesce("__status", F.lit("pending")))).withColumn("error", F.when(~held, F.col("error"))).drop("__cached", "__status")
 
 
+#: Form prefixes of the tender subset that older loaders read.
+TENDER_FORMS = ("SC TO-", "SC 14D9")
+
+
+def tender_subset(documents: DataFrame) -> DataFrame:
+    form = F.coalesce("form", F.lit(""))
+    return documents.where(form.startswith(TENDER_FORMS[0]) | form.startswith(TENDER_FORMS[1]))
+
+
+def write_with_subset(documents: DataFrame, path: str, subset: str) -> None:
+    """The table, and its tender subset in step with it, which is read back from what was written."""
+    documents.write.mode("overwrite").parquet(path)
+    tender_subset(documents.sparkSession.read.parquet(path)).write.mode("overwrite").parquet(subset)
+
+
 def collapsed(text: Column) -> Column:
     """White space as single spaces, none at the ends."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s+", " "))

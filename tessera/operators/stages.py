@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .corpus import lookup
 from .spans import best_spans, demoted, ranked
 
 
@@ -106,8 +107,14 @@ def stage_metrics(manifests: DataFrame) -> DataFrame:
 PATHS = {"tender": True, "exchange": False, "rights": False, "merger": False, "conversion": False}
 
 
-def path_status(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(p, "implemented" if ok else "stub_not_implemented") for p, ok in PATHS.items()], "path string, status string")
+PATH_OF = {"tender_offer": "tender", "exchange_offer": "exchange", "rights_issue": "rights", "merger": "merger", "conversion": "conversion"}
+
+
+def path_status(events: DataFrame, kind: str = "event_type") -> DataFrame:
+    """Each path, whether it has stages, and how many of the events would take it."""
+    paths = events.sparkSession.createDataFrame([(p, "implemented" if ok else "stub_not_implemented") for p, ok in PATHS.items()], "path string, status string")
+    counted = events.groupBy(lookup(PATH_OF, F.col(kind)).alias("path")).agg(F.count(F.lit(1)).alias("n_events"))
+    return paths.join(F.broadcast(counted), "path", "left").withColumn("n_events", F.coalesce("n_events", F.lit(0)).cast("long"))
 
 
 def manifests(texts: DataFrame, text: str = "value") -> DataFrame:

@@ -88,13 +88,14 @@ def partition_overwrite(spark, sf_dir):
     return spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
 
 
-@query("truncated", "SELECT 0 AS n, 'k,v' AS names FROM region LIMIT 1")
+@query("truncated", "SELECT CAST(c_custkey AS BIGINT) AS k, c_name AS v FROM customer WHERE c_acctbal < 0")
 def truncated(spark, sf_dir):
     path = sinks.work_folder(spark, "truncated")
-    table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("k"), F.col("r_name").alias("v")).write.parquet(path)
-    sinks.truncate(spark, path, "k int, v string")
-    left = spark.read.parquet(path)
-    return left.agg(F.count(F.lit(1)).alias("n")).withColumn("names", F.lit(",".join(left.columns)))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("v"), "c_acctbal")
+    c.drop("c_acctbal").write.parquet(path)
+    sinks.truncate(spark, path, "k long, v string")
+    c.where("c_acctbal < 0").drop("c_acctbal").write.mode("append").parquet(path)  # what is loaded next is all there is
+    return spark.read.parquet(path)
 
 
 _FACTS = f"""{_MENTIONS}, r AS (SELECT *, score + CASE WHEN regexp_matches(value, '(?i)\\$\\s*[\\d,]+(?:\\.\\d+)?') THEN 0.45 ELSE 0 END AS rank_score FROM mentions),

@@ -17,7 +17,7 @@ from ..operators import spans as sp
 from ..operators import stages as st
 from ..registry import query
 from ..sources.readers import month_windows
-from .surrogate import RECORDS, documents, table
+from .surrogate import RECORDS, TAGGED, documents, events, table
 
 #: Pattern families that the invented prose can match, in a form that both regex dialects read alike.
 PATTERNS = {"the": ("(?i)\\bthe\\b", "(?i)\\bder\\b"), "license": ("(?i)licen[sc]e",), "digits": ("[0-9]{4}", "[0-9]-[0-9]"), "shout": ("!!",), "bars": ("\\|",)}
@@ -470,6 +470,12 @@ def html_segments(spark, sf_dir):
     return mk.segments(table(spark, sf_dir, "pages"), "page_id", "html")
 
 
-@query("path_status", "VALUES ('tender', 'implemented'), ('exchange', 'stub_not_implemented'), ('rights', 'stub_not_implemented'), ('merger', 'stub_not_implemented'), ('conversion', 'stub_not_implemented')")
+@query(
+    "path_status",
+    f"WITH {TAGGED}, p(path, status, kind) AS (VALUES ('tender', 'implemented', 'tender_offer'), ('exchange', 'stub_not_implemented', 'exchange_offer'), ('rights', 'stub_not_implemented', 'rights_issue'), ('merger', 'stub_not_implemented', 'merger'), ('conversion', 'stub_not_implemented', 'conversion')), "
+    "k AS (SELECT CASE WHEN event_type = 'tender_offer' THEN event_type WHEN list_contains(forms, 'S-4') THEN 'merger' ELSE 'conversion' END AS kind, count(*) AS n FROM tagged GROUP BY 1) SELECT path, status, coalesce(n, 0) AS n_events FROM p LEFT JOIN k USING (kind)",
+)
 def path_status(spark, sf_dir):
-    return st.path_status(spark).select(F.col("path").alias("col0"), F.col("status").alias("col1"))
+    """The events of the corpus by the path that their kind would take."""
+    kind = F.when(F.col("event_type") == "tender_offer", F.col("event_type")).when(F.array_contains("forms", "S-4"), "merger").otherwise("conversion")
+    return st.path_status(mvp.tag_events(events(spark, sf_dir)).withColumn("event_type", kind))

@@ -100,7 +100,8 @@ class SearchSource(DataSource):
 
     Options: start, end, forms (separated by commas), page_size, and fetcher, the
     ``module:function`` that returns one page: fetcher(form, start, end, offset,
-    size) -> (total, list of JSON hits). Each (form, month) is a partition.
+    size) -> (total, list of JSON hits), with fetcher_args (JSON) as further arguments. The
+    windows (form, month) are dealt to at most ``tasks`` (16) tasks.
     """
 
     @classmethod
@@ -115,8 +116,10 @@ class SearchSource(DataSource):
 
 
 class SearchPart(InputPartition):
-    def __init__(self, form: str, start: str, end: str):
-        self.form, self.start, self.end = form, start, end
+    """The windows (form, start, end) of one task."""
+
+    def __init__(self, windows: list[tuple[str, str, str]]):
+        self.windows = windows
 
 
 class SearchReader(DataSourceReader):
@@ -130,21 +133,27 @@ class SearchReader(DataSourceReader):
         for form in self.options["forms"].split(","):
             for month in pd.period_range(self.options["start"], self.options["end"], freq="M"):
                 first, last = max(str(month.start_time.date()), self.options["start"]), min(str(month.end_time.date()), self.options["end"])
-                out.append(SearchPart(form, first, last))
-        return out
+                out.append((form, first, last))
+        tasks = max(1, min(int(self.options.get("tasks", "16")), len(out)))
+        return [SearchPart(out[k::tasks]) for k in range(tasks)]
 
     def read(self, partition: SearchPart) -> Iterator[tuple]:
+        for form, start, end in partition.windows:
+            yield from self._pages(form, start, end)
+
+    def _pages(self, form: str, start: str, end: str) -> Iterator[tuple]:
         import importlib
         import json
 
         module, _, name = self.options["fetcher"].partition(":")
         fetch, size, offset = getattr(importlib.import_module(module), name), int(self.options.get("page_size", "100")), 0
+        more = json.loads(self.options.get("fetcher_args", "{}"))
         while True:
-            total, hits = fetch(partition.form, partition.start, partition.end, offset, size)
+            total, hits = fetch(form, start, end, offset, size, **more)
             if total >= self.LIMIT:
-                raise ValueError(f"{partition.form} {partition.start} to {partition.end} has {total} hits; use a narrower window")
+                raise ValueError(f"{form} {start} to {end} has {total} hits; use a narrower window")
             for hit in hits:
-                yield partition.form, partition.start, partition.end, hit.get("_id"), json.dumps(hit)
+                yield form, start, end, hit.get("_id"), json.dumps(hit)
             offset += len(hits)
             if not hits or offset >= total:
                 if offset < total:

@@ -458,3 +458,34 @@ def test_first_of_equals(spark):
     df = spark.createDataFrame([([(1, "a"), (2, "b"), (1, "c"), (1, "d"), (2, "e")],), ([],)], "v array<struct<k:int,x:string>>")
     kept = lambda last: [[x["x"] for x in r[0]] for r in df.select(first_of_equals(F.col("v"), lambda s: [s["k"]], last)).collect()]
     assert kept(False) == [["a", "b"], []] and kept(True) == [["d", "e"], []]
+
+
+def test_runs_that_are_taken_up(spark):
+    from tessera.operators import evaluation as ev
+    from tessera.operators import selection as se
+
+    selected = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "accession string, pos int")
+    done = spark.createDataFrame([("a", 1, "m"), ("b", 2, "m")], "accession string, pos int, model string")
+    assert sorted(r["accession"] for r in se.refuse_other_run(done, selected, "m").collect()) == ["a", "b"]
+    for bad in ([("b", 1, "m")], [("a", 1, "other")], [("a", 9, "m")], [("a", 1, None)]):
+        with pytest.raises(Exception, match="another input or model"):
+            se.refuse_other_run(spark.createDataFrame(bad, done.schema), selected, "m").collect()
+    assert ev.require_columns(done, ["pos"]) is done
+    with pytest.raises(ValueError, match="missing columns: x, y"):
+        ev.require_columns(done, ["x", "pos", "y"])
+
+
+def test_names_and_subsets(spark, tmp_path):
+    from tessera.functions import text as tx
+    from tessera.operators import mvp
+    from tessera.operators import selection as se
+    from pyspark.sql import functions as F
+
+    names = spark.createDataFrame([("1", "a/b/c.htm"), ("2", "c.htm"), ("3", None), ("4", "d/")], "a string, f string").select(tx.safe_name(F.col("a"), F.col("f"))).collect()
+    assert [r[0] for r in names] == ["1__c.htm", "2__c.htm", None, "4__d"]
+    docs = spark.createDataFrame([("SC TO-T",), ("SC 14D9/A",), ("S-4",), (None,)], "form string")
+    se.write_with_subset(docs, str(tmp_path / "all"), str(tmp_path / "some"))
+    assert sorted(r[0] for r in spark.read.parquet(str(tmp_path / "some")).collect()) == ["SC 14D9/A", "SC TO-T"]
+    tagged = spark.createDataFrame([("e", True)], "event_id string, in_preferred boolean")
+    tagged.write.parquet(str(tmp_path / "tagged"))
+    assert mvp.load_tagged(spark, str(tmp_path / "tagged")).columns == ["event_id", "in_preferred"]
