@@ -489,3 +489,22 @@ def test_names_and_subsets(spark, tmp_path):
     tagged = spark.createDataFrame([("e", True)], "event_id string, in_preferred boolean")
     tagged.write.parquet(str(tmp_path / "tagged"))
     assert mvp.load_tagged(spark, str(tmp_path / "tagged")).columns == ["event_id", "in_preferred"]
+
+
+@pytest.mark.parametrize("unit", ["<p>plain", "<table><tr><td>x", "<dt>t", "<b>", "<b>Why?</b>", "<script>", "<p>q: x", "<DOCUMENT>", "<div>", "<a name='x'>y", "<li><b>z?</b>"])
+def test_markup_takes_time_in_proportion(unit):
+    import time
+
+    from tessera.operators import markup as mk
+
+    def seconds(n: int) -> float:
+        page = "<html><body>" + unit * n + "<p>the end of it all"
+        began = time.perf_counter()
+        list(mk.segments_of("otp")(page))
+        root = mk.Tree(page).root
+        mk.block_text(root), mk.page_text(root), mk.table_shape(root)
+        return time.perf_counter() - began
+
+    seconds(100)
+    few = seconds(8000)
+    assert seconds(16_000) < 3 * few + 1
