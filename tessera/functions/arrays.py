@@ -57,23 +57,28 @@ def part(pieces: Column, start: Column, length: Column) -> Column:
 _NONE = "cast(array() as array<struct<start:int,end:int,lead:int,value:string>>)"
 
 
-def matches(text: Column, pattern: str, lead: int | None = None, value: int = 0) -> Column:
+def matches(text: Column, pattern: str, lead: int | None = None, value: int = 0, alone: bool = False, first: Column | None = None) -> Column:
     """array<struct<start, end, lead, value>> of all matches of a pattern, with offsets in code points.
 
     The text between matches (a split) and the matches themselves give the offsets:
     each ends where the pieces up to it end, which prefix sums tell. ``lead`` names a
     group whose length is reported, that is how far into the match its value begins;
-    ``value`` the group that is the value.
+    ``value`` the group that is the value. alone: groups are taken from the matches, for
+    patterns that match their matches by themselves in the same way (no looking around);
+    this saves a scan of the text for each group. first: asked before the pattern runs.
     """
-    group = lambda k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
+
+    def group(whole: Column, k: int) -> Column:
+        return F.transform(whole, lambda m: F.regexp_extract(m, pattern, k)) if alone and k else F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
 
     def of(whole: Column) -> Column:
         sizes = F.transform(whole, F.length)
         before = F.slice(F.transform(F.split(text, pattern, -1), F.length), 1, F.size(whole))
         ends = prefix_sums(F.zip_with(before, sizes, lambda gap, size: gap + size))
-        values = whole if value == 0 else group(value)
-        leads = F.transform(whole, lambda x: F.lit(0)) if lead is None else F.transform(group(lead), F.length)
+        values = whole if value == 0 else group(whole, value)
+        leads = F.transform(whole, lambda x: F.lit(0)) if lead is None else F.transform(group(whole, lead), F.length)
         parts = F.arrays_zip(sizes.alias("size"), leads.alias("lead"), values.alias("value"))
         return F.zip_with(parts, ends, lambda p, end: F.struct((end - p["size"]).alias("start"), end.alias("end"), p["lead"].alias("lead"), p["value"].alias("value")))
 
-    return F.when(text.rlike(pattern), let(group(0), of)).otherwise(F.expr(_NONE))
+    there = text.rlike(pattern) if first is None else first & text.rlike(pattern)
+    return F.when(there, let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), of)).otherwise(F.expr(_NONE))

@@ -43,12 +43,17 @@ def required(pattern: str) -> tuple[str, ...]:
     return tuple(sorted(_best(_required(parser.parse(pattern))) or ()))
 
 
-def matches_any_case(text: Column, low: Column, pattern: str) -> Column:
-    """``text.rlike(pattern)``, asked only where ``low``, the text in lower case, holds a literal that the pattern needs."""
+def may_match(low: Column, pattern: str) -> Column:
+    """Whether ``low``, a text in lower case, holds a literal that the pattern needs; true if it needs none."""
     literals = required(pattern)
     if not literals:
-        return text.rlike(pattern)
+        return F.lit(True)
     there = F.contains(low, F.lit(literals[0]))
     for one in literals[1:]:
         there = there | F.contains(low, F.lit(one))
-    return there & text.rlike(pattern)
+    return there
+
+
+def matches_any_case(text: Column, low: Column, pattern: str) -> Column:
+    """``text.rlike(pattern)``, asked only where ``low``, the text in lower case, holds a literal that the pattern needs."""
+    return may_match(low, pattern) & text.rlike(pattern) if required(pattern) else text.rlike(pattern)

@@ -93,7 +93,7 @@ _COUNTS = {
 _ROWS = {
     "schema_coverage": len(FIELDS), "event_type_coverage": f"(SELECT {len(FIELDS)} * count(DISTINCT coalesce(primary_form_family, 'unknown')) FROM sample LEFT JOIN tagged USING (event_id) WHERE fetched)", "mvp_event_taxonomy": 5, "mvp_corpus_gaps": 5, "mvp_build_order": 5,
     "datastore_field_catalog": len(FIELDS), "mvp_events": _COUNTS["mvp_event_count"], "mvp_selection_funnel": 6, "dataset_overview": 8, "form_counts": "(SELECT count(DISTINCT coalesce(form, '')) FROM docs)", "events": _COUNTS["n_events"], "ground_truth_feasibility": len(FIELDS),
-    "unusual_document_volume": f"least(15, {_COUNTS['n_events']})", "unusual_amendment_volume": f"least(15, {_COUNTS['n_events']})", "simple_amendment_examples": f"least(10, {_COUNTS['amendment_eval_simple_count']})", "complex_amendment_examples": f"least(10, {_COUNTS['amendment_eval_complex_count']})",
+    "unusual_document_volume": f"least(15, {_COUNTS['n_events']})", "unusual_amendment_volume": f"least(15, {_COUNTS['n_events']})", "simple_amendment_examples": "(SELECT least(10, count(*)) FROM tagged WHERE n_amendment_filings = 1)", "complex_amendment_examples": "(SELECT least(10, count(*)) FROM tagged WHERE has_amendment)",
 }
 
 
