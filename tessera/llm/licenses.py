@@ -14,6 +14,9 @@ versions. An alignment counts only if each of these stretches is matched word fo
 word, in one piece, with nothing put in; where one ends in a number, the text's
 number must end there too ("2" isn't "2.1", "2.0" is), and where it begins with
 a word that a hyphen ties to the one before it in the text, it isn't that name.
+A word of NEGATIONS that the text puts into a notice, or that stands within two words
+before it in the same sentence, takes the report back ("is not licensed under the MIT
+License").
 Coverage is the matched tokens as a share of the template's tokens and of the
 text's tokens in the span that match nothing; it must reach MIN_COVERAGE. Of
 overlapping reports the one with more matches stays, of equals the first
@@ -26,6 +29,7 @@ one by one. Columns besides the id and the text are not read.
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -42,7 +46,10 @@ from .words import grams
 GRAM, GUARANTEE = 3, 5
 BAND = 8
 MIN_COVERAGE = 0.8
+# Words that deny what follows.
+NEGATIONS = ("not", "never", "isn", "aren", "wasn", "longer")
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
+_SENTENCE = re.compile(rb"[.;:!?\n]")
 _MARK = re.compile(r"[{}]")
 
 
@@ -151,6 +158,24 @@ def holds_marks(tokens: AlnumTokens, doc: int, stretches: list[tuple[int, int]],
     return True
 
 
+def denied(tokens: AlnumTokens, h: np.ndarray, doc: int, matched: np.ndarray) -> bool:
+    """Whether a denying word lies between the matched tokens (their numbers) or shortly before them in their sentence."""
+    first, stop = int(matched[0]), int(matched[-1]) + 1
+    inside = np.setdiff1d(np.arange(first, stop), matched)
+    if np.isin(h[inside], _denials()).any():
+        return True
+    low = max(first - 2, int(tokens.first[doc]))
+    for k in np.flatnonzero(np.isin(h[low:first], _denials())) + low:
+        if not _SENTENCE.search(tokens.source[int(tokens.ends[k]) : int(tokens.starts[first])].tobytes()):
+            return True
+    return False
+
+
+@functools.cache
+def _denials() -> np.ndarray:
+    return np.concatenate([alnum_hashes(w) for w in NEGATIONS])
+
+
 FOUND = "doc_id long, license string, template long, matched long, template_tokens long, coverage double, start long, end long, passage string"
 
 
@@ -162,7 +187,7 @@ def report(index: TemplateIndex, tokens: AlnumTokens, h: np.ndarray, doc: int, t
         return None
     first, stop = int(theirs[0]) + low, int(theirs[-1]) + low + 1
     coverage = matched / (len(index.tokens[t]) + stop - first - matched)
-    if coverage < MIN_COVERAGE or not holds_marks(tokens, doc, index.stretches[t], mine, theirs + low):
+    if coverage < MIN_COVERAGE or not holds_marks(tokens, doc, index.stretches[t], mine, theirs + low) or denied(tokens, h, doc, theirs + low):
         return None
     return matched, coverage, first, stop
 
