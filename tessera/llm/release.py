@@ -18,8 +18,9 @@ or blocked item is blocked.
 4. An item's attempts follow from its parent's delivery, and releases are numbered in
    order of delivery by the same distributed window as in 1, with running sums.
 
-Every step is an equi-join on a unique number, a partial aggregation, or a sort by
-range with unique keys; each round's tables are written to the shared folder. The
+Every step is an equi-join on a unique number (by sorting, never by broadcast, since
+all tables grow with the items), a partial aggregation, or a sort by range with unique
+keys; each round's tables are written to the shared folder. The
 functions of pieces are computed in Arrow batches, row by row.
 
 Rows with a null group or place are no items: all their results are null. Rows that
@@ -160,9 +161,9 @@ def contract(nodes: DataFrame, scratch: Scratch) -> list[DataFrame]:
         draw = lambda c: F.xxhash64(F.col(c), turn)
         # Of neighbours in a chain only the one with the least draw goes, so that no two removed nodes are parent and child.
         cut = F.coalesce(F.col("parent").isNotNull() & (F.col("kids") == 1) & (draw("id") < draw("parent")) & (draw("id") < draw("kid")), F.lit(False))
-        state = scratch.cut(alive.join(kids, F.col("id") == F.col("at"), "left").select("id", "parent", "f", F.col("kids").isNull().alias("leaf"), cut.alias("cut")), "round")
+        state = scratch.cut(alive.join(kids.hint("merge"), F.col("id") == F.col("at"), "left").select("id", "parent", "f", F.col("kids").isNull().alias("leaf"), cut.alias("cut")), "round")
         gone = state.where("cut").select(F.col("id").alias("via"), F.col("parent").alias("up"), F.col("f").alias("before"))
-        rest = state.where("not leaf and not cut").join(gone, F.col("parent") == F.col("via"), "left").select("id", F.coalesce("up", "parent").alias("parent"), "f", "before")
+        rest = state.where("not leaf and not cut").join(gone.hint("merge"), F.col("parent") == F.col("via"), "left").select("id", F.coalesce("up", "parent").alias("parent"), "f", "before")
 
         def through(c: dict) -> list:
             return [c["id"], c["parent"], [f if b is None else composed(b, f) for f, b in zip(c["f"], c["before"], strict=True)]]
@@ -182,7 +183,7 @@ def expand(rounds: list[DataFrame], scratch: Scratch) -> DataFrame | None:
             if known is None:
                 joined = rows.withColumn("from", F.lit(None).cast("long"))
             else:
-                joined = rows.join(known.select(F.col("id").alias("up"), F.col("at").alias("from")), F.col("parent") == F.col("up"), "left").select("id", "parent", "f", "from")
+                joined = rows.join(known.select(F.col("id").alias("up"), F.col("at").alias("from")).hint("merge"), F.col("parent") == F.col("up"), "left").select("id", "parent", "f", "from")
 
             def evaluate(c: dict) -> list:
                 out = []
@@ -231,7 +232,7 @@ def replay(items: DataFrame, schedule: Schedule | None = None) -> DataFrame:
         later = (F.col("start") + offset >= F.col("repaired")) & (F.col("passes").bitwiseAND(F.lit(1 << a).cast("long")) > 0)
         return F.when((F.col("repaired").isNull() & F.lit(a == 0)) | F.coalesce(later, F.lit(False)), F.lit(a + 1))
 
-    judged = placed.join(above, F.col("parent") == F.col("up"), "left").select("*", (F.col("parent").isNotNull() & F.col("from").isNull()).alias("blocked"), start.alias("start"))
+    judged = placed.join(above.hint("merge"), F.col("parent") == F.col("up"), "left").select("*", (F.col("parent").isNotNull() & F.col("from").isNull()).alias("blocked"), start.alias("start"))
     judged = judged.withColumn("delivered", F.coalesce(*[delivers(a, o) for a, o in enumerate(offsets)]))
     attempts = F.when(F.col("blocked"), 0).otherwise(F.coalesce("delivered", F.lit(len(offsets))))
     status = F.when(F.col("blocked"), BLOCKED).when(F.col("delivered").isNotNull(), DELIVERED).otherwise(DEAD)
