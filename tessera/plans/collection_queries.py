@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import functools
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,19 +20,36 @@ from .surrogate import BASES, _case, lookup, table
 TRACKS = {"tender": (("tender_offer",), ("SC TO-T", "SC TO-I", "SC 14D9")), "merger_exchange": (("merger", "exchange_offer"), ("S-4", "SC TO-I")), "conversion": (("conversion",), ("8-K",))}
 
 
-def page(form: str, start: str, end: str, offset: int, size: int, root: str) -> tuple[int, list[dict]]:
-    """A page of the hits that ``_serve`` wrote: (total, hits of the form within the days)."""
+@functools.lru_cache(maxsize=1)
+def _served(root: str, form: str, month: str) -> list[tuple[str, str, str]]:
+    """(day, id, hit as JSON) of a form's month in order of days, held while a task pages through it."""
     from pyarrow import fs
 
     files, base = fs.FileSystem.from_uri(root)
-    folder = fs.FileSelector(f"{base}/form_key={form.replace(' ', '_')}/month={start[:7]}", allow_not_found=True)
+    folder = fs.FileSelector(f"{base}/form_key={form.replace(' ', '_')}/month={month}", allow_not_found=True)
     hits = []
-    for info in sorted(files.get_file_info(folder), key=lambda i: i.path):
+    for info in files.get_file_info(folder):
         if info.path.endswith(".json"):
             with files.open_input_stream(info.path) as stream:
-                hits += [json.loads(line) for line in stream.read().decode().splitlines()]
-    hits = sorted((h for h in hits if start <= h["_source"]["file_date"] <= end), key=lambda h: h["_id"])
-    return len(hits), hits[offset : offset + size]
+                for line in stream.read().decode().splitlines():
+                    hit = json.loads(line)
+                    hits.append((hit["_source"]["file_date"], hit["_id"], line))
+    return sorted(hits)
+
+
+@functools.lru_cache(maxsize=1)
+def _within(root: str, form: str, start: str, end: str) -> list[str]:
+    """The hits of days of one month in order of ids."""
+    hits = _served(root, form, start[:7])
+    days = lambda hit: hit[0]
+    found = hits[bisect.bisect_left(hits, start, key=days) : bisect.bisect_right(hits, end, key=days)]
+    return [line for _, _, line in sorted(found, key=lambda hit: hit[1])]
+
+
+def page(form: str, start: str, end: str, offset: int, size: int, root: str) -> tuple[int, list[dict]]:
+    """A page of the hits that ``_serve`` wrote: (total, hits of the form within the days)."""
+    hits = _within(root, form, start, end)
+    return len(hits), [json.loads(line) for line in hits[offset : offset + size]]
 
 
 def _serve(spark: SparkSession, sf_dir: str, root: str) -> None:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
 import io
+import json
 import zipfile
 from collections.abc import Callable, Iterator, Sequence
+from datetime import date, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -101,7 +104,8 @@ class SearchSource(DataSource):
     Options: start, end, forms (separated by commas), page_size, and fetcher, the
     ``module:function`` that returns one page: fetcher(form, start, end, offset,
     size) -> (total, list of JSON hits), with fetcher_args (JSON) as further arguments. The
-    windows (form, month) are dealt to at most ``tasks`` (16) tasks.
+    windows (form, month) are dealt to at most ``tasks`` (16) tasks; one of LIMIT hits or more,
+    which a search does not list, is read in halves, down to a day.
     """
 
     @classmethod
@@ -138,24 +142,40 @@ class SearchReader(DataSourceReader):
         return [SearchPart(out[k::tasks]) for k in range(tasks)]
 
     def read(self, partition: SearchPart) -> Iterator[tuple]:
-        for form, start, end in partition.windows:
-            yield from self._pages(form, start, end)
-
-    def _pages(self, form: str, start: str, end: str) -> Iterator[tuple]:
-        import importlib
-        import json
-
-        module, _, name = self.options["fetcher"].partition(":")
-        fetch, size, offset = getattr(importlib.import_module(module), name), int(self.options.get("page_size", "100")), 0
-        more = json.loads(self.options.get("fetcher_args", "{}"))
-        while True:
-            total, hits = fetch(form, start, end, offset, size, **more)
-            if total >= self.LIMIT:
-                raise ValueError(f"{form} {start} to {end} has {total} hits; use a narrower window")
-            for hit in hits:
-                yield form, start, end, hit.get("_id"), json.dumps(hit)
-            offset += len(hits)
-            if not hits or offset >= total:
-                if offset < total:
-                    raise ValueError(f"incomplete: {offset} of {total}")
-                return
+        for window in partition.windows:
+            for hit in self._hits(window, *window[1:]):
+                yield *window, hit.get("_id"), json.dumps(hit)
+
+    def _hits(self, window: tuple[str, str, str], start: str, end: str) -> Iterator[dict]:
+        """The hits of a range of a window's days; where a search has too many, those of the halves."""
+        hits = whole_range(self.options, window[0], start, end)
+        if hits is None:
+            for a, b in halves(window[0], start, end):
+                yield from self._hits(window, a, b)
+        else:
+            yield from hits
+
+
+def halves(form: str, start: str, end: str) -> list[tuple[str, str]]:
+    """A range of days as two."""
+    first, last = date.fromisoformat(start), date.fromisoformat(end)
+    if first >= last:
+        raise ValueError(f"{form} on {start} has {SearchReader.LIMIT} hits or more; a search by day cannot list them")
+    middle = first + (last - first) // 2
+    return [(start, str(middle)), (str(middle + timedelta(days=1)), end)]
+
+
+def whole_range(options: dict[str, str], form: str, start: str, end: str) -> list[dict] | None:
+    """Every page of a search, complete or not at all; None if it has more hits than a search lists."""
+    module, _, name = options["fetcher"].partition(":")
+    fetch, size = getattr(importlib.import_module(module), name), int(options.get("page_size", "100"))
+    more, hits = json.loads(options.get("fetcher_args", "{}")), []
+    while True:
+        total, page = fetch(form, start, end, len(hits), size, **more)
+        if total >= SearchReader.LIMIT:
+            return None
+        hits += page
+        if len(hits) >= total:
+            return hits
+        if not page:
+            raise ValueError(f"{form} {start} to {end} is incomplete: {len(hits)} of {total}")
