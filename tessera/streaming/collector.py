@@ -9,7 +9,6 @@ records, and appends those whose hit is new to a table by month.
 
 from __future__ import annotations
 
-import importlib
 import json
 from collections.abc import Iterator, Sequence
 from datetime import date
@@ -21,7 +20,7 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 
 from ..catalog import TRACKS
 from ..operators.corpus import records_from_hits
-from ..sources.readers import HITS, SearchReader
+from ..sources.readers import HITS, halves, whole_range
 from ..sources.tables import KeyedTable
 
 OLD_TRACK = "tender"
@@ -55,28 +54,29 @@ class Share(InputPartition):
 
 
 class WindowCache:
-    """A file for each window's hits, in any file system that Arrow reaches; a file is there whole or not at all."""
+    """A file for each window's hits (for each range's, if it is read in halves), in any file system that Arrow reaches; a file is there whole or not at all."""
 
     def __init__(self, root: str):
         from pyarrow import fs
 
         self.fs, self.root = fs.FileSystem.from_uri(root)
 
-    def _at(self, window: Window) -> str:
-        name = "".join(c if c.isalnum() or c in "-." else "_" for c in window.key)
+    def _at(self, window: Window, start: str | None, end: str | None) -> str:
+        part = "" if (start or window.start, end or window.end) == (window.start, window.end) else f"|{start}|{end}"
+        name = "".join(c if c.isalnum() or c in "-." else "_" for c in window.key + part)
         return f"{self.root}/{window.start[:7]}/{name}.json"
 
-    def get(self, window: Window) -> list[dict] | None:
+    def get(self, window: Window, start: str | None = None, end: str | None = None) -> list[dict] | None:
         from pyarrow import fs
 
-        path = self._at(window)
+        path = self._at(window, start, end)
         if self.fs.get_file_info(path).type != fs.FileType.File:
             return None
         with self.fs.open_input_stream(path) as stream:
             return json.loads(stream.read().decode())
 
-    def put(self, window: Window, hits: list[dict]) -> None:
-        self.write(self._at(window), hits)
+    def put(self, window: Window, hits: list[dict], start: str | None = None, end: str | None = None) -> None:
+        self.write(self._at(window, start, end), hits)
 
     def write(self, path: str, content) -> None:
         import uuid
@@ -126,27 +126,21 @@ class SearchStreamReader(DataSourceStreamReader):
     def read(self, partition: Share) -> Iterator[tuple]:
         cache = WindowCache(self.options["cache"])
         for w in partition.windows:
-            hits = cache.get(w)
-            if hits is None:
-                hits = self._fetch(w)
-                cache.put(w, hits)
-            for hit in hits:
+            for hit in self._hits(cache, w, w.start, w.end):
                 yield w.track, w.form, w.start, w.end, json.dumps(hit)
 
-    def _fetch(self, window: Window) -> list[dict]:
-        """Every page, complete or not at all."""
-        module, _, name = self.options["fetcher"].partition(":")
-        fetch, size = getattr(importlib.import_module(module), name), int(self.options.get("page_size", "100"))
-        more, hits = json.loads(self.options.get("fetcher_args", "{}")), []
-        while True:
-            total, page = fetch(window.form, window.start, window.end, len(hits), size, **more)
-            if total >= SearchReader.LIMIT:
-                raise ValueError(f"{window.key} has {total} hits; use a narrower window")
-            hits += page
-            if len(hits) >= total:
-                return hits
-            if not page:
-                raise ValueError(f"{window.key} is incomplete: {len(hits)} of {total}")
+    def _hits(self, cache: WindowCache, window: Window, start: str, end: str) -> Iterator[dict]:
+        """The hits of a range of a window's days, cached or fetched; where a search has too many, those of the halves."""
+        hits = cache.get(window, start, end)
+        if hits is None:
+            hits = whole_range(self.options, window.form, start, end)
+            if hits is not None:
+                cache.put(window, hits, start, end)
+        if hits is None:
+            for a, b in halves(window.form, start, end):
+                yield from self._hits(cache, window, a, b)
+        else:
+            yield from hits
 
     def commit(self, end: dict) -> None:
         """The windows that a batch has delivered, where other tools see them. (The engine commits a batch when it plans the next one, so ``collect`` does it for the last.)"""

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.sources.database import Database, resolve_dsn
+from tessera.sources.readers import SearchSource
 from tessera.sources.tables import PART, KeyedTable
 from tessera.streaming import collector as co
 
@@ -135,3 +136,26 @@ def test_database(spark, tmp_path):
     db.write(df.limit(0), "empty", "overwrite")
     assert db.read(spark, "empty", "k", parts=4).count() == 0
     assert PART == "part"
+
+
+def test_windows_of_too_many_hits_are_halved(spark, tmp_path):
+    """10,500 hits of a month, more than a search lists, by both readers; a day of as many is refused."""
+    hits = [hit(k, "S-4", f"2020-03-{1 + k % 30:02d}") for k in range(10_500)]
+    (tmp_path / "hits").write_text(json.dumps(hits))
+    args, root, log = {"root": str(tmp_path)}, f"file://{tmp_path}/run", tmp_path / "log"
+    spark.dataSource.register(SearchSource)
+
+    def batch(start: str):
+        options = {"start": start, "end": "2020-03-31", "forms": "S-4", "page_size": "6000", "fetcher": "tests.test_collecting:served", "fetcher_args": json.dumps(args)}
+        return spark.read.format("paged_search").options(**options).load()
+
+    got = batch("2020-03-01").select("window_start", "window_end", "hit_id").collect()
+    assert {tuple(r)[:2] for r in got} == {("2020-03-01", "2020-03-31")} and sorted(r.hit_id for r in got) == sorted(h["_id"] for h in hits)
+    log.write_text("")
+    run = lambda end: co.collect(spark, root, "2020-03-01", end, "tests.test_collecting:served", {"other": (("merger",), ("S-4",))}, page_size=6000, fetcher_args=args)
+    records = run("2020-03-31").cache()
+    assert records.count() == records.select("hit_id").distinct().count() == 10_500 and [r[0] for r in records.select("window_start").distinct().collect()] == ["2020-03-01"]
+    assert len(log.read_text().split("\n")) > 2 and len(co.done_windows(f"{root}/cache")) == 1
+    (tmp_path / "hits").write_text(json.dumps([hit(k, "S-4", "2020-03-07") for k in range(10_000)]))
+    with pytest.raises(Exception, match="2020-03-07 has 10000 hits or more"):
+        batch("2020-03-07").count()
