@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import subprocess
+import sys
 from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.sources.database import Database, resolve_dsn
+from tessera.sources.database import Database, SqliteFile, resolve_dsn
 from tessera.sources.readers import SearchSource
 from tessera.sources.tables import PART, KeyedTable
 from tessera.streaming import collector as co
@@ -159,3 +161,28 @@ def test_windows_of_too_many_hits_are_halved(spark, tmp_path):
     (tmp_path / "hits").write_text(json.dumps([hit(k, "S-4", "2020-03-07") for k in range(10_000)]))
     with pytest.raises(Exception, match="2020-03-07 has 10000 hits or more"):
         batch("2020-03-07").count()
+
+
+def test_database_file_serves_several_processes(spark, tmp_path):
+    """Another process holds the file open, as an executor does: an embedded Java database refuses the next one."""
+    db = SqliteFile(str(tmp_path / "d b.sqlite"))
+    df = spark.range(1000).select(F.when(F.col("id") > 0, F.col("id")).alias("k"), F.concat(F.lit("n"), (F.col("id") % 7).cast("string")).alias('na"me'), F.when(F.col("id") % 3 > 0, F.col("id") * 0.5).alias("v"))
+    db.write(df, "t", "overwrite", parts=3, batch=70)
+    code = f"import sqlite3,sys; c = sqlite3.connect({db.path!r}); print(c.execute('select count(*) from t').fetchone()[0], flush=True); sys.stdin.read()"
+    with subprocess.Popen([sys.executable, "-c", code], stdin=subprocess.PIPE, stdout=subprocess.PIPE, text=True) as other:
+        assert other.stdout.readline() == "1000\n"
+        db.index("t", "k")
+        schema = 'v double, k long, `na"me` string'
+        read = db.read(spark, "t", schema, "k", parts=4, fetch=33)
+        assert read.rdd.getNumPartitions() == 4
+        assert sorted(map(tuple, read.collect()), key=str) == sorted(map(tuple, df.select("v", "k", 'na"me').collect()), key=str)
+        db.write(df.limit(10), "t")
+        other.stdin.close()
+    few = db.read(spark, "t", schema, "k", parts=4, where="\"na\"\"me\" = 'n3' or k < 20").select("k")
+    assert sorted(r[0] for r in few.collect()) == sorted([k for k in range(1, 1000) if k % 7 == 3 or k < 20] + list(range(1, 10)))
+    db.write(df.limit(0), "empty", "overwrite")
+    assert db.read(spark, "empty", schema, "k", parts=4).count() == 0
+    with pytest.raises(Exception, match="NaN"):
+        db.write(df.withColumn("v", F.lit(float("nan"))), "nan", "overwrite")
+    with pytest.raises(ValueError, match="no column type"):
+        db.write(df.withColumn("v", F.current_date()), "day", "overwrite")
