@@ -63,3 +63,17 @@ def test_sliding_windows_count_the_text_once(spark):
     got, rows = rows_of(spark, ps.sliding())
     assert rows == sorted((k, i, a, t[a:e]) for k, t in texts().items() if t.strip() for i, (a, e) in enumerate(plain_sliding(t)))
     assert optimized(got).count("length(") == 1
+
+
+def test_spans_cut_their_text_once(spark):
+    """The value and what stands close come from the quote; each was cut out of the text before."""
+    text = {1: "CUSIP 12345678A. " + "\U0001f600 fill " * 90 + "Works Corp. for $12.50 in cash", 2: "$7 par value, " + "w" * 300 + " and $9"}
+    df = spark.createDataFrame(list(text.items()), "id long, text string")
+    got = ps.spans(df, "id", "text")
+    rows = got.collect()
+    assert {(r["id"], r["value"]) for r in rows if r["field"] in ("cusip", "cash_consideration")} >= {(1, "12345678A"), (2, "$9")} and not any(r["value"] == "$7" and r["field"] == "cash_consideration" for r in rows)
+    for r in rows:
+        t = text[r["id"]]
+        assert r["value"] == t[r["start"] : r["end"]] and r["source_quote"] == t[max(0, r["start"] - 220) : r["end"] + 220]
+    spark.conf.set("spark.sql.maxMetadataStringLength", "1000000")
+    assert optimized(got).count("array_join(") == 1
