@@ -17,7 +17,7 @@ from ..operators import selection as se
 from ..operators import spans as sp
 from ..operators import stages as st
 from ..registry import query
-from ..sources import readers, sinks
+from ..sources import readers, sinks, whole_files
 from ..streaming import ingest
 from .corpus_queries import longs
 from .surrogate import EVENTS, RECORDS, documents, events, table
@@ -56,14 +56,9 @@ def json_lines_round_trip(spark, sf_dir):
 def whole_texts(spark, sf_dir):
     """Every page written as a file of its own and read whole."""
     path = sinks.work_folder(spark, "texts")
-    pages = table(spark, sf_dir, "pages").select(F.concat(F.col("page_id").cast("string"), F.lit("\n"), F.col("html")).alias("value"))
-    pages.write.option("lineSep", "\u0001").option("maxRecordsPerFile", 1).text(path)
-    read = readers.read_texts(spark, path).where("length(text) > 0")
-    body = F.regexp_replace(F.col("text"), "\u0001$", "")
-    at = F.instr(body, "\n")
-    html = F.substring(body, at + 1, F.length(body))
-    head = F.lower(F.substring(html, 1, 1200))
-    return read.select(F.substring(body, F.lit(1), at - 1).cast("long").alias("page_id"), (F.contains(head, F.lit("<html")) | F.ltrim(head).startswith("<!doctype")).alias("is_html"), F.length(html).cast("long").alias("n_chars"))
+    whole_files.write_files(table(spark, sf_dir, "pages"), f"{path}/files", "page_id", "html").write.parquet(f"{path}/list")
+    read = whole_files.read_files(spark.read.parquet(f"{path}/list"), f"{path}/files", "page_id")
+    return read.select("page_id", "is_html", F.length("text").cast("long").alias("n_chars"))
 
 
 @query("stage_metrics", "SELECT event_id, event_type AS stage, '{\"k\":' || CAST(json_extract(props, '$.k') AS BIGINT) || ',\"list\":[' || user_id || ',' || event_id || ']}' AS detail FROM events")

@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator, Sequence
 from datetime import date, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -62,13 +62,22 @@ def read_archive(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return parsed.select("archive", "member", "document", F.coalesce("error", F.when(empty, F.lit("empty text"))).alias("error"))
 
 
+def decoded(content: Column) -> Column:
+    """Bytes as text; undecodable ones are replaced."""
+    text = content.cast("string")
+    return F.coalesce(F.try_validate_utf8(text), F.make_valid_utf8(text))
+
+
+def looks_like_html(text: Column, sniff: int = 1200) -> Column:
+    """By what a text begins with."""
+    head = F.lower(F.substring(text, 1, sniff))
+    return F.contains(head, F.lit("<html")) | F.ltrim(head).startswith("<!doctype")
+
+
 def read_texts(spark: SparkSession, path: str, sniff: int = 1200) -> DataFrame:
     """(path, text, is_html) of whole files; undecodable bytes are replaced."""
     files = spark.read.format("binaryFile").load(path)
-    text = F.expr("try_validate_utf8(cast(content as string))")
-    text = F.coalesce(text, F.expr("make_valid_utf8(cast(content as string))"))
-    head = F.lower(F.substring("text", 1, sniff))
-    return files.select("path", text.alias("text")).withColumn("is_html", F.contains(head, F.lit("<html")) | F.ltrim(head).startswith("<!doctype"))
+    return files.select("path", decoded(F.col("content")).alias("text")).withColumn("is_html", looks_like_html(F.col("text"), sniff))
 
 
 def first_that_exists(spark: SparkSession, *candidates: tuple[str, Callable[[str], DataFrame]]) -> DataFrame:
