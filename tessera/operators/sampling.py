@@ -62,30 +62,37 @@ def diverse_by_year(df: DataFrame, n: int, year: str, entity: str, order: list[s
 
     Every choice depends on those before it, so it is made in one task, on rows that
     are shown to suffice: at most n entities are ever used up, so a year's quota and
-    the fill are met from the first rows of the first 2n entities (and unnamed rows)
-    of a year, of the first 3n of all years, and from the first 2n rows of each. Their
-    number depends on n and the years alone.
+    the fill are met from the first rows of the first 3n entities (and unnamed rows)
+    of a year and from the first 2n rows of each. The first 3n entities of all years
+    are among these, as those before an entity in its first year come before it in all. Their
+    number depends on n and the years alone, so each task looks for them in its own
+    rows, batch by batch, and the rows are read once.
     """
     pool = df.where(F.col(year).isNotNull())
-    by = [F.col(c) for c in order]
     if filing is not None:
-        pool = top_per_key(pool, [filing], 1, *by)
-    pool = pool.withColumn("__who", F.coalesce(F.col(entity).cast("string"), F.lit("")))
-    named, unnamed = pool.where("__who <> ''"), pool.where("__who = ''")  # unnamed rows are entities of their own here
-    first = lambda rows, *keys: rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(year, *order)).alias("__row")).select("__row.*")
-    of_years = first(named, year, "__who")
-    early = [top_per_key(rows, [year], 2 * n, *by) for rows in (of_years.union(unnamed), pool)]
-    early += [rows.orderBy(year, *by).limit(k) for rows, k in ((first(of_years, "__who").union(unnamed), 3 * n), (pool, 2 * n))]
-    short = early[0]
-    for more in early[1:]:
-        short = short.union(more)
+        pool = top_per_key(pool, [filing], 1, *[F.col(c) for c in order])
     names = df.columns
+    pool = pool.select(*names, F.coalesce(F.col(entity).cast("string"), F.lit("")).alias("__who"))
+
+    columns = pool.columns
+
+    def suffice(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([year, *order], kind="stable")
+        fresh = rows[(rows["__who"] == "") | ~rows.duplicated([year, "__who"])]
+        kept = fresh.groupby(year, sort=False).head(3 * n).index.union(rows.groupby(year, sort=False).head(2 * n).index)
+        return rows.loc[rows.index.isin(kept)].reset_index(drop=True)
+
+    def shortened(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            held = suffice(batch.reset_index(drop=True) if held is None else pd.concat([held, batch], ignore_index=True))
+        if held is not None:
+            yield held
 
     def choose(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        whole = pd.concat(list(rows))
+        whole = pd.concat(list(shortened(rows)) or [pd.DataFrame(columns=columns)])
         if whole.empty:
             return
-        whole = whole.drop_duplicates(subset=[*order, year, "__who"]).sort_values([year, *order]).reset_index(drop=True)
         years, quota = sorted(whole[year].unique()), _Quota()
         for k, of_year in enumerate(years):
             mine = whole[whole[year] == of_year]
@@ -95,7 +102,7 @@ def diverse_by_year(df: DataFrame, n: int, year: str, entity: str, order: list[s
         quota.fill(whole, "__who", room, fresh=False)
         yield whole.loc[list(quota.taken), names]
 
-    return short.coalesce(1).mapInPandas(choose, df.schema)
+    return pool.mapInPandas(shortened, pool.schema).repartition(1).mapInPandas(choose, df.schema)
 
 
 def choose_documents(hits: DataFrame, per_month: int | None = None) -> DataFrame:

@@ -330,6 +330,19 @@ def test_year_sample_equals_plain_rounds(spark, seed):
     assert sorted(x.id for x in got) == sorted(x[0] for x in picked)
 
 
+def test_year_sample_reads_its_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    rows = spark.range(600).selectExpr("id", "cast(2019 + id % 3 as int) year", "concat('e', id % 50) who", "lpad(id, 5, '0') day").repartition(5)
+    got = sa.diverse_by_year(rows.mapInArrow(counted, rows.schema), 6, "year", "who", ["day"]).collect()
+    assert sorted(r.id for r in got) == [0, 1, 2, 3, 4, 5] and read.value == 600
+
+
 def test_stages_resume(spark, tmp_path):
     runner = st.Runner(spark, tmp_path.as_uri(), "id")
     source = spark.createDataFrame([(i, f"t{i}") for i in range(6)], "id int, text string")
