@@ -13,10 +13,10 @@ from .surrogate import table
 
 @query("archive_members", "SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN 'empty text' END AS error, length(text) AS n_chars, md5(text) AS digest FROM documents")
 def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as JSON members of four archives, read back in parts of a megabyte."""
+    """All documents as JSON members of archives, as many as their size asks for, read back in parts of a megabyte."""
     path = sinks.work_folder(spark, "archives")
     d = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("member"), F.to_json(F.struct("doc_id", "text")).alias("content"))
-    archives.write_archives(d.repartition(4, "member"), path, "member", "content").count()
+    archives.write_archives(d.hint("rebalance", "member"), path, "member", "content").count()
     read = archives.read_json_members(spark, path, "doc_id long, text string", megabytes=1)
     text = F.col("document.text")
     return read.select(F.col("document.doc_id").alias("doc_id"), "error", F.length(text).cast("long").alias("n_chars"), F.md5(F.encode(text, "UTF-8")).alias("digest"))

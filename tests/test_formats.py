@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zipfile
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -49,3 +50,23 @@ def test_manifests_of_any_shape(spark, tmp_path):
     assert sorted(map(str, ((r["stage"], r["metric"], r["value"]) for r in st.metric_rows(table).collect()))) == sorted(map(str, [("a", "n", "1"), ("a", "n", "2.5"), ("a", "more", '{"x":[1,null]}')]))
     shapes = {r["stage"]: r["shape"] for r in st.metric_shapes(table.where("stage is not null"), "stage").collect()}
     assert shapes["b"] == "OBJECT<stage: STRING, status: STRING>" and "more: OBJECT<x: ARRAY<BIGINT>>" in shapes["a"] and "n: DECIMAL" in shapes["a"]
+
+
+def test_archives_grow_in_number(spark, tmp_path, monkeypatch):
+    """Not in size: four archives whatever there is made each a quarter of the input."""
+    from tessera.plans import format_queries as fq
+
+    made, write = [], ar.write_archives
+    monkeypatch.setattr(ar, "write_archives", lambda *a: (made.append(a[1]), write(*a))[1])
+    docs = spark.range(4000).selectExpr("id doc_id", "array_join(transform(sequence(1, 8), k -> sha2(concat(id, '-', k), 512)), ' ') text")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    small = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "10k"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        df = fq.archive_members(spark, str(tmp_path))
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    files = list(Path(made[0].removeprefix("file:")).glob("*.zip"))
+    assert len(files) > 4 and df.count() == 4000 and df.select("digest").distinct().count() == 4000
