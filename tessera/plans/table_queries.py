@@ -331,8 +331,15 @@ def streamed_events(spark, sf_dir):
 
 
 def _stage_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    d = documents(spark, sf_dir).select("event_id", "accession", F.col("hit_id").alias("filename"), "sequence", "is_amendment", "form")
-    e = events(spark, sf_dir).select("event_id", "n_documents", "has_amendment")
+    """The stages' tables, from documents and events that are made once and written."""
+    root = sinks.work_folder(spark, "stages")
+
+    def kept(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{root}/{name}")
+        return spark.read.parquet(f"{root}/{name}")
+
+    d = kept(documents(spark, sf_dir).select("event_id", "accession", F.col("hit_id").alias("filename"), "sequence", "is_amendment", "form"), "documents")
+    e = kept(events(spark, sf_dir).select("event_id", "n_documents", "has_amendment"), "events")
     s = F.col("sequence")
     return {
         "inventory": d.select("event_id", "accession", "filename"),
