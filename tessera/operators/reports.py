@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.frames import as_rows, sorted_set
+from ..functions.frames import as_rows, sorted_set, sorted_union
 from ..functions.quantiles import medians
 from ..functions.text import around, dates_in, spaces
 from ..sources.sinks import write_report
@@ -24,10 +24,18 @@ def by_folder_and_role(df: DataFrame, folder: str, role: str, ok: Column, size:
 
 
 def metadata_inventory(documents: DataFrame) -> DataFrame:
-    """What each form has: rows, filings, pairs, dates, endings."""
-    return documents.groupBy("form").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_distinct("accession").alias("n_filings"), F.count_distinct("accession", "filename").alias("n_pairs"),
-        F.min("file_date").alias("first_date"), F.max("file_date").alias("last_date"), sorted_set(F.col("doc_ext")).alias("endings"),
+    """What each form has: rows, filings, pairs, dates, endings.
+
+    Pairs are grouped first, then filings, then forms: pairs and filings are counted
+    as rows, so no distinct count multiplies the documents, and documents that lie
+    together by filing are not moved before they are few.
+    """
+    both = F.col("accession").isNotNull() & F.col("filename").isNotNull()
+    pairs = documents.groupBy("form", "accession", "filename").agg(F.count(F.lit(1)).alias("n"), F.min("file_date").alias("low"), F.max("file_date").alias("high"), F.collect_set("doc_ext").alias("endings"))
+    filings = pairs.groupBy("form", "accession").agg(F.sum("n").alias("n"), F.count_if(both).alias("n_pairs"), F.min("low").alias("low"), F.max("high").alias("high"), sorted_union(F.col("endings")).alias("endings"))
+    return filings.groupBy("form").agg(
+        F.sum("n").alias("n_rows"), F.count("accession").alias("n_filings"), F.sum("n_pairs").alias("n_pairs"),
+        F.min("low").alias("first_date"), F.max("high").alias("last_date"), sorted_union(F.col("endings")).alias("endings"),
     )
 
 
