@@ -30,6 +30,20 @@ def _summed(found: DataFrame, names: Sequence[str]) -> DataFrame:
     return found.groupBy("event_id", "form").agg(F.count(F.lit(1)).alias("n_docs"), *[F.sum(F.col(n).cast("long")).alias(n) for n in names])
 
 
+def _sampled(summed: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``field, n_sample, n_events, best_form``: events of the sample, how many mention the field, and the form that does most often (the first by name of equals).
+
+    Sums by event and sums by form come from one aggregation, so that the texts are searched once.
+    """
+    by_event = F.grouping("event_id") == 0
+    sets = summed.groupingSets([["event_id"], ["form"]], "event_id", "form").agg(by_event.alias("by_event"), F.sum("n_docs").alias("n_docs"), *[F.sum(n).alias(n) for n in names])
+    event, form = F.col("by_event") & F.col("event_id").isNotNull(), ~F.col("by_event") & F.col("form").isNotNull()
+    order = lambda n: F.when(form, F.struct((-F.col(n) / F.col("n_docs")).alias("rate"), "form"))
+    cells = [F.struct(F.lit(n).alias("field"), F.count_if(event & (F.col(n) > 0)).alias("n_events"), F.min(order(n)).getField("form").alias("best_form")) for n in names]
+    one = sets.agg(F.count_if(event).alias("n_sample"), F.array(*cells).alias("cells"))
+    return one.select("n_sample", F.inline("cells"))
+
+
 def field_matrix(events: DataFrame, found: DataFrame, fields: Sequence[Field] = FIELDS) -> DataFrame:
     """A row for each field.
 
@@ -42,16 +56,11 @@ def field_matrix(events: DataFrame, found: DataFrame, fields: Sequence[Field] =
     first by name of equals).
     """
     names = [f.name for f in fields if f.patterns]
-    summed = _summed(found, names)
-    of_event = summed.where("event_id is not null").groupBy("event_id").agg(*[(F.max(n) > 0).alias(n) for n in names])
-    sample = as_rows(of_event.agg(F.count(F.lit(1)).alias("n_sample"), *[F.count_if(n).alias(n) for n in names]), "field", "n_events", names, "long")
-    of_form = summed.where("form is not null").groupBy("form").agg(F.sum("n_docs").alias("n_docs"), *[F.sum(n).alias(n) for n in names])
-    rates = as_rows(of_form, "field", "n", names, "long").withColumn("rate", F.col("n") / F.col("n_docs"))
-    best = rates.groupBy("field").agg(F.min_by("form", F.struct(-F.col("rate"), "form")).alias("best_form"))
+    sample = _sampled(_summed(found, names), names)
     known = events.agg(F.count(F.lit(1)).alias("n_all"), *[F.count_if(has()).alias(f"n_{name}") for name, (_, has) in METADATA.items()])
     fixed = events.sparkSession.createDataFrame([(f.name, f.group, f.source_class, f.kind, f.difficulty, f.ground_truth, bool(f.patterns)) for f in fields], "field string, group string, source_class string, explicit_or_derived string, difficulty string, ground_truth_class string, has_patterns boolean")
-    # The three other tables have one row, or one a field.
-    rows = fixed.crossJoin(F.broadcast(known)).join(F.broadcast(sample), "field", "left").join(F.broadcast(best), "field", "left")
+    # The two other tables have one row, or one a field.
+    rows = fixed.crossJoin(F.broadcast(known)).join(F.broadcast(sample), "field", "left")
     n_sample = F.coalesce("n_sample", F.lit(0))
     all_, events_, pct = F.col("n_all"), F.coalesce("n_events", F.lit(0)), lambda n, of: F.coalesce(F.round(100 * F.try_divide(n, of), 2), F.lit(0.0))
     text_rate = F.format_string("; sample_text_detection_pct=%.1f", F.bround(100 * F.try_divide(events_.cast("decimal(20,0)"), n_sample), 1).cast("double"))
