@@ -50,16 +50,22 @@ def reviewed_outcomes(reference: DataFrame, predictions: DataFrame) -> DataFrame
     Exclusions are rows with a null field, in this order: several reference rows,
     not reviewed, no prediction at all.
     """
-    rows = reference.select("accession", "row_id", "field", "gold", "review_status").join(predictions.select("accession").distinct(), "accession", "left_semi")
-    shape = rows.groupBy("accession").agg(F.count_distinct("row_id").alias("n"), F.max(F.lower(F.trim(F.coalesce("review_status", F.lit(""))))).alias("status"))
+    # Filings with several rows (or none with an id) need no cells: they are told by one aggregation, and only the others are joined.
+    ids = reference.select("accession", "row_id", F.lit(True).alias("referred"), F.lit(False).alias("predicted"))
+    ids = ids.unionByName(predictions.select("accession", F.lit(False).alias("referred"), F.lit(True).alias("predicted")), allowMissingColumns=True)
+    filings = ids.where("accession is not null").groupBy("accession").agg(F.min("row_id").alias("low"), F.max("row_id").alias("high"), F.bool_or("referred").alias("referred"), F.bool_or("predicted").alias("predicted"))
+    filings = filings.where("referred and predicted").select("accession", F.coalesce(F.col("low") == F.col("high"), F.lit(False)).alias("single"))
+    one = filings.where("single").select("accession")
+    rows = reference.select("accession", "field", "gold", F.lower(F.trim(F.coalesce("review_status", F.lit("")))).alias("status")).join(one, "accession", "left_semi")
     both = rows.join(predictions.select("accession", "field", F.col("value").alias("predicted")), ["accession", "field"], "left").withColumn("p", normalized(F.col("predicted"))).withColumn("g", normalized(F.col("gold")))
-    has = both.groupBy("accession").agg(F.bool_or(F.col("p") != "").alias("has"))
-    why = F.when(F.col("n") != 1, "multiple_reference_rows_per_filing").when(~F.col("status").isin(*REVIEWED), "reference_not_reviewed").when(~F.col("has"), "canonical_prediction_missing")
-    judged = shape.join(has, "accession").select("accession", why.alias("why"))
+    shape = both.groupBy("accession").agg(F.max("status").alias("status"), F.bool_or(F.col("p") != "").alias("has"))
+    why = F.when(~F.col("status").isin(*REVIEWED), "reference_not_reviewed").when(~F.col("has"), "canonical_prediction_missing")
+    judged = shape.select("accession", why.alias("why"))
     p, g = F.col("p"), F.col("g")
     outcome = F.when((p == "") & (g == ""), "tn").when(p == g, "tp").when((p != "") & (g != ""), "mismatch").when(p != "", "fp").otherwise("fn")
     scored = both.join(judged.where("why is null").select("accession"), "accession", "left_semi").select("accession", "field", outcome.alias("outcome"))
-    return scored.unionByName(judged.where("why is not null").select("accession", F.lit(None).cast("string").alias("field"), F.col("why").alias("outcome")))
+    excluded = filings.where("not single").select("accession", F.lit("multiple_reference_rows_per_filing").alias("why")).unionByName(judged.where("why is not null"))
+    return scored.unionByName(excluded.select("accession", F.lit(None).cast("string").alias("field"), F.col("why").alias("outcome")))
 
 
 def deal_outcomes(gold: DataFrame, predictions: DataFrame, exact: tuple[str, ...], dates: tuple[str, ...], cash: tuple[str, ...]) -> DataFrame:
