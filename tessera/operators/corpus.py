@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..catalog import AMENDMENT_FORMS, FORM_FAMILIES, FORMATS
-from ..functions.frames import latest_per_key, sorted_union, value_counts
+from ..functions.frames import latest_per_key, sorted_set, sorted_union, value_counts
 from ..functions.quantiles import described
 from ..functions.text import display_name_parts, filename_of_hit, first_or_null
 
@@ -31,8 +32,8 @@ def is_amendment(form: Column) -> Column:
 
 def is_primary(form: Column, file_type: Column, exhibit: Column) -> Column:
     """The form itself, as its type says, hyphens and spaces aside."""
-    bare = lambda c: F.regexp_replace(c, "[- ]", "")
-    same = (file_type == form) | (F.regexp_replace(file_type, "-", "") == bare(form))
+    bare = lambda c, *what: functools.reduce(lambda t, x: F.replace(t, F.lit(x), F.lit("")), what, c)
+    same = (file_type == form) | (bare(file_type, "-") == bare(form, "-", " "))
     return ~exhibit & (F.coalesce(file_type, F.lit("")) != "") & F.coalesce(same, F.lit(False))
 
 
@@ -72,51 +73,65 @@ def first_seen(records: DataFrame, key: str, *order: str) -> DataFrame:
 
 def document_table(records: DataFrame) -> DataFrame:
     """Records with their event, file ending and format."""
-    ending = F.nullif(F.regexp_extract(F.lower(F.coalesce("filename", F.lit(""))), r"(\.[a-z0-9]+)$", 1), F.lit(""))
+    low = F.lower(F.coalesce("filename", F.lit("")))
+    tail = F.concat(F.lit("."), F.substring_index(low, ".", -1))
+    common = tail.isin(*FORMATS) & F.endswith(low, tail)  # most names; the pattern decides on the rest
+    ending = F.when(common, tail).otherwise(F.nullif(F.regexp_extract(low, r"(\.[a-z0-9]+)$", 1), F.lit("")))
     out = records.withColumn("event_id", F.coalesce("primary_file_num", F.concat(F.lit(NO_NUMBER), "accession"))).withColumn("doc_ext", ending)
     return out.withColumn("format_guess", lookup(FORMATS, F.col("doc_ext"), "other"))
 
 
-def event_table(documents: DataFrame) -> DataFrame:
-    """One row an event: counts, sets, first entity, dates and span.
+def filing_parts(documents: DataFrame, keys: Sequence[str] = (), more: Sequence[Column] = ()) -> DataFrame:
+    """A row for each event, filing, form, family, set of issuers and whether it is an amendment: nearly always one a filing.
 
-    Filings are aggregated first, then events: filings are then counted as rows, so
-    no distinct count multiplies the documents. Sets are collected as sets, so an
-    event with thousands of documents carries only its distinct values through the
-    shuffle. The first entity is that of the least (file date, accession, sequence,
-    hit).
+    ``keys`` names further columns that tell parts apart, ``more`` further aggregates.
+    Of the parts of a filing one is ``opens_filing``, and one of its amended and one of
+    its other parts is ``opens_kind``, so filings are counted as rows that open one. Names
+    and tickers are collected as pairs, as a filing has few.
     """
-    amended = F.coalesce(F.col("is_amendment"), F.lit(False))
-    order = F.struct(F.col("file_date").isNull().alias("n"), F.col("file_date").alias("d"), F.col("accession").alias("a"), F.col("sequence").alias("s"), F.col("hit_id").alias("h"))
-    named = F.when(F.coalesce("entity_name", F.lit("")) != "", order)
-    filings = documents.groupBy("event_id", "accession").agg(
+    order = F.struct(F.col("file_date").isNull().alias("n"), F.col("file_date").alias("d"), F.col("sequence").alias("s"), F.col("hit_id").alias("h"), F.col("entity_name").alias("e"))
+    amended = F.coalesce(F.col("is_amendment"), F.lit(False)).alias("amended")
+    parts = documents.groupBy("event_id", "accession", "form", "form_family", "ciks", amended, *keys).agg(
         F.count(F.lit(1)).alias("n"),
-        F.bool_or(amended).alias("amended"),
-        F.bool_or(~amended).alias("initial"),
-        F.collect_set("form").alias("forms"),
-        F.collect_set("form_family").alias("families"),
-        F.collect_set("entity_name").alias("names"),
-        F.min(F.when(named.isNotNull(), F.struct(order.alias("o"), F.col("entity_name").alias("e")))).alias("first"),
-        F.collect_set("ciks").alias("ciks"),
-        F.collect_set("tickers").alias("tickers"),
+        F.collect_set(F.struct("entity_name", "tickers")).alias("named"),
+        F.min(F.when(F.coalesce("entity_name", F.lit("")) != "", order)).alias("first"),
         F.min("file_date").alias("low"),
         F.max("file_date").alias("high"),
         F.count_if(F.coalesce("is_exhibit", F.lit(False))).alias("exhibits"),
         F.count_if(F.coalesce("is_primary_form_doc", F.lit(False))).alias("primary"),
+        *more,
     )
+    before = F.lag("amended").over(Window.partitionBy("event_id", "accession").orderBy("amended"))
     there = F.col("accession").isNotNull()
-    nested = lambda c: sorted_union(F.flatten(c))
-    out = filings.groupBy("event_id").agg(
+    parts = parts.withColumn("before", before)
+    return parts.select("*", (there & F.col("before").isNull()).alias("opens_filing"), (there & F.coalesce(F.col("before") != F.col("amended"), F.lit(True))).alias("opens_kind")).drop("before")
+
+
+def event_table(documents: DataFrame) -> DataFrame:
+    """One row an event: counts, sets, first entity, dates and span."""
+    return events_of_parts(filing_parts(documents))
+
+
+def events_of_parts(parts: DataFrame) -> DataFrame:
+    """The event table of documents of which the parts of filings are known.
+
+    Filings are counted as rows, so no distinct count multiplies the documents. Sets
+    are collected as sets, so an event with thousands of documents carries only its
+    distinct values. The first entity is that of the least (file date, accession,
+    sequence, hit).
+    """
+    first = F.when(F.col("first").isNotNull(), F.struct("first.n", "first.d", F.col("accession").alias("a"), "first.s", "first.h", "first.e"))
+    out = parts.groupBy("event_id").agg(
         F.sum("n").alias("n_documents"),
-        F.count("accession").alias("n_filings"),
-        F.count_if(F.col("amended") & there).alias("n_amendment_filings"),
-        F.count_if(F.col("initial") & there).alias("n_initial_filings"),
-        sorted_union(F.col("forms")).alias("forms"),
-        sorted_union(F.col("families")).alias("form_families"),
-        sorted_union(F.col("names")).alias("entity_names"),
-        F.min("first").getField("e").alias("primary_entity"),
-        nested("ciks").alias("ciks"),
-        nested("tickers").alias("tickers"),
+        F.count_if("opens_filing").alias("n_filings"),
+        F.count_if(F.col("opens_kind") & F.col("amended")).alias("n_amendment_filings"),
+        F.count_if(F.col("opens_kind") & ~F.col("amended")).alias("n_initial_filings"),
+        sorted_set(F.col("form")).alias("forms"),
+        sorted_set(F.col("form_family")).alias("form_families"),
+        sorted_union(F.col("named.entity_name")).alias("entity_names"),
+        F.min(first).getField("e").alias("primary_entity"),
+        sorted_union(F.col("ciks")).alias("ciks"),
+        sorted_union(F.flatten(F.array_compact("named.tickers"))).alias("tickers"),
         F.min("low").alias("first_file_date"),
         F.max("high").alias("last_file_date"),
         F.sum("exhibits").alias("n_exhibits"),
@@ -143,8 +158,13 @@ def overview(documents: DataFrame, events: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_documents"), F.count_distinct("accession").alias("n_filings"), F.count_distinct("primary_cik").alias("n_issuers"),
         F.min("file_date").cast("string").alias("first_file_date"), F.max("file_date").cast("string").alias("last_file_date"),
     )
+    return overview_rows(d, events)
+
+
+def overview_rows(one: DataFrame, events: DataFrame) -> DataFrame:
+    """The same from the one row of what is known of the documents."""
     e = events.agg(F.count(F.lit(1)).alias("n_events"), F.count_if("has_amendment").alias("n_amended_events"), F.round(100 * F.avg(F.col("has_amendment").cast("int")), 2).alias("pct_amended_events"))
-    one = d.crossJoin(e)  # one row each
+    one = one.select("n_documents", "n_filings", "n_issuers", "first_file_date", "last_file_date").crossJoin(e)  # one row each
     return one.select(*[F.col(c).cast("string").alias(c) for c in one.columns]).unpivot([], one.columns, "metric", "value")
 
 
@@ -166,8 +186,9 @@ def documents_per_event(events: DataFrame) -> DataFrame:
 
 
 def unusual_volume(events: DataFrame, n: int = 15) -> DataFrame:
-    """The events with most documents (a report of ``n`` rows)."""
-    return events.orderBy(F.desc("n_documents"), "event_id").limit(n)
+    """The events with most documents (a report of ``n`` rows); they are found by two columns, and only they are read whole."""
+    most = events.orderBy(F.desc("n_documents"), "event_id").limit(n).select(F.col("event_id").alias("__most"))
+    return events.join(F.broadcast(most), F.col("event_id").eqNullSafe(F.col("__most")), "left_semi").orderBy(F.desc("n_documents"), "event_id")
 
 
 def issuer_counts(events: DataFrame) -> DataFrame:

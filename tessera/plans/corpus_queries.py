@@ -205,8 +205,7 @@ def near_duplicate_content(spark, sf_dir):
     UNION ALL SELECT 'weak_event_key_without_file_num', (SELECT count(*) FROM evs WHERE starts_with(event_id, 'NO_FILE_NUM:')), (SELECT count(*) FROM docs WHERE starts_with(event_id, 'NO_FILE_NUM:'))""",
 )
 def leakage_risks(spark, sf_dir):
-    d = documents(spark, sf_dir)
-    return qa.leakage_risks(d, co.event_table(d))
+    return qa.leakage_risks(events(spark, sf_dir))
 
 
 @query("event_tagging", f"WITH {TAGGED} SELECT event_id, has_to_t, has_to_i, has_14d9, has_file_num, event_type, in_core, in_preferred, in_stretch, amendment_band FROM tagged")
