@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+from tessera import registry
 from tessera.catalog import WINDOW_ANCHORS
 from tessera.operators import passages as ps
 
@@ -77,3 +78,39 @@ def test_spans_cut_their_text_once(spark):
         assert r["value"] == t[r["start"] : r["end"]] and r["source_quote"] == t[max(0, r["start"] - 220) : r["end"] + 220]
     spark.conf.set("spark.sql.maxMetadataStringLength", "1000000")
     assert optimized(got).count("array_join(") == 1
+
+
+def plain_all(text: str, size: int = 900, overlap: int = 150) -> list[tuple[int, int]]:
+    at, n, out = 0, len(text), []
+    while at < n:
+        end = min(at + size, n)
+        if end < n and (back := text.rfind(" ", at + size // 2, end)) >= 0:
+            end = back
+        out.append((at, end))
+        at = max(end - overlap, at + 1) if end < n else n
+    return out
+
+
+def long_texts() -> dict[int, str]:
+    return texts() | {104: "\U0001f600 é w " * 20_000, 105: ("y" * 451 + " ") * 90, 106: ("\U0001f600" * 449 + " ") * 90, 107: "a" * 900, 108: "a" * 901, 109: "b" * 300_000}
+
+
+def of_query(spark, tmp_path, name: str, content: dict) -> list:
+    spark.createDataFrame(list(content.items()), "doc_id long, text string").repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    return registry.queries()[name](spark, str(tmp_path)).collect()
+
+
+def test_sliding_windows_reach_the_end(spark, tmp_path):
+    """The query stopped after seven windows and the tail; no part of a long text may be left out."""
+    content = long_texts() | {110: None}
+    rows = sorted((r["id"], r["window_id"], r["start"], r["chunk"]) for r in of_query(spark, tmp_path, "sliding_windows", content))
+    assert rows == sorted((k, i, a, t[a:e]) for k, t in content.items() if t and t.strip() for i, (a, e) in enumerate(plain_all(t)))
+    assert max(r[1] for r in rows) > ps.GROUP
+
+
+def test_all_sliding_windows_of_small_sizes(spark):
+    """Windows that move on by one character at least, and groups that are full or not."""
+    df = spark.createDataFrame([(k, t[:3000]) for k, t in texts().items()], "id long, text string")
+    for size, overlap in ((10, 3), (7, 6), (1, 0), (900, 800)):
+        got = sorted((r["id"], r["window_id"], r["start"], r["chunk"]) for r in ps.windows(df, "id", "text", ps.sliding(size, overlap, None)).collect())
+        assert got == sorted((k, i, a, t[:3000][a:e]) for k, t in texts().items() if t[:3000].strip() for i, (a, e) in enumerate(plain_all(t[:3000], size, overlap)))
