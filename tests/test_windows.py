@@ -8,6 +8,7 @@ import re
 from tessera import registry
 from tessera.catalog import WINDOW_ANCHORS
 from tessera.operators import passages as ps
+from tessera.plans import passage_queries as plans
 
 
 def texts() -> dict[int, str]:
@@ -114,3 +115,32 @@ def test_all_sliding_windows_of_small_sizes(spark):
     for size, overlap in ((10, 3), (7, 6), (1, 0), (900, 800)):
         got = sorted((r["id"], r["window_id"], r["start"], r["chunk"]) for r in ps.windows(df, "id", "text", ps.sliding(size, overlap, None)).collect())
         assert got == sorted((k, i, a, t[:3000][a:e]) for k, t in texts().items() if t[:3000].strip() for i, (a, e) in enumerate(plain_all(t[:3000], size, overlap)))
+
+
+def plain_spans(text: str) -> dict[tuple, int]:
+    """The backend's spans in all windows by plain loops, each place of a label with its first window."""
+    out: dict = {}
+    for number, (a, e) in enumerate(plain_all(text)):
+        for p in ps.RuleBackend().predict(text[a:e], list(ps.MERGER_LABELS)):
+            field, start, end = ps.MERGER_LABELS[p["label"]], a + p["start"], a + p["end"]
+            if field in ps.SHAPES and not re.search(ps.SHAPES[field], p["text"].strip(" ")):
+                continue
+            if field == "cash_consideration" and re.search(ps.NO_CASH, text[max(0, start - 35) : end + 45]):
+                continue
+            out.setdefault((p["label"], start, end), (field, p["score"], number))
+    return {(field, text[start:end], score, start, end, text[max(0, start - 220) : end + 220], max(0, start - 220), min(len(text), end + 220)): number for (_, start, end), (field, score, number) in out.items()}
+
+
+def test_spans_of_all_windows_read_the_whole_text(spark, tmp_path):
+    """The query looked around the first and last mention of each anchor alone, in twelve windows at most."""
+    draw = random.Random(7)
+    said = ["Delta Works Corp.", "Big Buyer Holdings Inc. will acquire Small Target Ltd.", "$7 par value", "$1,250.75", "0.7512", "May 3, 2024", "Nasdaq: ABCD", "Nasdaq: ABCDEF", "CUSIP 87654321Z", "ISIN US1234567890", "merger agreement"]
+    filler = ["words that say nothing", "\U0001f600 é", "or\n", "x" * 40]
+    content = {k: " ".join(draw.choice(said if draw.random() < share else filler) for _ in range(size)) for k, (size, share) in enumerate([(20, 0.5), (300, 0.1), (3000, 0.02), (3000, 0.3), (1, 1.0)])}
+    content |= {10: None, 11: "", 12: "z" * 40_000 + "$99", 13: "merger agreement " + "fill " * 9000 + "Middle Words Inc. " + "fill " * 9000 + "merger agreement"}
+    got = of_query(spark, tmp_path, "spans_of_all_windows", content)
+    shape = ("field", "value", "score", "start", "end", "source_quote", "quote_start", "quote_end")
+    before, after = plans._RULED
+    assert {r["method"] for r in got} == {"rule"}
+    assert sorted(((r["id"], *(r[c] for c in shape)), r["window_id"]) for r in got) == sorted(((k, *span), number) for k, t in content.items() for span, number in plain_spans(before + (t or "") + after).items())
+    assert {r["value"] for r in got if r["id"] == 13} >= {"Middle Words Inc."} and max(r["window_id"] for r in got if r["id"] == 13) > 100
